@@ -7,19 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import packing
+from lattica.llm import langid, mixing, packing, quality, token_files
+from lattica.llm.scratch import save
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = save(quality.measure(docs).drop("text"), "measured")
+    out = quality.judge(measured, quality.calibrate(measured, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", *(F.col(f"q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op10_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id"), 4))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return docs.select("doc_id", "held_out", langid.predictor(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing,)}
+    return {f.__name__: f for f in (op3_risk_controlled_quality, op4_best_fit_packing, op5_cube_mixing, op9_token_files, op10_naive_bayes_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
