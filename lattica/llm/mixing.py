@@ -9,8 +9,8 @@ documents of a group are undecided, and the moves are random with mean 0, so
 every document keeps its probability.  The flight runs over groups of about
 ``GROUP`` documents, as a stream that holds three documents; what stays
 undecided flies again in the next round, in ever fewer groups, and the landing
-decides the last two of a source so that its tokens come nearest the target.
-Larger documents fly first, so that what is left to land is small.
+drops the constraint on documents for a source's last few (at most ``LANDING``),
+which then fly on tokens alone, and rounds the one that stays.
 
 Defined results: a null text has size 0; a null source is a source, after all
 others; null doc_ids and repeated rows are documents like others; sources of
@@ -21,6 +21,7 @@ doc_id and size, and rows equal in both are interchangeable.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -33,6 +34,8 @@ from lattica.llm.scratch import save
 GROUP = 50_000
 #: Groups of one round whose undecided documents share a group of the next.
 FOLD = 10_000
+#: Documents of a source that fly on the token constraint alone.
+LANDING = 64
 _EPS = 1e-9
 
 
@@ -77,49 +80,69 @@ def _draw(a: int, b: int) -> float:
 
 
 class Flight:
-    """Flight of one group: put() documents one by one, then land() or take what is undecided."""
+    """Flight of one group under the token constraint and, with ``held`` 3, the document constraint.
 
-    def __init__(self) -> None:
+    put() takes documents one by one and yields those decided; at most held - 1 stay undecided.
+    """
+
+    def __init__(self, held: int = 3) -> None:
+        self.held = held
         self.open: list[list] = []  # [probability, size, hash, row]
 
+    def _direction(self) -> tuple[float, ...]:
+        """A null vector of the open documents' constraint rows (sizes and, if three are open, ones)."""
+        size = [unit[1] for unit in self.open]
+        if self.held == 2:
+            return (size[1], -size[0]) if any(size) else (1.0, -1.0)
+        u = (size[1] - size[2], size[2] - size[0], size[0] - size[1])
+        return u if any(u) else (1.0, -1.0, 0.0)
+
     def put(self, p: float, size: float, key: int, row) -> Iterator[tuple[float, object]]:
         self.open.append([p, size, key, row])
-        while len(self.open) == 3:
-            (p1, s1, h1, _), (p2, s2, _, _), (p3, s3, h3, _) = self.open
-            u = (s2 - s3, s3 - s1, s1 - s2)  # null vector of the rows (1, 1, 1) and (s1, s2, s3)
-            if not any(u):
-                u = (1.0, -1.0, 0.0)
-            now = (p1, p2, p3)
-            up = min((1 - p) / d if d > 0 else p / -d for p, d in zip(now, u, strict=True) if d)
-            down = min(p / d if d > 0 else (1 - p) / -d for p, d in zip(now, u, strict=True) if d)
-            step = up if _draw(h1, h3) * (up + down) < down else -down
+        while len(self.open) == self.held:
+            moves = [(unit[0], d) for unit, d in zip(self.open, self._direction(), strict=True)]
+            up = min((1 - p) / d if d > 0 else p / -d for p, d in moves if d)
+            down = min(p / d if d > 0 else (1 - p) / -d for p, d in moves if d)
+            step = up if _draw(self.open[0][2], self.open[-1][2]) * (up + down) < down else -down
             left = []
-            for unit, d in zip(self.open, u, strict=True):
+            for unit, (_, d) in zip(self.open, moves, strict=True):
                 unit[0] += step * d
                 if unit[0] < _EPS or unit[0] > 1 - _EPS:
-                    yield round(unit[0]), unit[3]
+                    yield float(round(unit[0])), unit[3]
                 else:
                     left.append(unit)
             self.open = left
 
     def rest(self) -> Iterator[tuple[float, object]]:
+        """What is undecided."""
         for unit in self.open:
             yield unit[0], unit[3]
+        self.open = []
+
 
-    def land(self) -> Iterator[tuple[float, object]]:
-        """Decide the last two: the choice whose tokens, then documents, are nearest to what is expected."""
-        want, n = sum(p * s for p, s, _, _ in self.open), sum(u[0] for u in self.open)
-        choices = [[]]
-        for _ in self.open:
-            choices = [[*c, x] for c in choices for x in (0, 1)]
-        best = min(choices, key=lambda c: (abs(sum(x * u[1] for x, u in zip(c, self.open, strict=True)) - want), abs(sum(c) - n)))
-        for x, unit in zip(best, self.open, strict=True):
-            yield x, unit[3]
+class Landing:
+    """A last flight: its final documents wait and fly on tokens alone; then one at most is rounded."""
+
+    def __init__(self) -> None:
+        self.flight, self.waiting = Flight(), deque()
+
+    def put(self, *unit) -> Iterator[tuple[float, object]]:
+        self.waiting.append(unit)
+        if len(self.waiting) > LANDING:
+            yield from self.flight.put(*self.waiting.popleft())
+
+    def rest(self) -> Iterator[tuple[float, object]]:
+        low = Flight(2)
+        units = [tuple(u) for u in self.flight.open] + sorted(self.waiting, key=lambda u: -u[1])
+        for unit in units:
+            yield from low.put(*unit)
+        for p, row in low.rest():
+            yield float(round(p)), row
 
 
 def _fly(rows: DataFrame, last: bool) -> DataFrame:
-    """rows (…, source, part, key, size, p): p moves to 0 or 1, but for two of each (source, part) at most unless last."""
-    names, sort = rows.columns, ["source", "part", F.desc("size"), "key", "doc_id", "p"]
+    """rows (…, source, part, key, size, p): p moves to 0 or 1, but for two of each (source, part) at most; the last round lands."""
+    names, sort = rows.columns, ["source", "part", "key", "doc_id", "size", "p"]
     at = {n: names.index(n) for n in ("source", "part", "key", "size", "p")}
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +158,12 @@ def _fly(rows: DataFrame, last: bool) -> DataFrame:
             schema = batch.schema
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (row[at["source"]], row[at["part"]]) != group:
-                    done.extend(flight.land() if last else flight.rest())
-                    group, flight = (row[at["source"]], row[at["part"]]), Flight()
+                    done.extend(flight.rest())
+                    group, flight = (row[at["source"]], row[at["part"]]), Landing() if last else Flight()
                 done.extend(flight.put(row[at["p"]], float(row[at["size"]]), row[at["key"]], row))
             if done:
                 yield out()
-        done.extend(flight.land() if last else flight.rest())
+        done.extend(flight.rest())
         if done:
             yield out()
 
