@@ -10,7 +10,8 @@ every document keeps its probability.  The flight runs over groups of about
 ``GROUP`` documents, as a stream that holds three documents; what stays
 undecided flies again in the next round, in ever fewer groups, and the landing
 drops the constraint on documents for a source's last few (at most ``LANDING``),
-which then fly on tokens alone, and rounds the one that stays.
+which then fly on tokens alone, rounds the one that stays, and changes one or
+two of these few decisions if that brings the source's tokens nearer its target.
 
 Defined results: a null text has size 0; a null source is a source, after all
 others; null doc_ids and repeated rows are documents like others; sources of
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain, combinations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -132,12 +134,26 @@ class Landing:
             yield from self.flight.put(*self.waiting.popleft())
 
     def rest(self) -> Iterator[tuple[float, object]]:
-        low = Flight(2)
         units = [tuple(u) for u in self.flight.open] + sorted(self.waiting, key=lambda u: -u[1])
-        for unit in units:
-            yield from low.put(*unit)
-        for p, row in low.rest():
-            yield float(round(p)), row
+        low, taken = Flight(2), [0.0] * len(units)
+        for k, (p, size, key, _) in enumerate(units):
+            for x, j in low.put(p, size, key, k):
+                taken[j] = x
+        for p, j in low.rest():
+            taken[j] = float(round(p))
+        for j in self._flips(units, taken):
+            taken[j] = 1 - taken[j]
+        for x, unit in zip(taken, units, strict=True):
+            yield x, unit[3]
+
+    @staticmethod
+    def _flips(units: list[tuple], taken: list[float]) -> tuple[int, ...]:
+        """The one or two decisions whose change brings the tokens nearest to what is expected, if any does."""
+        over = sum((x - p) * size for x, (p, size, _, _) in zip(taken, units, strict=True))
+        change = [(1 - 2 * x) * unit[1] for x, unit in zip(taken, units, strict=True)]
+        n = range(len(units))
+        tries = chain([()], ((i,) for i in n), combinations(n, 2))
+        return min(tries, key=lambda t: (abs(over + sum(change[j] for j in t)) > 1 and abs(over + sum(change[j] for j in t)), len(t)))
 
 
 def _fly(rows: DataFrame, last: bool) -> DataFrame:
