@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lattica.llm import bpe
 from lattica.llm.scratch import save
@@ -106,7 +107,7 @@ def pack(table: DataFrame, capacity: int = 2048, open_bins: int = 1024, group_to
     """
     total = table.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-total // group_tokens))
-    schema = table.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*table.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
     names = [f.name for f in schema]
     dealt = table.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
     dealt = dealt.repartition(groups, "__group").sortWithinPartitions("__group", F.desc("length"), "doc_id", "piece", "ids_crc32")
