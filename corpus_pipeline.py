@@ -1,12 +1,61 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes what its predecessor kept, whole, and its decisions take
+effect: documents without a language go, documents that a quality rule rejects
+go, one document of each near-duplicate group stays, documents are repeated or
+left out until sources have their target weights, and what remains is packed.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lattica.llm import jaccard, langid, mixing, packing, quality
+
+#: Naive Bayes and the cube method have no SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
-STAGES: list = []
+#: Posterior probability below which a document has no language.
+SURE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter and a language that the model is sure of."""
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"), 4)))
+    judged = docs.withColumn("l_pred", langid.predictor(docs, model))
+    return judged.where((F.col("l_pred.lang_pred") != langid.UND) & (F.col("l_pred.score") >= SURE)).select(*docs.columns)
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the risk-controlled cutoffs."""
+    return quality.assess(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("q_kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.apply_mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, placed in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("quality rules", apply_quality_rules),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
