@@ -213,3 +213,10 @@ def mix(docs: DataFrame, size: Column | None = None, keep: list[str] = [], weigh
     for part in flown[1:]:
         whole = whole.unionByName(part)
     return whole.select("doc_id", *keep, "source", "size", "source_size", "target", (F.col("sure") + F.col("p").cast("long")).alias("times"))
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it; the columns stay as they are."""
+    rows = save(docs.withColumn("m_row", F.monotonically_increasing_id()), "mixed")
+    times = mix(rows, keep=["m_row"], **options).where("times > 0").select("m_row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("m_copy"))
+    return rows.join(times, "m_row").select(*docs.columns)
