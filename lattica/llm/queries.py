@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import jaccard, langid, mixing, packing, quality, token_files
+from lattica.llm import jaccard, langid, mixing, packing, quality, token_files, urls, warc
 from lattica.llm.scratch import save
 
 
@@ -31,6 +31,14 @@ def op5_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
 
 
+def op6_url_logistic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op7_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url")
+
+
 def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_naive_bayes_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_risk_controlled_quality, op4_best_fit_packing, op5_cube_mixing, op8_chosen_path_join, op9_token_files, op10_naive_bayes_langid)}
+    return {f.__name__: f for f in (op3_risk_controlled_quality, op4_best_fit_packing, op5_cube_mixing, op6_url_logistic_filter, op7_seekable_warc, op8_chosen_path_join, op9_token_files, op10_naive_bayes_langid)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -46,7 +46,7 @@ class Writer:
         self.fs, inner = open_fs(folder)
         self.fs.create_dir(inner, recursive=True)
         self.path = f"{folder}/{name}"
-        self.out = self.fs.open_output_stream(f"{inner}/{name}")
+        self.out = self.fs.open_output_stream(f"{inner}/{name}", compression=None)
         self.width, self.dtype = width, f"<u{width}"
         self.out.write(_MAGIC + bytes([width]))
         self.lengths: list[int] = []
