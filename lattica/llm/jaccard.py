@@ -209,7 +209,7 @@ def candidates(sets: DataFrame, reps: DataFrame) -> DataFrame:
         large = shared.where(F.col("m") > BUCKET)
         if level == LEVELS - 1 or large.limit(1).count() == 0:
             break
-        deep = sets.select("j_row", F.filter("j_paths", lambda p, k=level + 1: p["level"] == k).alias("deep"))
+        deep = sets.select("j_row", F.expr(f"filter(j_paths, p -> p.level = {level + 1})").alias("deep"))
         rows = large.join(deep, "j_row").select("j_row", "run", "key", F.explode(F.filter("deep", lambda p: p["run"] == F.col("run"))["key"]).alias("next"))
         rows = rows.select("j_row", "run", F.xxhash64("key", "next").alias("key"))
     buckets = done[0]

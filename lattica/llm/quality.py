@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from lattica.llm.scratch import save
 
 SPACE, NOT_SPACE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
-#: rule: (measure, cutoffs); a document is rejected if its measure is above the cutoff.
+#: rule: (measure as SQL, cutoffs); a document is rejected if its measure is above the cutoff.
 RULES = {
-    "symbols": (F.col("q_n_symbols") / F.greatest("q_n_words", F.lit(1)), [0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5]),
-    "dup_lines": (F.col("q_n_dup_lines") / F.greatest("q_n_lines", F.lit(1)), [0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]),
-    "repeats": (F.col("q_n_repeat_words") / F.greatest("q_n_words", F.lit(1)), [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45]),
-    "long_words": (F.col("q_word_chars") / F.greatest("q_n_words", F.lit(1)), [6.5, 7.0, 7.5, 8.0, 8.5, 9.0, 10.0, 12.0]),
+    "symbols": ("q_n_symbols / greatest(q_n_words, 1)", [0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.75, 1.0, 1.5, 2.0, 2.5]),
+    "dup_lines": ("q_n_dup_lines / greatest(q_n_lines, 1)", [0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]),
+    "repeats": ("q_n_repeat_words / greatest(q_n_words, 1)", [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45]),
+    "long_words": ("q_word_chars / greatest(q_n_words, 1)", [6.5, 7.0, 7.5, 8.0, 8.5, 9.0, 10.0, 12.0]),
 }
 GOOD_COST = 20.0
 #: Terms of the binomial sum that are added one by one; the rest is bounded from above.
@@ -116,7 +116,7 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alp
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("good")).where(F.col("good").isNotNull())
     held = measured.where(~base_failed()).select("doc_id", F.col(stratum).cast("string").alias("stratum"), *RULE_COLUMNS).join(good, "doc_id")
     steps = [
-        F.struct(F.lit(name).alias("rule"), F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c, v=value: v > c)).alias("above"))
+        F.struct(F.lit(name).alias("rule"), sum((F.when(F.expr(value) > c, 1).otherwise(0) for c in cuts), F.lit(0)).alias("above"))
         for name, (value, cuts) in RULES.items()
     ]
     counts = (
@@ -151,7 +151,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     out = measured.join(table, F.col(stratum).cast("string").eqNullSafe(F.col("q_stratum")), "left")
     rejected = F.lit(False)
     for name, (value, _) in RULES.items():
-        rejected = rejected | F.coalesce(value > F.col(f"cut_{name}"), F.lit(False))
+        rejected = rejected | F.coalesce(F.expr(value) > F.col(f"cut_{name}"), F.lit(False))
     out = out.withColumn("q_base_failed", base_failed()).withColumn("q_kept", ~F.col("q_base_failed") & ~rejected)
     return out.drop("q_stratum", *(f"cut_{name}" for name in RULES))
 
