@@ -1 +1 @@
-"""Part of lattica; see the package docstring."""
+"""Streams of overrides into an incrementally calculated table."""
