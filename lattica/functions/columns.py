@@ -165,7 +165,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def spell_number(x: Column) -> Column:
-    """The shortest spelling that reads back as x; scientific only if strictly shorter."""
+    """The shortest spelling that reads back as x; scientific only if strictly shorter.
+
+    Digits are the JVM's, which writes two where one would do for the smallest
+    subnormal numbers (4.9e-324 for 5e-324).
+    """
 
     def parts(shown: Column) -> Column:  # -d.dddE±n or -ddd.ddd, the shortest digits
         unsigned = F.ltrim(shown, F.lit("-"))
@@ -212,6 +216,7 @@ def unary(op: str, v: Val) -> Val:
 
 def arithmetic(op: str, a: Val, b: Val) -> Val:
     (x, ex), (y, ey) = number(a), number(b)
+    ex = first_error(a.err, b.err, ex)  # both operands are evaluated before either is coerced
     if op == "/":
         return finite(F.try_divide(x, y), ex, ey, F.when(y == 0, F.lit("#DIV/0!")))
     if op == "^":
@@ -222,7 +227,7 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
 
 def concat(a: Val, b: Val) -> Val:
     (x, ex), (y, ey) = text(a), text(b)
-    return of("text", F.concat(x, y), first_error(ex, ey))
+    return of("text", F.concat(x, y), first_error(a.err, b.err, ex, ey))
 
 
 def compare(op: str, a: Val, b: Val) -> Val:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 from lattica.functions.values import spell_number
@@ -86,9 +87,9 @@ _TOKEN = re.compile(
   | (?P<text>"(?:[^"\r\n]|"")*")
   | (?P<error>\#(?:DIV/0!|N/A|NAME\?|NUM!|REF!|VALUE!|CIRC!))
   | (?P<call>[A-Za-z][A-Za-z0-9_]*)(?=[ \t\r\n]*\()
-  | (?P<area>(?:(?P<sheet>[a-z][a-z0-9_-]*)!)?{_CELL}(?::{_CELL})?)(?![A-Za-z0-9_\[!(])
-  | (?P<table>[a-z][a-z0-9_-]*)?\[(?P<selector>(?:[^\[\]]|\]\])+)\]
-  | (?P<word>[A-Za-z][A-Za-z0-9_-]*)
+  | (?P<area>(?:(?P<sheet>[a-z][a-z0-9_]*)!)?{_CELL}(?::{_CELL})?)(?![A-Za-z0-9_\[!(])
+  | (?P<table>[a-z][a-z0-9_]*)?\[(?P<selector>(?:[^\[\]]|\]\])+)\]
+  | (?P<word>[A-Za-z][A-Za-z0-9_]*)
   | (?P<op><>|<=|>=|[-+*/^&=<>(),])
     """,
     re.VERBOSE,
@@ -155,7 +156,7 @@ def _lex(text: str) -> list[tuple[str, object]]:
             word = m["word"]
             if word.upper() in ("TRUE", "FALSE"):
                 out.append(("value", Literal(word.upper() == "TRUE")))
-            elif re.fullmatch(r"[a-z][a-z0-9_-]*", word):
+            elif re.fullmatch(r"[a-z][a-z0-9_]*", word):
                 out.append(("value", NameRef(word)))
             else:
                 raise FormulaError(f"unknown word {word}")
@@ -245,8 +246,12 @@ class _Parser:
 
 def parse(text: str):
     """Syntax tree of a formula, with or without its leading ``=``."""
-    parser = _Parser(text.removeprefix("="))
-    tree = parser.comparison()
+    parser, frames = _Parser(text.removeprefix("=")), sys.getrecursionlimit()
+    sys.setrecursionlimit(max(frames, 12 * MAX_DEPTH))
+    try:
+        tree = parser.comparison()
+    finally:
+        sys.setrecursionlimit(frames)
     if parser.peek()[0] != "end":
         raise FormulaError(f"unexpected {parser.peek()[1]!r}")
     return tree

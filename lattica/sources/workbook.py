@@ -19,7 +19,7 @@ from lattica.functions.values import DateTime, Err, Formula, infer, kind_of, quo
 from lattica.plans.formula import FormulaError, Ref, TableRef, column_letters, parse, parse_area
 
 HEADER = "#!marksheet 0.1"
-_ID = r"[a-z][a-z0-9_-]*"
+_ID = r"[a-z][a-z0-9_]*"
 _ADDRESS = re.compile(r"[a-z]+[0-9]+|r[0-9]*c[0-9]*", re.IGNORECASE)
 _STYLE = {"bold", "italic", "wrap", "text-color", "fill", "font-size", "align", "valign", "number", "decimals", "currency"}
 
@@ -114,7 +114,7 @@ def split_csv(text: str) -> list[list[str]]:
 def _properties(text: str) -> dict[str, object]:
     out: dict[str, object] = {}
     at = 0
-    pattern = re.compile(r'([a-z][a-z0-9-]*)=("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[a-z][a-z0-9_-]*)(?: +|$)')
+    pattern = re.compile(r'([a-z][a-z0-9-]*)=("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[a-z][a-z0-9_]*)(?: +|$)')
     while at < len(text):
         m = pattern.match(text, at)
         if not m or m[1] in out:
