@@ -113,6 +113,22 @@ def scan(query: np.ndarray, turned: np.ndarray, k: int) -> np.ndarray:
     return alive
 
 
+def cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Cosines in double precision; vectors whose squares leave its range are first scaled by their largest component."""
+
+    def tame(v: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", under="ignore"):
+            square = (v * v).sum(axis=1)
+        wild = ~((square > 1e-280) & (square < 1e280))
+        if wild.any():
+            v = v.copy()
+            v[wild] /= np.abs(v[wild]).max(axis=1, keepdims=True)
+        return v
+
+    rows, query = tame(rows), tame(query[None, :])[0]
+    return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", key: str = "vec_id", probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score (cosine, in doubles) of each query's k nearest found."""
     rows = save(valid(vectors, vector, key), "vectors")
@@ -161,8 +177,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embe
             for query, own, at in zip(q, asks["query_id"].to_pylist(), turned_q, strict=True):
                 others = np.flatnonzero(ids != own)
                 found = others[scan(at, turned[others], k)] if len(others) else others
-                near = v[found]
-                score = (near * query).sum(axis=1) / (np.sqrt((near * near).sum(axis=1)) * np.sqrt((query * query).sum()))
+                score = cosine(v[found], query)
                 top = np.argsort(-score, kind="stable")[:k]
                 out_q += [own] * len(top)
                 out_v += [None if ids[i] == math.inf else int(ids[i]) for i in found[top]]

@@ -67,7 +67,7 @@ class WordBpe:
             return self._whole(word.decode("latin-1"))
         pieces = _PIECE.findall(word.translate(_LOWER))
         if len(pieces) == 1 and pieces[0] == word:
-            spelled = word.decode() if word.isascii() else word.decode("latin-1").encode().decode("latin-1").translate(self.letters)
+            spelled = word.decode() if word.isalnum() else word.decode("latin-1").encode().decode("latin-1").translate(self.letters)
             known = self.id_bytes
             return b"".join([known[t.id] for t in self.tokenize(spelled)])
         return b"".join([self.words[p] for p in pieces])

