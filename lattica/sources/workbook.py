@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from lattica.functions.values import DateTime, Err, Formula, infer, kind_of, quote, spell, spell_field
 from lattica.plans.formula import FormulaError, Ref, TableRef, column_letters, parse, parse_area
 
-HEADER = "#!marksheet 0.1"
+#: The first line of a file: any format name, version 0.1; new workbooks get the default.
+HEADER, DEFAULT_HEADER = re.compile(r"#![a-z]+ 0\.1"), "#!lattica 0.1"
 _ID = r"[a-z][a-z0-9_]*"
 _ADDRESS = re.compile(r"[a-z]+[0-9]+|r[0-9]*c[0-9]*", re.IGNORECASE)
 _STYLE = {"bold", "italic", "wrap", "text-color", "fill", "font-size", "align", "valign", "number", "decimals", "currency"}
@@ -63,6 +64,7 @@ class Sheet:
 
 @dataclass
 class Workbook:
+    header: str = DEFAULT_HEADER
     settings: dict[str, str] = field(default_factory=lambda: {"locale": "en-US", "timezone": "UTC", "formula-profile": "portable-a1@1"})
     styles: dict[str, dict[str, object]] = field(default_factory=dict)
     names: dict[str, object] = field(default_factory=dict)
@@ -143,7 +145,9 @@ class _Parser:
         self.ids: set[str] = set()
 
     def run(self) -> Workbook:
-        if not self.lines or self.lines[0].rstrip("\r") != HEADER:
+        if HEADER.fullmatch(self.lines[0].rstrip("\r")):
+            self.book.header = self.lines[0].rstrip("\r")
+        else:
             self.note("MS1001", 1, "unsupported version header")
         self.at = 1
         while self.at < len(self.lines):
@@ -354,7 +358,7 @@ def dumps(book: Workbook) -> str:
     """Canonical text; refuses a workbook with errors."""
     if any(d.severity == "error" for d in book.diagnostics):
         raise ValueError("a workbook with errors has no canonical text")
-    out = [HEADER, "@book " + " ".join(f"{k}={json.dumps(v)}" for k, v in book.settings.items())]
+    out = [book.header, "@book " + " ".join(f"{k}={json.dumps(v)}" for k, v in book.settings.items())]
     show = lambda v: json.dumps(v) if not isinstance(v, str) or not re.fullmatch(_ID, v) else v
     out += [f"@{k} {v}" for k, v in book.extensions if k != "extension"]
     out += [f"@style {n} " + " ".join(f"{k}={show(v)}" for k, v in p.items()) for n, p in book.styles.items()]

@@ -4,7 +4,7 @@ from lattica.functions.values import Err
 from lattica.plans.sheets import Calculator
 from lattica.sources import workbook as W
 
-GOOD = '''#!marksheet 0.1
+GOOD = '''#!lattica 0.1
 @style money number=currency currency="USD" decimals=2
 @name rate = inputs!B1
 @name subs = costs[Sub]
