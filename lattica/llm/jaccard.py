@@ -40,7 +40,7 @@ from lattica.llm.bpe import WordIds
 from lattica.llm.components import components
 from lattica.llm.scratch import save
 
-WORDS, LEVELS, BUCKET, BLOCK, SKETCH = 5, 3, 256, 4096, 64
+WORDS, LEVELS, BUCKET, BLOCK, SKETCH = 5, 3, 256, 1024, 64
 #: Tokens, over 1 / (overlap * size), that a set picks at each level; level 1 is covered by many runs.
 PICKS = (1.0, 2.0, 2.0)
 #: A linked pair's chance to have a token in common in one run at all levels.
@@ -161,20 +161,15 @@ def _alike(sketches: list[bytes], sizes: np.ndarray) -> Iterator[tuple[int, np.n
         yield i, near[common >= SKETCH_LEAST * k]
 
 
-def _roots(n: int, links: Iterable[tuple[int, Iterable[int]]]) -> list[int]:
-    up = list(range(n))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
+def _roots(n: int, links: Iterable[tuple[int, np.ndarray]]) -> list[int]:
+    """The least member of each one's component; a link's row that adds nothing costs one comparison of labels."""
+    label = np.arange(n)
     for i, many in links:
-        for j in many:
-            a, b = top(i), top(int(j))
-            up[max(a, b)] = min(a, b)
-    return [top(i) for i in range(n)]
+        mine = label[many]
+        if (mine != label[i]).any():
+            joined = np.unique(np.append(mine, label[i]))
+            label[np.isin(label, joined)] = joined[0]
+    return label.tolist()
 
 
 def _groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:

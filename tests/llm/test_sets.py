@@ -80,7 +80,9 @@ def test_one_of_each_class_stays(spark, odd_docs):
     assert jaccard.keep_one(odd_docs.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [500_000, -1])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task, raising=False)
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (103, 101), (200, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 103: 100, 200: 200}
