@@ -9,14 +9,17 @@ costs the tasks it ran and no more.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _made: list[str] = []
+_records: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +38,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses; removed when the driver ends."""
     path = f"{shared_dir(spark)}/lattica-{name}-{uuid.uuid4().hex}"
     atexit.register(remove, path)
+    for record in _records:
+        record.append(path)
     return path
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """A list that gets every path that new_path() gives out meanwhile."""
+    record: list[str] = []
+    _records.append(record)
+    try:
+        yield record
+    finally:
+        _records.remove(record)
+
+
+def drop_unread(paths: list[str], df: DataFrame) -> list[str]:
+    """Remove those of the paths that df does not read; the others."""
+    read = {part for file in df.inputFiles() for part in file.split("/")} if paths else set()
+    kept = [p for p in paths if p.rsplit("/", 1)[1] in read]
+    for p in paths:
+        if p not in kept:
+            remove(p)
+    return kept
+
+
 def remove(path: str) -> None:
     fs, inner = open_fs(path)
     if fs.get_file_info(inner).type != pafs.FileType.NotFound:
