@@ -4,21 +4,45 @@ Each stage takes what its predecessor kept, whole, and its decisions take
 effect: documents without a language go, documents that a quality rule rejects
 go, one document of each near-duplicate group stays, documents are repeated or
 left out until sources have their target weights, and what remains is packed.
+
+What a stage writes for itself is removed when a later stage over the same
+sf_dir is given documents that no longer read it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import jaccard, langid, mixing, packing, quality
+from lattica.llm import jaccard, langid, mixing, packing, quality, scratch
 
 #: Naive Bayes and the cube method have no SQL; tests hold run() against plain Python.
 ORACLE_SQL = None
 #: Posterior probability below which a document has no language.
 SURE = 0.5
+_written: dict[str, list[str]] = {}
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _tidy(stage: Stage) -> Stage:
+    """The stage, which first removes tables of earlier stages that its documents do not read."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = scratch.drop_unread(_written.pop(sf_dir, []), docs)
+        with scratch.recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _written[sf_dir] = left + made
+        return out
+
+    return call
 
 
+@_tidy
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter and a language that the model is sure of."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"), 4)))
@@ -26,21 +50,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return judged.where((F.col("l_pred.lang_pred") != langid.UND) & (F.col("l_pred.score") >= SURE)).select(*docs.columns)
 
 
+@_tidy
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the risk-controlled cutoffs."""
     return quality.assess(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("q_kept").select(*docs.columns)
 
 
+@_tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     return jaccard.keep_one(docs)
 
 
+@_tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.apply_mix(docs)
 
 
+@_tidy
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, placed in sequences of 2048 tokens."""
     return packing.pack_documents(docs)
