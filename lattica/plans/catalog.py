@@ -318,11 +318,11 @@ _PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in _DAG)
     reach(dst, src) as (select dst, src from e union select r.dst, e.src from reach r join e on e.dst = r.src),
     bad as (select dst as node from reach where src in (select dst from reach where dst = src)),
     depth(node, level) as (select node, 0::bigint from n where node not in (select dst from e) union select e.dst, depth.level + 1 from depth join e on e.src = depth.node where e.dst not in (select node from bad))
-    select n.node, max(level) as level from n left join depth using (node) group by n.node""")
+    select n.node, coalesce(max(level), -1)::bigint as level from n left join depth using (node) group by n.node""")
 def eval_levels(spark, d):
     edges = _edges(spark, _DAG)
     nodes = edges.select(F.col("dst").alias("node")).unionByName(edges.select(F.col("src").alias("node")))
-    return graph.levels(edges, nodes)
+    return graph.levels(edges, nodes).withColumn("level", F.coalesce("level", F.lit(-1).cast("long")))  # in or behind a cycle
 
 
 @query(f"""
