@@ -6,7 +6,8 @@ go, one document of each near-duplicate group stays, documents are repeated or
 left out until sources have their target weights, and what remains is packed.
 
 What a stage writes for itself is removed when a later stage over the same
-sf_dir is given documents that no longer read it.
+sf_dir is given documents that no longer read it.  What run() writes stays until
+the driver ends, so that results of several runs can be read in any order.
 """
 
 from __future__ import annotations
@@ -85,6 +86,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = _written.pop(sf_dir, None)
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+    _written.pop(sf_dir)
+    if before:
+        _written[sf_dir] = before
     return docs
