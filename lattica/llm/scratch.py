@@ -55,7 +55,9 @@ def recorded() -> Iterator[list[str]]:
 
 
 def drop_unread(paths: list[str], df: DataFrame) -> list[str]:
-    """Remove those of the paths that df does not read; the others."""
+    """Remove those of the paths that df does not read; the others.  A df over cached data keeps all of them."""
+    if paths and "InMemoryRelation" in df._jdf.queryExecution().optimizedPlan().toString():
+        return paths
     read = {part for file in df.inputFiles() for part in file.split("/")} if paths else set()
     kept = [p for p in paths if p.rsplit("/", 1)[1] in read]
     for p in paths:
