@@ -53,7 +53,7 @@ class WordIds(dict):
 class WordBpe:
     """A tokenizer of words with lower case and dropped white space, such as word_bpe_49k.json."""
 
-    def __init__(self, path: str, cached_words: int = 800_000):
+    def __init__(self, path: str, cached_words: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()) or b"(?!)")

@@ -66,7 +66,7 @@ def _odd(*key: int) -> np.uint64:
 class Shingler:
     """Shingle sets of texts; keeps a bounded table of words' hashes."""
 
-    def __init__(self, words: int = WORDS, cached_words: int = 400_000):
+    def __init__(self, words: int = WORDS, cached_words: int = 200_000):
         self.words = words
         self.hashes = WordIds(lambda w: blake2b(w, digest_size=8).digest(), cached_words)
         self.factors = [_odd("word", k) for k in range(words)]
