@@ -4,20 +4,22 @@ Tokens are a text's words [^\\x20\\x09-\\x0D]+ with A-Z in lower case, then one
 end.  The tree's root is the unigram distribution (count + 1) / (N + V + 1), in
 which all unseen words are one event.  Contexts are the last 1 to DEPTH tokens;
 the end stands for a text's beginning and is the oldest token of a context only.
-All words are counted, and of longer grams those made of common words; grams
-that make up ``SHARE`` of the training tokens are looked at.  A next token x
-diverges in context s from s's suffix r if its count c is far above what r
-leads one to expect, E = n(s) P(x|r), by the Poisson likelihood ratio
-c ln(c / E) - (c - E) > ``DIVERGENCE``; a context is retained if some token
-diverges.  Its distribution gives each diverging token (c - ``DISCOUNT``) / n(s)
-and leaves what remains to P(.|r).  A text is scored from the longest retained
-suffix at each token.
-
-Grams are found level by level: a gram is counted where the gram before its last
-token is one of the level below.  There are at most 1 / ``SHARE`` grams a level
-and 1 / ``COMMON`` common words, whatever the corpus, and these are what is
-collected and broadcast.  Rarer words keep their exact counts: they are joined
-by shuffle.
+All words are counted, and all longer grams that occur ``LEAST`` times, whatever
+the size of the corpus.  A next token x diverges in context s from s's suffix r
+if its count c is far above what r leads one to expect, E = n(s) P(x|r), by the
+Poisson likelihood ratio c ln(c / E) - (c - E) > ``DIVERGENCE``; a context is
+retained if some token diverges.  Its distribution gives each diverging token
+(c - ``DISCOUNT``) / n(s) and leaves what remains to P(.|r).  A text is scored
+from the longest retained suffix at each token.
+
+Grams, contexts and what they give are tables that are joined by shuffle and grow
+with the corpus.  What tasks hold is bounded and changes no result: ids of common
+words and the model's ``HOT`` most frequent entries are broadcast, others are
+looked up by shuffle; a filter of at most 2 ** ``FILTER`` bits tells which cannot
+be there.  Rare words go by 62 bits of their hash, entries of the model by 64.
+Probabilities are kept as multiples of the root's.
+
+``Tree`` is the same model in one process; tests hold the tables against it.
 
 Defined results: a null text is empty and has one token, its end; a row with a
 null doc_id is not held out; repeated rows are learned from and scored each;
@@ -30,20 +32,25 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.langid import held_out
-from lattica.llm.scratch import save
+from lattica.llm.scratch import drop_unread, recorded, save
 
-DEPTH, SHARE, COMMON, DIVERGENCE, DISCOUNT = 3, 2e-7, 2e-6, 12.0, 0.5
+DEPTH, LEAST, DIVERGENCE, DISCOUNT = 3, 2, 12.0, 0.5
+#: Share of the tokens above which a word's id and count are broadcast.
+COMMON = 2e-6
+#: Entries of the model that are broadcast, and bits (log 2) of a filter at most.
+HOT, FILTER = 2_000_000, 29
 #: The end token; UTF-8 has no such byte.
 END = b"\xff"
-#: Bits of a gram's key that hold its last token; more than 1 / COMMON words never are.
+#: Bits of a gram's key in a Tree that hold its last token.
 _BITS = 20
 #: Tokens that one step of numpy works on.
 STEP = 1 << 20
@@ -54,14 +61,19 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
+def rare_code(word: bytes) -> int:
+    """A negative number; common words have their ids from 0 on, 0 being the end."""
+    return -1 - (int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 2)
+
+
 def count_words(texts: DataFrame) -> DataFrame:
-    """word, n of all tokens of column text, in the shared folder."""
+    """word, code (of a rare word), n of all tokens of column text, in the shared folder."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(map(rare_code, words)), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "code", "n"])
             words.clear()
             return batch
 
@@ -72,8 +84,8 @@ def count_words(texts: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, n long")
-    return save(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    rows = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, code long, n long")
+    return save(rows.groupBy("word", "code").agg(F.sum("n").alias("n")), "words")
 
 
 @dataclass
@@ -87,13 +99,13 @@ class Level:
     keep: np.ndarray = field(default_factory=lambda: np.zeros(0))  # what the gram, as a context, leaves to its suffix; 1 if not retained
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted among sorted keys, -1 where missing; negative ones are missing."""
+def _find(keys: np.ndarray, wanted: np.ndarray, signed: bool = False) -> np.ndarray:
+    """Places of wanted among sorted keys, -1 where missing; unless signed, negative ones are missing."""
     if not len(keys):
         return np.full(wanted.shape, -1, np.int64)
     place = np.searchsorted(keys, wanted)
     place[place == len(keys)] = 0
-    return np.where((wanted >= 0) & (keys[place] == wanted), place, -1)
+    return np.where(((wanted >= 0) | signed) & (keys[place] == wanted), place, -1)
 
 
 class Tree:
@@ -173,13 +185,14 @@ class Tree:
         return [int((level.keep < 1.0).sum()) for level in self.levels[:-1]]
 
 
-def encode(docs: DataFrame, tree: Tree, keep: list[str]) -> DataFrame:
-    """The keep columns and each text as ids of common words (-1: rare), in the shared folder; rare words by name."""
-    shared = docs.sparkSession.sparkContext.broadcast((tree.ids, np.log10(tree.prob)))
+def encode(docs: DataFrame, ids: dict[bytes, int], logs: np.ndarray, seen: bool, keep: list[str]) -> DataFrame:
+    """The keep columns and each text as ids of common words (-1: rare), in the shared folder; codes of the rare ones in their order."""
+    shared = docs.sparkSession.sparkContext.broadcast((ids, logs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, logs = shared.value
         row = TaskContext.get().partitionId() << 36
+        lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts), kind))
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
@@ -189,104 +202,279 @@ def encode(docs: DataFrame, tree: Tree, keep: list[str]) -> DataFrame:
                     code = np.array([ids.get(w, -1) for w in found], np.int32)
                     common = code >= 0
                     coded.append(code)
-                    known.append(int(common.sum()))
+                    known.append(int(common.sum()) - (not seen))
                     base.append(float(logs[code[common]].sum()))
-                    rare.append(list(Counter([found[i] for i in np.flatnonzero(~common)]).items()))
-                ends = pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32))
-                pairs = [p for r in rare for p in r]
-                struct = pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.int64())], names=["word", "times"])
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, coded)]).astype(np.int32)), pa.array(np.concatenate(coded)))
-                columns = [pa.array(np.arange(row, row + len(coded))), lists, pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.ListArray.from_arrays(ends, struct)]
+                    rare.append(np.array([rare_code(found[i]) for i in np.flatnonzero(~common)], np.int64))
+                columns = [pa.array(np.arange(row, row + len(coded))), lists(coded, pa.int32()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), lists(rare, pa.int64())]
                 row += len(coded)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "p_row", "p_ids", "p_known", "p_base", "p_rare"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return save(rows.mapInArrow(run, f"{schema}p_row long, p_ids array<int>, p_known long, p_base double, p_rare array<struct<word:binary,times:long>>"), "encoded")
+    return save(rows.mapInArrow(run, f"{schema}p_row long, p_ids array<int>, p_known long, p_base double, p_rare array<long>"), "encoded")
 
 
-def _runs(column: pa.ListArray, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last row, their ids after an end, bounds) for runs of rows of about STEP tokens."""
-    bounds = np.asarray(column.offsets)
-    flat = np.asarray(column.values)
+def _runs(ids: pa.ListArray, rare: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, codes after an end, bounds) for runs of rows of about STEP tokens."""
+    bounds, others = np.asarray(ids.offsets), np.asarray(rare.offsets)
+    flat, codes = np.asarray(ids.values), np.asarray(rare.values)
     a = 0
-    while a < len(column):
+    while a < len(ids):
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + STEP)))
-        b = min(b, len(column))
-        yield a, b, np.concatenate([[end], flat[bounds[a] : bounds[b]]]).astype(np.int64), bounds[a : b + 1] - bounds[a]
+        b = min(b, len(ids))
+        run = np.concatenate([[0], flat[bounds[a] : bounds[b]]]).astype(np.int64)
+        run[run < 0] = codes[others[a] : others[b]]
+        yield a, run, bounds[a : b + 1] - bounds[a]
         a = b
 
 
-def grow(tree: Tree, encoded: DataFrame) -> Tree:
-    """Add the levels of longer grams from encoded training texts."""
-    least = max(2, SHARE * tree.n_tokens)
-    for _ in range(DEPTH):
-        shared = encoded.sparkSession.sparkContext.broadcast(tree)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _hashed(seed: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long."""
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = (seed + _P5 + np.uint64(8)) ^ (turn(x.view(np.uint64) * _P2, 31) * _P1)
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def gram_keys(codes: np.ndarray, most: int) -> list[np.ndarray]:
+    """For k = 1 to most, xxhash64 of the k codes that end at each place from k - 1 on."""
+    out = [_hashed(np.full(len(codes), 42, np.uint64), codes)]
+    for k in range(1, most):
+        out.append(_hashed(out[-1][:-1], np.ascontiguousarray(codes[k:])))
+    return out
 
-        def count(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            tree, held, size = shared.value, [], 0
 
-            def ready() -> pa.RecordBatch:
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+class Filter:
+    """Two bits for each key; has() is true for every key that was put in, and for few others while there is room."""
 
+    def __init__(self, bits: int, slices: dict[int, bytes]):
+        self.bits, empty = bits, bytes(1 << (bits - 9))
+        self.data = np.frombuffer(b"".join(slices.get(i, empty) for i in range(64)), np.uint8)
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Both are in the slice that the key's first six bits name."""
+        low = np.uint64((1 << (bits - 6)) - 1)
+        return (keys >> np.uint64(64 - bits)).astype(np.int64), ((keys >> np.uint64(58) << np.uint64(bits - 6)) | (keys & low)).astype(np.int64)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        a, b = self.places(keys, self.bits)
+        return ((self.data[a >> 3] >> (a & 7)) & (self.data[b >> 3] >> (b & 7)) & 1).astype(bool)
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> Filter:
+        """From column key; each slice is made in one task."""
+        bits = min(FILTER, max(16, (16 * keys.count()).bit_length()))
+
+        def fill(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            size, made = 1 << (bits - 9), {}
             for batch in batches:
-                for _, _, ids, _ in _runs(batch.column(0), tree.end):
-                    held.append(tree.grams(ids))
-                    size += len(held[-1])
-                    if size > 6 * STEP:
-                        yield ready()
-                        held, size = [], 0
-            if held:
-                yield ready()
-
-        grams = encoded.select("p_ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        table = grams.where(F.col("n") >= least).toPandas()  # 1 / SHARE rows at most
-        if table.empty:
-            break
-        tree.add(table["key"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
-        shared.unpersist()
-    return tree
+                mine = np.asarray(batch.column(0)).view(np.uint64)
+                which = (mine >> np.uint64(58)).astype(np.int64)
+                for i in np.unique(which).tolist():
+                    data = made.setdefault(i, np.zeros(size, np.uint8))
+                    for at in cls.places(mine[which == i], bits):
+                        at = at - i * size * 8
+                        np.bitwise_or.at(data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([d.tobytes() for d in made.values()], pa.binary())], names=["slice", "data"])
+
+        rows = keys.repartition(64, F.shiftrightunsigned("key", 58)).mapInArrow(fill, "slice int, data binary").toArrow()  # 2 ** FILTER bits at most
+        return cls(bits, dict(zip(rows["slice"].to_pylist(), rows["data"].to_pylist(), strict=True)))
+
+
+def _names(first: int, last: int) -> list[str]:
+    return [f"t{k}" for k in range(first, last + 1)]
+
+
+def _key(k: int) -> Column:
+    return F.xxhash64(*_names(1, k))
+
+
+def count_grams(encoded: DataFrame, k: int, shorter: Filter | None) -> DataFrame:
+    """t1 to tk, n of the grams of k tokens that occur LEAST times, in the shared folder; shorter has those of k - 1 tokens."""
+    shared = encoded.sparkSession.sparkContext.broadcast(shorter)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def ready() -> pa.RecordBatch:
+            _, at, n = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_counts=True)
+            columns = [pa.array(np.concatenate([h[j] for h in held])[at]) for j in range(1, k + 1)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=[*_names(1, k), "n"])
+
+        for batch in batches:
+            for _, codes, _ in _runs(batch.column(0), batch.column(1)):
+                if len(codes) < k:
+                    continue
+                keys = gram_keys(codes, k)
+                use = np.ones(len(keys[-1]), bool)
+                for j in range(1, k - 1):
+                    use &= codes[j : len(codes) - k + 1 + j] != 0
+                if shared.value is not None:
+                    has = shared.value.has(keys[-2])
+                    use &= has[:-1] & has[1:]
+                at = np.flatnonzero(use)
+                held.append([keys[-1][at], *(codes[at + j] for j in range(k))])
+                size += len(at)
+                if size > 3 * STEP:
+                    yield ready()
+                    held, size = [], 0
+        if held:
+            yield ready()
+
+    schema = ", ".join(f"{t} long" for t in _names(1, k)) + ", n long"
+    grams = encoded.select("p_ids", "p_rare").mapInArrow(count, schema).groupBy(*_names(1, k)).agg(F.sum("n").alias("n"))
+    return save(grams.where(F.col("n") >= LEAST), f"grams{k}")
+
+
+def _free(df: DataFrame) -> None:
+    """Have the driver let go of shuffles whose tables are gone, so that their files are removed."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def grow(encoded: DataFrame, counts: DataFrame, whole: float) -> DataFrame:
+    """key, ratio, keep, n of diverging grams and retained contexts, in the shared folder; counts has code, n of all words."""
+    root = counts.select(F.col("code").alias("t1"), "n", ((F.col("n") + 1.0) / F.lit(whole)).alias("p0"), F.lit(1.0).alias("r"))
+    entries, below, seen = [], root, None
+    with recorded() as made:
+        for k in range(2, DEPTH + 2):
+            grams = count_grams(encoded, k, seen)
+            if k <= DEPTH:
+                seen = Filter.of(grams.select(_key(k).alias("key")))
+            _free(encoded)
+            context, suffix = _names(1, k - 1), _names(2, k)
+            above = below.select(*context, F.col("n").alias("n_s"))
+            rest = below.select(*(F.col(a).alias(b) for a, b in zip(context, suffix, strict=True)), "p0", "r")
+            want = F.col("n_s") * F.col("p0") * F.col("r")
+            diverges = (F.col("n") > want) & (F.col("n") * F.log(F.col("n") / want) - (F.col("n") - want) > DIVERGENCE)
+            level = grams.join(above, context).join(rest, suffix).withColumn("gain", F.when(diverges, (F.col("n") - DISCOUNT) / F.col("n_s")).otherwise(0.0))
+            level = save(level.select(*_names(1, k), "n", "n_s", "p0", "r", "gain"), f"level{k}")
+            found = level.where("gain > 0")
+            kept = save(found.groupBy(*context).agg((1.0 - F.sum("gain")).alias("keep"), F.max("n_s").alias("n_s")), f"kept{k}")
+            entries.append(found.select(_key(k).alias("key"), (F.col("gain") / F.col("p0")).alias("ratio"), F.lit(1.0).alias("keep"), "n"))
+            entries.append(kept.select(_key(k - 1).alias("key"), F.lit(0.0).alias("ratio"), "keep", F.col("n_s").alias("n")))
+            if k <= DEPTH:
+                value = F.col("gain") / F.col("p0") + F.coalesce("keep", F.lit(1.0)) * F.col("r")
+                below = save(level.join(kept.drop("n_s"), context, "left").select(*_names(1, k), "n", "p0", value.alias("r")), f"values{k}")
+        union = entries[0]
+        for e in entries[1:]:
+            union = union.unionByName(e)
+        model = save(union.groupBy("key").agg(F.max("ratio").alias("ratio"), F.min("keep").alias("keep"), F.max("n").alias("n")), "model")
+    drop_unread(made, model)
+    _free(encoded)
+    return model
+
+
+def hottest(model: DataFrame, most: int) -> int:
+    """The least n that at most so many entries reach; 0 if all may be taken."""
+    sizes = sorted(((r.m, r["count"]) for r in model.groupBy(F.least("n", F.lit(1 << 14)).alias("m")).count().collect()), reverse=True)
+    left = most
+    for m, count in sizes:
+        if count > left:
+            return m + 1
+        left -= count
+    return 0
 
 
 def score_held_out(docs: DataFrame, modulus: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents; those not held out are learned from."""
     rows = docs.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), "text")
+    spark = docs.sparkSession
     words = count_words(rows.where(~F.col("held_out")))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    least = max(1, COMMON * n)
-    common = words.where(F.col("n") >= least).toPandas()  # 1 / COMMON rows at most
-    if len(common) >= 1 << _BITS:
-        raise ValueError("more common words than COMMON allows")
-    tree = Tree(dict(zip(common["word"].map(bytes), common["n"].tolist(), strict=True)), n, v)
-    encoded = encode(rows, tree, ["doc_id", "held_out"])
-    shared = docs.sparkSession.sparkContext.broadcast(grow(tree, encoded.where(~F.col("held_out"))))
+    whole, common = n + v + 1.0, (F.col("n") >= max(1, COMMON * n)) | (F.col("word") == F.lit(END))
+    table = words.where(common).select("word", "n").toArrow()  # 1 / COMMON rows at most
+    times = {w: c for w, c in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True) if w != END}
+    ends = int(n > 0 and sum(c for w, c in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True) if w == END))
+    order = [END, *sorted(times, key=lambda w: (-times[w], w))]
+    count = np.array([ends, *(times[w] for w in order[1:])], np.int64)
+    encoded = encode(rows, {w: i for i, w in enumerate(order)}, np.log10((count + 1.0) / whole), ends > 0, ["doc_id", "held_out"])
+    codes = spark.createDataFrame(pa.table({"code": np.arange(len(count)), "n": count}), "code long, n long")
+    rare = words.where(~common).select("code", "n")
+    model = grow(encoded.where(~F.col("held_out")), codes.union(rare), whole)
+    least = hottest(model, HOT)
+    hot = model.where(F.col("n") >= least).select("key", "ratio", "keep").toArrow()  # HOT rows at most
+    keys = hot["key"].to_numpy()
+    by_key = np.argsort(keys)
+    cold = model.where(F.col("n") < least)
+    absent = Filter.of(cold.select("key")) if least else None
+    shared = spark.sparkContext.broadcast((keys[by_key], hot["ratio"].to_numpy()[by_key], hot["keep"].to_numpy()[by_key], absent))
+    del hot, keys, by_key
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        keys, ratios, keeps, cold = shared.value
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("p_ids"))
-            scores = []
-            for _, _, ids, bounds in _runs(column, tree.end):
-                sums = np.concatenate([[0.0], np.cumsum(tree.score(ids))])
-                scores.append(sums[bounds[1:]] - sums[bounds[:-1]])
+            column, others = (batch.column(batch.schema.get_field_index(c)) for c in ("p_ids", "p_rare"))
             lengths = np.diff(np.asarray(column.offsets)).astype(np.int64)
+            scores, sizes, asked = [], [], []
+            for _, codes, bounds in _runs(column, others):
+                m = len(codes)
+                grams = gram_keys(codes, min(DEPTH + 1, m))
+                wanted, value = np.zeros((2 * DEPTH, m), np.uint64), np.repeat([[1.0]] * DEPTH + [[0.0]] * DEPTH, m, axis=1)
+                open_ = np.zeros((2 * DEPTH, m), bool)
+                for k, g in enumerate(grams, 1):
+                    place = _find(keys, g.view(np.int64), signed=True)
+                    there = place >= 0
+                    miss = cold.has(g) & ~there if cold is not None else None
+                    if k <= DEPTH:  # the context of the token after it
+                        value[k - 1, k:] = np.where(there, keeps[place] if len(keys) else 1.0, 1.0)[: m - k]
+                        if miss is not None:
+                            wanted[k - 1, k:], open_[k - 1, k:] = g[: m - k], miss[: m - k]
+                    if k > 1:
+                        value[DEPTH + k - 2, k - 1 :] = np.where(there, ratios[place] if len(keys) else 0.0, 0.0)
+                        if miss is not None:
+                            wanted[DEPTH + k - 2, k - 1 :], open_[DEPTH + k - 2, k - 1 :] = g, miss
+                p = np.ones(m)
+                for k in range(DEPTH):
+                    p = value[DEPTH + k] + value[k] * p
+                late = open_.any(axis=0)
+                late[0] = False
+                logs = np.where(late, 0.0, np.log10(p))[1:]
+                sums = np.concatenate([[0.0], np.cumsum(logs)])
+                scores.append(sums[bounds[1:]] - sums[bounds[:-1]])
+                at, slot = np.nonzero((open_ | (value != np.repeat([[1.0]] * DEPTH + [[0.0]] * DEPTH, m, axis=1))).T & late[:, None])
+                sizes.append(np.diff(np.searchsorted(at - 1, bounds)))
+                is_open = open_[slot, at]
+                asked.append((at, slot.astype(np.int8), pa.array(wanted[slot, at].view(np.int64), mask=~is_open), pa.array(value[slot, at], mask=is_open)))
+            parts = [pa.array(np.concatenate([a[0] for a in asked]), pa.int64()), pa.array(np.concatenate([a[1] for a in asked]), pa.int8()), *(pa.concat_arrays([a[j] for a in asked]) for j in (2, 3))]
+            struct = pa.StructArray.from_arrays(parts, names=["at", "slot", "key", "value"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.concatenate(sizes)]).astype(np.int32)), struct)
             names = ["doc_id", "held_out", "p_row", "p_known", "p_base"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lengths), pa.array(np.concatenate(scores))], names=[*names, "n_tokens", "p_score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lengths), pa.array(np.concatenate(scores)), lists], names=[*names, "n_tokens", "p_score", "p_asked"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = encoded.select("doc_id", "held_out", "p_row", "p_known", "p_base", "p_ids").mapInArrow(run, f"doc_id {kind}, held_out boolean, p_row long, p_known long, p_base double, n_tokens long, p_score double")
-    rare = encoded.select("p_row", F.explode("p_rare").alias("r")).select("p_row", "r.word", "r.times")
-    found = rare.join(words.where(F.col("n") < least), "word", "left")
-    log = F.log10(F.coalesce("n", F.lit(0)) + 1.0) - F.lit(tree.floor)
-    sums = found.groupBy("p_row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * log).alias("b"))
-    out, rest = scored.join(sums, "p_row", "left"), F.coalesce("b", F.lit(0.0))
+    schema = f"doc_id {kind}, held_out boolean, p_row long, p_known long, p_base double, n_tokens long, p_score double, p_asked array<struct<at:long,slot:tinyint,key:long,value:double>>"
+    scored = encoded.select("doc_id", "held_out", "p_row", "p_known", "p_base", "p_ids", "p_rare").mapInArrow(run, schema)
+    log = F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(whole))
+    found = encoded.select("p_row", F.explode("p_rare").alias("code")).join(rare, "code", "left")
+    sums = found.groupBy("p_row").agg(F.count("n").alias("k"), F.sum(log).alias("b"))
+    out = scored.join(sums, "p_row", "left")
+    gain = F.col("p_score")
+    if least:
+        scored = save(scored, "scored")
+        asked = scored.select("p_row", F.explode("p_asked").alias("a")).select("p_row", "a.*")
+        known = asked.where(F.col("key").isNull()).select("p_row", "at", "slot", "value")
+        looked = asked.where(F.col("key").isNotNull()).drop("value").join(cold.select("key", "ratio", "keep"), "key")
+        looked = looked.select("p_row", "at", "slot", F.when(F.col("slot") < DEPTH, F.col("keep")).otherwise(F.col("ratio")).alias("value"))
+        slots = [F.coalesce(F.max(F.when(F.col("slot") == k, F.col("value"))), F.lit(1.0 if k < DEPTH else 0.0)) for k in range(2 * DEPTH)]
+        p = F.lit(1.0)
+        for k in range(DEPTH):
+            p = slots[DEPTH + k] + slots[k] * p
+        late = known.union(looked).groupBy("p_row", "at").agg(F.log10(p).alias("late")).groupBy("p_row").agg(F.sum("late").alias("late"))
+        out = scored.drop("p_asked").join(sums, "p_row", "left").join(late, "p_row", "left")
+        gain = gain + F.coalesce("late", F.lit(0.0))
+    base = F.col("p_base") + F.coalesce("b", F.lit(0.0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("p_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("p_base") + rest).alias("base_score"),
-        (F.col("p_score") + rest).alias("score"),
+        base.alias("base_score"),
+        (base + gain).alias("score"),
     )

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,42 @@ def test_suffix_tree_distributions_sum_to_one():
     assert p[2] == pytest.approx(41 / 145)
 
 
+def _in_one_process(texts, held):
+    """Scores by a Tree that has every word and every gram that occurs twice, the grams counted in plain Python."""
+    all_tokens = [suffix_tree.tokens(t) for t in texts]
+    train = [ts for i, ts in enumerate(all_tokens) if not held[i]]
+    words = Counter(t for ts in train for t in ts)
+    tree = suffix_tree.Tree(words, sum(words.values()), len(words))
+    code = lambda ts: np.array([tree.ids.get(t, -1) for t in [suffix_tree.END, *ts]], np.int64)
+    for _ in range(suffix_tree.DEPTH):
+        grams = Counter(k for ts in train for k in tree.grams(code(ts)).tolist())
+        keys = [k for k, n in grams.items() if n >= 2]
+        if not keys:
+            break
+        tree.add(np.array(keys, np.int64), np.array([grams[k] for k in keys], np.int64))
+    return [float(tree.score(code(ts)).sum()) - tree.floor * sum(t not in words for t in ts) for ts in all_tokens]
+
+
+@pytest.mark.parametrize("hot", [suffix_tree.HOT, 50])
+def test_suffix_tree_tables_against_one_process(spark, odd_docs, monkeypatch, hot):
+    monkeypatch.setattr(suffix_tree, "HOT", hot)
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    rows = docs.collect()
+    want = _in_one_process([r.text for r in rows], [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows])
+    got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 5)) for r in suffix_tree.score_held_out(docs).collect())
+    for g, w in zip(got, sorted((r.doc_id is None, r.doc_id or 0, round(s, 5)) for r, s in zip(rows, want, strict=True)), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-4)
+
+
+def test_suffix_tree_learns_rare_words_of_a_large_corpus(spark):
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(1, 40) if i not in ids)
+    rows = [(i, "a b c d " * 20_000 + "qzx vwy " * (k < 3)) for k, i in enumerate(ids)] + [(held, "qzx vwy")]
+    row = suffix_tree.score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).where(f"doc_id = {held}").first()
+    assert row.train_tokens * suffix_tree.COMMON > 3 and row.n_known == 3
+    assert row.score > row.base_score + 4
+
+
 def _split(url):
     if url is None or "://" not in url:
         return "", ""
