@@ -101,16 +101,21 @@ def pack(table: DataFrame, capacity: int = 2048, open_bins: int = 1024, group_to
     """The pieces with sequence_id and offset added; the other columns stay.
 
     Pieces are dealt at random, by their hash, into groups of about
-    ``group_tokens`` tokens; within a group they come longest first, so that
-    best fit leaves little unused.  A group is a stream through one task, which
-    holds the open bins and nothing else.
+    ``group_tokens`` tokens, and within a group into rounds of about half of what
+    the open bins can hold; within a round they come longest first, so that best
+    fit leaves little unused.  Pieces of more than half a bin are then fewer in a
+    round than the open bins, and those find their short pieces before they must
+    close.  A group is a stream through one task, which holds the open bins and
+    nothing else.
     """
     total = table.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     groups = max(1, -(-total // group_tokens))
+    rounds = max(1, -(-total // (groups * max(1, open_bins * capacity // 2))))
     schema = StructType([*table.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
     names = [f.name for f in schema]
-    dealt = table.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
-    dealt = dealt.repartition(groups, "__group").sortWithinPartitions("__group", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    key = ["doc_id", "piece", "length", "ids_crc32"]
+    dealt = table.withColumn("__group", F.pmod(F.xxhash64(*key), F.lit(groups))).withColumn("__round", F.pmod(F.xxhash64(*key, F.lit(1)), F.lit(rounds)))
+    dealt = dealt.repartition(groups, "__group").sortWithinPartitions("__group", "__round", F.desc("length"), "doc_id", "piece", "ids_crc32")
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, bins = None, OpenBins(capacity, open_bins)

@@ -65,6 +65,15 @@ def test_packing_places_every_token_once(spark, odd_docs, tokenizer):
     assert packing.pack_documents(odd_docs.limit(0)).count() == 0
 
 
+def test_packing_of_more_long_pieces_than_open_bins(spark):
+    rng = np.random.default_rng(4)
+    lengths = [*rng.integers(1025, 2047, 2500).tolist(), *rng.integers(20, 900, 9000).tolist()]
+    table = spark.createDataFrame([(i, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, length long, ids_crc32 long")
+    rows = packing.pack(table).select("doc_id", "sequence_id", "offset", "length").collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    assert len({r.sequence_id for r in rows}) <= 1.01 * sum(lengths) / 2048
+
+
 def test_token_files_round_trip(spark, odd_docs, tokenizer):
     folder = new_path(spark, "t")
     files = token_files.write(odd_docs, folder, file_tokens=500)
