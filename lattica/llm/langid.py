@@ -41,7 +41,7 @@ def has_letter(text: str | None) -> bool:
 
 def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(index of the text, bucket) of all n-grams of all texts, a step at a time."""
-    flat = ("\0" + "\0".join(texts) + "\0").lower().encode("utf-32-le", "surrogatepass")
+    flat = ("\0" + "\0".join(t.replace("\0", " ") for t in texts) + "\0").lower().encode("utf-32-le", "surrogatepass")
     codes = np.frombuffer(flat, np.uint32)
     letters, before = _letters(), 0
     for at in range(0, len(codes) - 2, STEP):

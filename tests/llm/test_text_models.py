@@ -40,6 +40,19 @@ def test_long_texts_score_as_in_one_piece(prose, monkeypatch):
     assert flat(whole) == flat(parts)
 
 
+def test_language_of_texts_with_nul_and_their_neighbours(spark, prose):
+    texts = [prose(30, 1), "la casa\0 de la\0\0 montaña \0", prose(30, 2), "\0", "el río"]
+    spaced = [t.replace("\0", " ") for t in texts]
+    for at, other in zip(langid.features(texts), langid.features(spaced), strict=True):
+        assert at[0].tolist() == other[0].tolist() and at[1].tolist() == other[1].tolist()
+    table = lambda ts: spark.createDataFrame([(t, "en" if i in (0, 2) else "es") for i, t in enumerate(ts)], "text string, lang string").coalesce(1)
+    model = langid.train(table(texts))
+    assert (model.log_prob == langid.train(table(spaced)).log_prob).all()
+    names, score = model.predict(texts)
+    alone = [model.predict([t]) for t in texts]
+    assert names == [a[0][0] for a in alone] == ["en", "es", "en", "und", "es"] and score == pytest.approx([a[1][0] for a in alone])
+
+
 def _measures(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
