@@ -43,8 +43,9 @@ from lattica.llm.scratch import save
 WORDS, LEVELS, BUCKET, BLOCK, SKETCH = 5, 3, 256, 1024, 64
 #: Tokens, over 1 / (overlap * size), that a set picks at each level; level 1 is covered by many runs.
 PICKS = (1.0, 2.0, 2.0)
-#: A linked pair's chance to have a token in common in one run at all levels.
-SURVIVAL = 0.6
+#: A linked pair's chance, at least, to have a token in common in one run at all levels: a set within
+#: another shares 0.9 of the tokens that a level picks on average.
+SURVIVAL = math.prod(1 - math.exp(-0.9 * p) for p in PICKS)
 #: Pairs in a bucket whose sketches are less alike are not candidates: five standard errors below 0.8.
 SKETCH_LEAST = 0.55
 #: Row ids that a broadcast may hold (16 bytes each); above it the join shuffles.

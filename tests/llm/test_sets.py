@@ -190,3 +190,12 @@ def test_bundles_are_read_one_record_at_a_time(tmp_path):
 
     whole = zstandard.ZstdDecompressor().stream_reader(open(path.removeprefix("file://"), "rb"), read_across_frames=True).read()
     assert whole.count(b"WARC/1.1\r\n") == 20
+
+
+def test_runs_reach_the_recall_through_all_levels():
+    rng = np.random.default_rng(3)
+    n, most, draws = 400, jaccard.runs_for(0.999), 20_000
+    overlap, together = 2 * 0.8 / 1.8, np.ones(draws, bool)
+    for p in jaccard.PICKS:  # a set of 0.8 n tokens within one of n; a token is shared if the larger one picks it
+        together &= rng.binomial(round(0.8 * n), p / overlap / n, draws) > 0
+    assert (1 - together.mean()) ** most <= 0.001
