@@ -139,11 +139,11 @@ def iferror_guard(spark, d):
     select l_quantity as q, round(l_quantity * 0.3331, 1) as r, ceil(l_quantity * 0.3331 * 10) / 10 as up, floor(l_quantity * 0.3331 * 10) / 10 as down,
            round(l_quantity * 37.31 / 10) * 10 as tens from (select distinct l_quantity from lineitem)""")
 def round_family(spark, d):
-    b = Book(spark)
-    b.bind("t", spark.read.parquet(f"{d}/lineitem.parquet").select("l_quantity").distinct())
+    """Fills over every row; the SQL has each quantity once, so equal results are then united."""
+    b = book(spark, d, "lineitem")
     for name, f in (("r", "ROUND([@l_quantity]*0.3331,1)"), ("u", "ROUNDUP([@l_quantity]*0.3331,1)"), ("v", "ROUNDDOWN([@l_quantity]*0.3331,1)"), ("t", "ROUND([@l_quantity]*37.31,-1)")):
-        b.fill("t", name, "=" + f)
-    return b.table("t", q="l_quantity", r="r", up="u", down="v", tens="t")
+        b.fill("lineitem", name, "=" + f)
+    return b.table("lineitem", q="l_quantity", r="r", up="u", down="v", tens="t").distinct()
 
 
 @query("select c_custkey::double as k, floor(c_acctbal) as whole, c_acctbal - (-7.0) * floor(c_acctbal / (-7.0)) as rest, abs(c_acctbal) as size from customer")

@@ -43,6 +43,14 @@ def test_csv_spelling_is_also_held_over_whole_texts(spark, tmp_path):
     assert [got[i] for i in range(len(texts))] == ['"' + t.replace('"', '""') + '"' if t and set(t) & set(',"\r\n') else t for t in guarded]
 
 
+def test_round_family_fills_every_row(spark, monkeypatch):
+    bound = {}
+    bind = catalog.Book.bind
+    monkeypatch.setattr(catalog.Book, "bind", lambda self, name, df, *a: (bound.update({name: df.count()}), bind(self, name, df, *a))[1])
+    assert catalog.round_family(spark, SF).count() == 50
+    assert list(bound.values()) == [spark.read.parquet(f"{SF}/lineitem.parquet").count()]
+
+
 def test_entry_works_without_the_corpus_package(tmp_path):
     root = Path(catalog.__file__).resolve().parents[2]
     for name in ("__spark_entry__.py", "lattica"):
