@@ -8,10 +8,14 @@ tokens picked in the same way for the next level, up to ``LEVELS`` levels; the
 runs are as many as ``recall`` needs.  Small buckets are compared by brute force
 on the sets' bottom-k sketches; sets that stay together in a bucket that no
 level could split are taken to be linked for now.  What comes of this are
-candidate components, far apart sets being in different ones.  Within each
-component every pair of sets is then compared exactly, so a link is missed only
-if no chain of buckets joins its ends.  Components of more than ``BLOCK`` sets
-are compared block by block, each pair of blocks being a task of its own.
+candidate components, far apart sets being in different ones.  The first ``EARLY``
+runs are joined into components before the others begin: a bucket whose sets are
+all in one of them adds nothing and is neither split nor compared, so a large
+group of near copies is taken apart in a few runs only.  Within each component
+every pair of sets is then compared exactly, so a link is missed only if no chain
+of buckets joins its ends.  Components of more than ``BLOCK`` sets, or
+``BLOCK_SHINGLES`` shingles, are compared block by block, each pair of blocks
+being a task of its own.
 
 Shingles: words of [^\\x20\\x09-\\x0D], five in a row, compared by 64-bit hashes
 of all of the words; a text of one to four words has all of them as its only
@@ -26,13 +30,13 @@ table gives no rows; other columns are kept and never looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,7 +44,9 @@ from lattica.llm.bpe import WordIds
 from lattica.llm.components import components
 from lattica.llm.scratch import save
 
-WORDS, LEVELS, BUCKET, BLOCK, SKETCH = 5, 3, 256, 1024, 64
+WORDS, LEVELS, BUCKET, BLOCK, SKETCH, EARLY = 5, 3, 256, 1024, 64, 4
+#: Shingles (8 bytes each) that a block of a component holds on average, at most.
+BLOCK_SHINGLES = 1 << 20
 #: Tokens, over 1 / (overlap * size), that a set picks at each level; level 1 is covered by many runs.
 PICKS = (1.0, 2.0, 2.0)
 #: A linked pair's chance, at least, to have a token in common in one run at all levels: a set within
@@ -96,7 +102,8 @@ class Shingler:
 
 
 def runs_for(recall: float) -> int:
-    return math.ceil(math.log(1 / (1 - recall)) / SURVIVAL)
+    """Runs pick by hashes of their own, so a pair is missed by all of them with (1 - SURVIVAL) ** runs at most."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - SURVIVAL))
 
 
 def index(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
@@ -192,26 +199,44 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def candidates(sets: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges a, b between rows of ``reps`` (j_row) that share buckets; their components hold all links."""
-    mine = sets.where("j_n > 0").select("j_row", "j_paths").join(reps.select("j_row"), "j_row", "left_semi")
-    rows = mine.select("j_row", F.explode(F.filter("j_paths", lambda p: p["level"] == 0)).alias("p")).select("j_row", "p.run", "p.key")
+def _shared(rows: DataFrame, name: str) -> DataFrame:
+    """rows (j_row, comp, run, key) of buckets with sets of several components, with m, the bucket's size."""
+    count = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("one"), F.max("comp").alias("other"))
+    return save(rows.join(count.where("one <> other").select("key", "m"), "key"), name)
+
+
+def _split(sets: DataFrame, mine: DataFrame, runs: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """Small buckets (rows: their sets) and edges a, b of those that no level could split, of the runs."""
+    rows = mine.select("j_row", "comp", F.explode(F.filter("j_paths", lambda p: (p["level"] == 0) & runs(p["run"]))).alias("p")).select("j_row", "comp", "p.run", "p.key")
     done: list[DataFrame] = []
     for level in range(LEVELS):
-        count = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-        shared = save(rows.join(count, "key"), f"buckets-{level}")
-        small = shared.where(F.col("m") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("j_row")).alias("rows"))  # of BUCKET rows at most
-        done.append(small.select("rows").distinct())
+        shared = _shared(rows, f"buckets-{level}")
+        done.append(shared.where(F.col("m") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("j_row")).alias("rows")).select("rows"))  # of BUCKET rows at most
         large = shared.where(F.col("m") > BUCKET)
         if level == LEVELS - 1 or large.limit(1).count() == 0:
             break
         deep = sets.select("j_row", F.expr(f"filter(j_paths, p -> p.level = {level + 1})").alias("deep"))
-        rows = large.join(deep, "j_row").select("j_row", "run", "key", F.explode(F.filter("deep", lambda p: p["run"] == F.col("run"))["key"]).alias("next"))
-        rows = rows.select("j_row", "run", F.xxhash64("key", "next").alias("key"))
+        rows = large.join(deep, "j_row").select("j_row", "comp", "run", "key", F.explode(F.filter("deep", lambda p: p["run"] == F.col("run"))["key"]).alias("next"))
+        rows = rows.select("j_row", "comp", "run", F.xxhash64("key", "next").alias("key"))
     buckets = done[0]
     for more in done[1:]:
         buckets = buckets.unionByName(more)
-    placed = buckets.distinct().select(F.xxhash64("rows").alias("bucket"), F.explode("rows").alias("j_row"))
+    centre = large.groupBy("key").agg(F.min("j_row").alias("b"))
+    return buckets.distinct(), large.join(centre, "key").select(F.col("j_row").alias("a"), "b").where("a <> b")
+
+
+def candidates(sets: DataFrame, reps: DataFrame, early: int = EARLY) -> DataFrame:
+    """Edges a, b between rows of ``reps`` (j_row) that share buckets; their components hold all links."""
+    mine = sets.where("j_n > 0").select("j_row", "j_paths").join(reps.select("j_row"), "j_row", "left_semi")
+    first = save(_edges_of(sets, *_split(sets, mine.withColumn("comp", F.col("j_row")), lambda run: run < early)), "early")
+    known = save(components(first), "early-components").withColumnRenamed("node", "j_row")
+    mine = mine.join(known, "j_row", "left").withColumn("comp", F.coalesce("root", "j_row"))
+    return first.unionByName(_edges_of(sets, *_split(sets, mine, lambda run: run >= early)))
+
+
+def _edges_of(sets: DataFrame, buckets: DataFrame, unsplit: DataFrame) -> DataFrame:
+    """Edges a, b between the sets of a small bucket whose sketches are alike, and the unsplit ones'."""
+    placed = buckets.select(F.xxhash64("rows").alias("bucket"), F.explode("rows").alias("j_row"))
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int]] = []
@@ -225,8 +250,6 @@ def candidates(sets: DataFrame, reps: DataFrame) -> DataFrame:
         yield _edges(pairs)
 
     compared = placed.join(sets.select("j_row", "j_n", "j_sketch"), "j_row").repartition("bucket").sortWithinPartitions("bucket", "j_row").mapInArrow(brute, "a long, b long")
-    centre = large.groupBy("key").agg(F.min("j_row").alias("b"))
-    unsplit = large.join(centre, "key").select(F.col("j_row").alias("a"), "b").where("a <> b")
     return compared.unionByName(unsplit).distinct()
 
 
@@ -260,9 +283,9 @@ def verify(sets: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float
     The threshold is taken as a fraction of whole thousandths.
     """
     up = round(threshold * 1000)
-    sizes = comps.groupBy("root").agg(F.count("*").alias("m"))
-    placed = comps.join(sizes, "root").select(F.col("node").alias("j_row"), F.col("root").alias("comp"), F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    placed = save(placed.join(reps.select("j_row", "w"), "j_row"), "placed")
+    placed = comps.select(F.col("node").alias("j_row"), F.col("root").alias("comp")).join(reps.select("j_row", "w", "n"), "j_row")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES))
+    placed = save(placed.join(placed.groupBy("comp").agg(blocks.alias("blocks")), "comp").drop("n"), "placed")
     few = placed.count() <= BROADCAST_ROWS
     texts = sets.select("j_row", "text").join(F.broadcast(placed) if few else placed, "j_row")
     block = F.pmod(F.xxhash64("j_row"), F.col("blocks")).cast("int")
@@ -335,7 +358,8 @@ def _slim(batches: Iterable[pa.RecordBatch], shingles: Shingler) -> Iterator[pa.
 def classes(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     """j_row, doc_id, class_row (its class's first row), class_id (smallest doc_id), n_links (documents at or above the threshold)."""
     rows = sets.select("j_row", "doc_id", "j_f1", "j_f2")
-    reps = save(rows.groupBy("j_f1", "j_f2").agg(F.min("j_row").alias("j_row"), F.count("*").alias("w"), F.min("doc_id").alias("first_doc")), "classes")
+    reps = sets.groupBy("j_f1", "j_f2").agg(F.min("j_row").alias("j_row"), F.count("*").alias("w"), F.min("doc_id").alias("first_doc"), F.min("j_n").cast("long").alias("n"))
+    reps = save(reps, "classes")
     comps = save(components(save(candidates(sets, reps), "candidates")), "components")
     found = verify(sets, reps, comps, threshold)
     ours = reps.join(found, "j_row", "left").select("j_f1", "j_f2", "first_doc", F.coalesce("root", "j_row").alias("class_row"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
