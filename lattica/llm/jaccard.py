@@ -1,17 +1,16 @@
 """Similarity join of documents on word 5-grams (Jaccard), by chosen paths.
 
 Documents with equal sets of 5-grams are one class from the start; classes are
-joined.  In each of a number of runs every set picks tokens (5-grams) by a hash
-of run and token, about 1 / (overlap * size) of them, and goes to the bucket of
-each token picked.  A bucket of more than ``BUCKET`` sets is split again by
-tokens picked in the same way for the next level, up to ``LEVELS`` levels; the
-runs are as many as ``recall`` needs.  Small buckets are compared by brute force
-on the sets' bottom-k sketches; sets that stay together in a bucket that no
-level could split are taken to be linked for now.  What comes of this are
-candidate components, far apart sets being in different ones.  The first ``EARLY``
-runs are joined into components before the others begin: a bucket whose sets are
-all in one of them adds nothing and is neither split nor compared, so a large
-group of near copies is taken apart in a few runs only.  Within each component
+joined.  In each of a number of runs every set samples one of its tokens
+(5-grams), the one with the smallest hash of run and token, so that two sets
+sample the same one with a probability equal to their similarity, and goes to
+that token's bucket.  A bucket of more than ``BUCKET`` sets is split again by a
+token sampled in the same way for the next level, up to ``LEVELS`` levels; a set
+is in one bucket a run at every level, however large its buckets are.  The runs
+are as many as ``recall`` needs.  Small buckets are compared by brute force on
+the sets' bottom-k sketches; sets that stay together in a bucket that no level
+could split are taken to be linked for now.  What comes of this are candidate
+components, far apart sets being in different ones.  Within each component
 every pair of sets is then compared exactly, so a link is missed only if no chain
 of buckets joins its ends.  Components of more than ``BLOCK`` sets, or
 ``BLOCK_SHINGLES`` shingles, are compared block by block, each pair of blocks
@@ -30,13 +29,13 @@ table gives no rows; other columns are kept and never looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,14 +43,9 @@ from lattica.llm.bpe import WordIds
 from lattica.llm.components import components
 from lattica.llm.scratch import save
 
-WORDS, LEVELS, BUCKET, BLOCK, SKETCH, EARLY = 5, 3, 256, 1024, 64, 4
+WORDS, LEVELS, BUCKET, BLOCK, SKETCH = 5, 3, 256, 1024, 64
 #: Shingles (8 bytes each) that a block of a component holds on average, at most.
 BLOCK_SHINGLES = 1 << 20
-#: Tokens, over 1 / (overlap * size), that a set picks at each level; level 1 is covered by many runs.
-PICKS = (1.0, 2.0, 2.0)
-#: A linked pair's chance, at least, to have a token in common in one run at all levels: a set within
-#: another shares 0.9 of the tokens that a level picks on average.
-SURVIVAL = math.prod(1 - math.exp(-0.9 * p) for p in PICKS)
 #: Pairs in a bucket whose sketches are less alike are not candidates: five standard errors below 0.8.
 SKETCH_LEAST = 0.55
 #: Row ids that a broadcast may hold (16 bytes each); above it the join shuffles.
@@ -101,18 +95,21 @@ class Shingler:
         return np.unique(_mix(total))
 
 
-def runs_for(recall: float) -> int:
-    """Runs pick by hashes of their own, so a pair is missed by all of them with (1 - SURVIVAL) ** runs at most."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - SURVIVAL))
+def runs_for(recall: float, threshold: float = 0.8) -> int:
+    """Runs sample by hashes of their own: one of them misses a linked pair with 1 - threshold ** LEVELS at most."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**LEVELS))
 
 
 def index(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """docs with j_row (an id of the row), j_n (size of its set), j_f1 and j_f2 (128 bits of it), j_sketch and j_paths, in the shared folder."""
-    runs, overlap = runs_for(recall), 2 * threshold / (1 + threshold)
+    """docs with j_row (an id of the row), j_n (size of its set), j_f1 and j_f2 (128 bits of it), j_sketch and j_paths, in the shared folder.
+
+    j_paths are the sampled tokens, all runs' of the first level first.
+    """
+    runs = runs_for(recall, threshold)
     docs = docs.withColumn("text", F.col("text").cast("string"))
-    added = StructType.fromDDL("j_row long, j_n int, j_f1 long, j_f2 long, j_sketch binary, j_paths array<struct<level:tinyint,run:tinyint,key:long>>")
+    added = StructType.fromDDL("j_row long, j_n int, j_f1 long, j_f2 long, j_sketch binary, j_paths array<long>")
     schema = StructType([*docs.schema.fields, *added.fields])
-    picks = [(level, run, _odd("pick", level, run), _odd("key", level, run), PICKS[level] / overlap) for level in range(LEVELS) for run in range(runs)]
+    samples = [(_odd("pick", level, run), _odd("key", level, run)) for level in range(LEVELS) for run in range(runs)]
     at = docs.columns.index("text")
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,17 +119,7 @@ def index(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> Dat
                 batch = whole.slice(first, 256)
                 sets = [shingles(t.as_py()) for t in batch.column(at)]
                 n = np.array([len(s) for s in sets], np.int64)
-                flat, owner = np.concatenate([*sets, np.zeros(0, _U)]), np.repeat(np.arange(len(sets)), n)
-                found: list[tuple[np.ndarray, ...]] = []
-                shares = {p: np.minimum(p / np.maximum(n, 1), 1.0) * 2**32 for p in {x[4] for x in picks}}
-                limits = {p: v.astype(_U)[owner] for p, v in shares.items()}
-                for level, run, odd, key, p in picks:
-                    took = np.flatnonzero(((flat * odd) >> _U(32)) < limits[p])
-                    found.append((owner[took], np.full(len(took), level, np.int8), np.full(len(took), run, np.int8), _mix(flat[took] * key).view(np.int64)))
-                who, level, run, key = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(who, kind="stable")
-                struct = pa.StructArray.from_arrays([pa.array(level[order]), pa.array(run[order]), pa.array(key[order])], names=["level", "run", "key"])
-                ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(sets)))]).astype(np.int32)
+                flat = np.concatenate([*sets, np.zeros(0, _U)])
                 ids = row + np.arange(len(sets), dtype=np.int64)
                 row += len(sets)
                 bounds = np.cumsum(n) - n
@@ -142,8 +129,13 @@ def index(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> Dat
                     if full.any():
                         total[full] = np.add.reduceat(_mix(flat ^ _odd("print", k)), bounds[full])
                     prints.append(np.where(full, _mix(total + n.astype(_U)).view(np.int64), ids if k == 1 else -1))
+                paths = np.zeros((int(full.sum()), len(samples)), np.int64)
+                if len(flat):
+                    for k, (odd, key) in enumerate(samples):
+                        paths[:, k] = _mix(np.minimum.reduceat(flat * odd, bounds[full]) ^ key).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(full) * len(samples)]).astype(np.int32)
                 sketch = [(s[:SKETCH] >> _U(32)).astype("<u4").tobytes() for s in sets]
-                columns = [pa.array(ids), pa.array(n.astype(np.int32)), pa.array(prints[0]), pa.array(prints[1]), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), struct)]
+                columns = [pa.array(ids), pa.array(n.astype(np.int32)), pa.array(prints[0]), pa.array(prints[1]), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(paths.ravel()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[f.name for f in schema])
 
     return save(docs.mapInArrow(task, schema), "shingles")
@@ -199,44 +191,26 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _shared(rows: DataFrame, name: str) -> DataFrame:
-    """rows (j_row, comp, run, key) of buckets with sets of several components, with m, the bucket's size."""
-    count = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("one"), F.max("comp").alias("other"))
-    return save(rows.join(count.where("one <> other").select("key", "m"), "key"), name)
-
-
-def _split(sets: DataFrame, mine: DataFrame, runs: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    """Small buckets (rows: their sets) and edges a, b of those that no level could split, of the runs."""
-    rows = mine.select("j_row", "comp", F.explode(F.filter("j_paths", lambda p: (p["level"] == 0) & runs(p["run"]))).alias("p")).select("j_row", "comp", "p.run", "p.key")
+def candidates(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges a, b between rows of ``reps`` (j_row) that share buckets; their components hold all links."""
+    mine = sets.where("j_n > 0").select("j_row", "j_paths").join(reps.select("j_row"), "j_row", "left_semi")
+    runs = (F.size("j_paths") / LEVELS).cast("int")
+    rows = mine.select("j_row", F.posexplode(F.slice("j_paths", 1, runs)).alias("run", "key"))
     done: list[DataFrame] = []
     for level in range(LEVELS):
-        shared = _shared(rows, f"buckets-{level}")
-        done.append(shared.where(F.col("m") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("j_row")).alias("rows")).select("rows"))  # of BUCKET rows at most
+        count = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+        shared = save(rows.join(count, "key"), f"buckets-{level}")
+        small = shared.where(F.col("m") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list("j_row")).alias("rows"))  # of BUCKET rows at most
+        done.append(small.select("rows").distinct())
         large = shared.where(F.col("m") > BUCKET)
         if level == LEVELS - 1 or large.limit(1).count() == 0:
             break
-        deep = sets.select("j_row", F.expr(f"filter(j_paths, p -> p.level = {level + 1})").alias("deep"))
-        rows = large.join(deep, "j_row").select("j_row", "comp", "run", "key", F.explode(F.filter("deep", lambda p: p["run"] == F.col("run"))["key"]).alias("next"))
-        rows = rows.select("j_row", "comp", "run", F.xxhash64("key", "next").alias("key"))
+        deep = F.element_at("j_paths", (level + 1) * runs + F.col("run") + 1)
+        rows = large.join(sets.select("j_row", "j_paths"), "j_row").select("j_row", "run", F.xxhash64("key", deep).alias("key"))
     buckets = done[0]
     for more in done[1:]:
         buckets = buckets.unionByName(more)
-    centre = large.groupBy("key").agg(F.min("j_row").alias("b"))
-    return buckets.distinct(), large.join(centre, "key").select(F.col("j_row").alias("a"), "b").where("a <> b")
-
-
-def candidates(sets: DataFrame, reps: DataFrame, early: int = EARLY) -> DataFrame:
-    """Edges a, b between rows of ``reps`` (j_row) that share buckets; their components hold all links."""
-    mine = sets.where("j_n > 0").select("j_row", "j_paths").join(reps.select("j_row"), "j_row", "left_semi")
-    first = save(_edges_of(sets, *_split(sets, mine.withColumn("comp", F.col("j_row")), lambda run: run < early)), "early")
-    known = save(components(first), "early-components").withColumnRenamed("node", "j_row")
-    mine = mine.join(known, "j_row", "left").withColumn("comp", F.coalesce("root", "j_row"))
-    return first.unionByName(_edges_of(sets, *_split(sets, mine, lambda run: run >= early)))
-
-
-def _edges_of(sets: DataFrame, buckets: DataFrame, unsplit: DataFrame) -> DataFrame:
-    """Edges a, b between the sets of a small bucket whose sketches are alike, and the unsplit ones'."""
-    placed = buckets.select(F.xxhash64("rows").alias("bucket"), F.explode("rows").alias("j_row"))
+    placed = buckets.distinct().select(F.xxhash64("rows").alias("bucket"), F.explode("rows").alias("j_row"))
 
     def brute(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: list[tuple[int, int]] = []
@@ -250,6 +224,8 @@ def _edges_of(sets: DataFrame, buckets: DataFrame, unsplit: DataFrame) -> DataFr
         yield _edges(pairs)
 
     compared = placed.join(sets.select("j_row", "j_n", "j_sketch"), "j_row").repartition("bucket").sortWithinPartitions("bucket", "j_row").mapInArrow(brute, "a long, b long")
+    centre = large.groupBy("key").agg(F.min("j_row").alias("b"))
+    unsplit = large.join(centre, "key").select(F.col("j_row").alias("a"), "b").where("a <> b")
     return compared.unionByName(unsplit).distinct()
 
 

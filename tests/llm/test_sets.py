@@ -192,10 +192,16 @@ def test_bundles_are_read_one_record_at_a_time(tmp_path):
     assert whole.count(b"WARC/1.1\r\n") == 20
 
 
-def test_runs_reach_the_recall_through_all_levels():
+def test_runs_reach_the_recall_through_all_levels(spark):
     rng = np.random.default_rng(3)
-    n, most, draws = 400, jaccard.runs_for(0.999), 20_000
-    overlap, together = 2 * 0.8 / 1.8, np.ones(draws, bool)
-    for p in jaccard.PICKS:  # a set of 0.8 n tokens within one of n; a token is shared if the larger one picks it
-        together &= rng.binomial(round(0.8 * n), p / overlap / n, draws) > 0
-    assert (1 - together.mean()) ** most <= 0.001
+    pairs, n = 400, 400
+    rows = []
+    for i in range(pairs):  # the shorter text's shingles are 0.8 of the longer one's
+        words = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: round(0.8 * n) + 4]))]
+    found = jaccard.index(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.9).toPandas().sort_values("doc_id")
+    paths = np.array(found["j_paths"].tolist()).reshape(pairs, 2, jaccard.LEVELS, -1)
+    same = paths[:, 0] == paths[:, 1]
+    assert paths.shape[3] == jaccard.runs_for(0.9) and abs(same.mean() - 0.8) < 0.03
+    assert same.all(axis=1).any(axis=1).mean() >= 0.9 - 0.03
+    assert len({*map(jaccard.runs_for, (0.9, 0.99, 0.999))}) == 3
