@@ -23,7 +23,8 @@ shingle.
 Defined results: a text without words (or null) links to nothing and is a class
 of its own, even if repeated; repeated rows are copies of one another; a class
 is named by its smallest doc_id (null if all its documents' ids are); an empty
-table gives no rows; other columns are kept and never looked at.
+table gives no rows; other columns are kept, whatever their names, and never
+looked at.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ from pyspark.sql.types import StructType
 
 from lattica.llm.bpe import WordIds
 from lattica.llm.components import components
-from lattica.llm.scratch import save
+from lattica.llm.scratch import lean, save, set_aside, tidied
 
 WORDS, LEVELS, BUCKET, BLOCK, SKETCH = 5, 3, 256, 1024, 64
 #: Shingles (8 bytes each) that a block of a component holds on average, at most.
@@ -138,7 +139,7 @@ def index(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> Dat
                 columns = [pa.array(ids), pa.array(n.astype(np.int32)), pa.array(prints[0]), pa.array(prints[1]), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(paths.ravel()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[f.name for f in schema])
 
-    return save(docs.mapInArrow(task, schema), "shingles")
+    return save(docs.mapInArrow(lean(task), schema), "shingles")
 
 
 def _alike(sketches: list[bytes], sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -223,7 +224,7 @@ def candidates(sets: DataFrame, reps: DataFrame) -> DataFrame:
                 pairs = []
         yield _edges(pairs)
 
-    compared = placed.join(sets.select("j_row", "j_n", "j_sketch"), "j_row").repartition("bucket").sortWithinPartitions("bucket", "j_row").mapInArrow(brute, "a long, b long")
+    compared = placed.join(sets.select("j_row", "j_n", "j_sketch"), "j_row").repartition("bucket").sortWithinPartitions("bucket", "j_row").mapInArrow(lean(brute), "a long, b long")
     centre = large.groupBy("key").agg(F.min("j_row").alias("b"))
     unsplit = large.join(centre, "key").select(F.col("j_row").alias("a"), "b").where("a <> b")
     return compared.unionByName(unsplit).distinct()
@@ -305,7 +306,7 @@ def verify(sets: DataFrame, reps: DataFrame, comps: DataFrame, threshold: float
         yield ready()
 
     wanted = texts.select("cell", "block", "j_row", "w", "text").repartition("cell").sortWithinPartitions("cell", "j_row")
-    found = save(wanted.mapInArrow(compare, "j_row long, links long, root long"), "compared")
+    found = save(wanted.mapInArrow(lean(compare), "j_row long, links long, root long"), "compared")
     links = found.groupBy("j_row").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.count("*").alias("cells"))
     if placed.where("blocks > 1").limit(1).count():
         final = components(found.select(F.col("j_row").alias("a"), F.col("root").alias("b")))
@@ -345,18 +346,21 @@ def classes(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     return rows.join(named, ["j_f1", "j_f2"]).select("j_row", "doc_id", "class_row", "class_id", "n_links")
 
 
+@tidied
 def join(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """doc_id, class_id, n_links of every document."""
     sets = index(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), threshold, recall)
     return classes(sets, threshold).select("doc_id", "class_id", "n_links")
 
 
+@tidied
 def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
     """docs without all but one document of each class: the row with the class's smallest doc_id stays."""
-    sets = index(docs, threshold, recall)
+    aside = set_aside(docs, ("doc_id", "text"))
+    sets = index(aside, threshold, recall)
     found = save(classes(sets, threshold).select("j_row", "doc_id", "class_row"), "members")
     first = found.groupBy("class_row").agg(F.min_by("j_row", F.struct(F.col("doc_id").isNull(), "doc_id", "j_row")).alias("j_row"))
     gone = save(found.select("j_row").join(first, "j_row", "left_anti"), "copies")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return sets.join(gone, "j_row", "left_anti").select(*docs.columns)
+    return sets.join(gone, "j_row", "left_anti").select(*aside.columns).toDF(*docs.columns)

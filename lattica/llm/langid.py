@@ -10,7 +10,10 @@ document.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 rows without a language teach nothing; with no labelled row at all every
-prediction is ``und``; languages that tie go to the one first by code point.
+prediction is ``und``; languages that tie go to the one first by code point.  A
+U+0000 in a text counts as a space; very long texts are scored whole, ``STEP``
+characters at a time; repeated rows teach once each and get the same prediction;
+an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.scratch import lean
+
 BUCKETS, MAX_LANGS, UND = 1 << 15, 512, "und"
 #: Characters that one step of numpy works on; bounds a task's memory for texts of any length.
 STEP = 1 << 20
@@ -122,7 +127,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", smoothing
             )
 
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table = counts.toPandas()  # at most MAX_LANGS * (BUCKETS + 1) rows
     langs = tuple(sorted(table["lang"].unique()))
     if len(langs) > MAX_LANGS:

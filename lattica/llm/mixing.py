@@ -17,7 +17,8 @@ Defined results: a null text has size 0; a null source is a source, after all
 others; null doc_ids and repeated rows are documents like others; sources of
 size 0 have target 0 and nothing is taken from them.  The result depends on the
 rows only, not on how they lie in partitions: random moves come from hashes of
-doc_id and size, and rows equal in both are interchangeable.
+doc_id and size, and rows equal in both are interchangeable.  Other columns are
+kept, whatever their names, and never looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lattica.llm.scratch import save
+from lattica.llm.scratch import save, set_aside, tidied
 
 GROUP = 50_000
 #: Groups of one round whose undecided documents share a group of the next.
@@ -215,8 +216,10 @@ def mix(docs: DataFrame, size: Column | None = None, keep: list[str] = [], weigh
     return whole.select("doc_id", *keep, "source", "size", "source_size", "target", (F.col("sure") + F.col("p").cast("long")).alias("times"))
 
 
+@tidied
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it; the columns stay as they are."""
-    rows = save(docs.withColumn("m_row", F.monotonically_increasing_id()), "mixed")
+    aside = set_aside(docs, ("doc_id", "text", "source"))
+    rows = save(aside.withColumn("m_row", F.monotonically_increasing_id()), "mixed")
     times = mix(rows, keep=["m_row"], **options).where("times > 0").select("m_row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("m_copy"))
-    return rows.join(times, "m_row").select(*docs.columns)
+    return rows.join(times, "m_row").select(*aside.columns).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lattica.llm import bpe
-from lattica.llm.scratch import save
+from lattica.llm.scratch import lean, save
 
 #: Tokens that one group of ``pack`` gets, about; a group is packed by one task, as a stream.
 GROUP_TOKENS = 1 << 24
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(cut), schema)
 
 
 def pack(table: DataFrame, capacity: int = 2048, open_bins: int = 1024, group_tokens: int = GROUP_TOKENS) -> DataFrame:
@@ -130,7 +130,7 @@ def pack(table: DataFrame, capacity: int = 2048, open_bins: int = 1024, group_to
             columns = [batch.column(n) for n in names[:-2]] + [pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return dealt.mapInArrow(place, schema)
+    return dealt.mapInArrow(lean(place), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 1024, with_ids: bool = False) -> DataFrame:

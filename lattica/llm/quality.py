@@ -17,8 +17,9 @@ All of it is DataFrame functions; no Python runs on executors.
 Defined results: a null text has no words (and so fails the base rules); a null
 stratum is a stratum of its own; several labels of a document count as good if
 all are; a null label is none; repeated documents count once per row; with no
-labels every verdict is the base rules'.  Other columns pass through
-``judge`` untouched; its own columns begin with ``q_``.
+labels every verdict is the base rules'; an empty table gives no rows.  Other
+columns pass through untouched, but those named like one of its own, all of which
+begin with ``q_`` (or ``cut_``), are replaced or dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.scratch import save
+from lattica.llm.scratch import save, tidied
 
 SPACE, NOT_SPACE = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 #: rule: (measure as SQL, cutoffs); a document is rejected if its measure is above the cutoff.
@@ -156,6 +157,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     return out.drop("q_stratum", *(f"cut_{name}" for name in RULES))
 
 
+@tidied
 def assess(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """docs with all q_ columns; what is measured is kept in the shared folder and read twice."""
     measured = save(measure(docs), "measured")

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +58,7 @@ def recorded() -> Iterator[list[str]]:
 
 
 def drop_unread(paths: list[str], df: DataFrame) -> list[str]:
-    """Remove those of the paths that df does not read; the others.  A df over cached data keeps all of them."""
-    if paths and "InMemoryRelation" in df._jdf.queryExecution().optimizedPlan().toString():
-        return paths
+    """Remove those of the paths that df does not read; the others.  Nothing else may read them, cached data included."""
     read = {part for file in df.inputFiles() for part in file.split("/")} if paths else set()
     kept = [p for p in paths if p.rsplit("/", 1)[1] in read]
     for p in paths:
@@ -66,6 +67,39 @@ def drop_unread(paths: list[str], df: DataFrame) -> list[str]:
     return kept
 
 
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator, which at its end removes the tables it has written that its result does not read."""
+
+    @wraps(operator)
+    def call(*args, **options) -> DataFrame:
+        with recorded() as made:
+            out = operator(*args, **options)
+        drop_unread(made, out)
+        return out
+
+    return call
+
+
+def set_aside(df: DataFrame, used: tuple[str, ...]) -> DataFrame:
+    """df with columns other than the used ones renamed by their place, so that none has a name that an operator adds."""
+    return df.toDF(*(c if c in used else f"__{k}" for k, c in enumerate(df.columns)))
+
+
+Batches = Iterable[pa.RecordBatch]
+
+
+def lean(task: Callable[[Batches], Iterator[pa.RecordBatch]]) -> Callable[[Batches], Iterator[pa.RecordBatch]]:
+    """The task, after which its worker gives free memory back to the system: workers live on for other stages."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def remove(path: str) -> None:
     fs, inner = open_fs(path)
     if fs.get_file_info(inner).type != pafs.FileType.NotFound:

@@ -31,9 +31,10 @@ def odd_docs(spark, prose):
         (5, long, "en", None, len(long)),
         (6, prose(80, 3) + " é ß 日本 \U0001f600 <|endoftext|>", None, "b", 1),
         (7, "12345 !!! ###", "en", "a", 13),
+        (8, "before\0after " + prose(70, 4), "en", "a", 9),
     ]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    clash = {c: F.lit("x") for c in ("size", "key", "part", "p", "target", "held_out", "score", "words", "length", "piece", "sha", "keep", "rule", "list", "level", "n", "q_kept_", "row", "times")}
+    clash = {c: F.lit("x") for c in ("size", "key", "part", "p", "target", "held_out", "score", "words", "length", "piece", "sha", "keep", "rule", "list", "level", "n", "q_kept", "q_words", "j_row", "j_n", "m_row", "m_copy", "l_pred", "judged", "row", "times")}
     return table.withColumns(clash)
 
 

@@ -92,7 +92,7 @@ def test_cutoffs_keep_their_promise(spark):
 def test_quality_of_odd_rows(spark, odd_docs, labels):
     out = quality.assess(odd_docs, labels)
     assert out.count() == odd_docs.count()
-    assert {r.doc_id for r in out.where("q_kept").collect()} == {None, 5, 6}
+    assert {r.doc_id for r in out.where("q_kept").collect()} == {None, 5, 6, 8}
     assert quality.assess(odd_docs.limit(0), labels.limit(0)).count() == 0
 
 
