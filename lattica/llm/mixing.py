@@ -39,6 +39,8 @@ GROUP = 50_000
 FOLD = 10_000
 #: Documents of a source that fly on the token constraint alone.
 LANDING = 64
+#: Documents whose count a broadcast may hold (12 bytes each); above it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 _EPS = 1e-9
 
 
@@ -221,5 +223,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it; the columns stay as they are."""
     aside = set_aside(docs, ("doc_id", "text", "source"))
     rows = save(aside.withColumn("m_row", F.monotonically_increasing_id()), "mixed")
-    times = mix(rows, keep=["m_row"], **options).where("times > 0").select("m_row", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("m_copy"))
-    return rows.join(times, "m_row").select(*aside.columns).toDF(*docs.columns)
+    times = save(mix(rows, keep=["m_row"], **options).where("times > 0").select("m_row", F.col("times").cast("int").alias("m_times")), "times")
+    if times.count() <= BROADCAST_ROWS:
+        times = F.broadcast(times)
+    taken = rows.join(times, "m_row").withColumn("m_copy", F.explode(F.array_repeat(F.lit(0), F.col("m_times"))))
+    return taken.select(*aside.columns).toDF(*docs.columns)
