@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from lattica.llm.langid import held_out
 from lattica.llm.scratch import drop_unread, recorded, save
 
-DEPTH, LEAST, DIVERGENCE, DISCOUNT = 3, 2, 12.0, 0.5
+DEPTH, LEAST, DIVERGENCE, DISCOUNT = 3, 3, 12.0, 0.5
 #: Share of the tokens above which a word's id and count are broadcast.
 COMMON = 2e-6
 #: Entries of the model that are broadcast, and bits (log 2) of a filter at most.
