@@ -32,16 +32,18 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.langid import held_out
-from lattica.llm.scratch import drop_unread, recorded, save
+from lattica.llm.scratch import drop_unread, lean, new_path, open_fs, recorded, save
 
 DEPTH, LEAST, DIVERGENCE, DISCOUNT = 3, 3, 12.0, 0.5
 #: Share of the tokens above which a word's id and count are broadcast.
@@ -52,8 +54,8 @@ HOT, FILTER = 2_000_000, 29
 END = b"\xff"
 #: Bits of a gram's key in a Tree that hold its last token.
 _BITS = 20
-#: Tokens that one step of numpy works on.
-STEP = 1 << 20
+#: Tokens that one step of numpy works on, and that share a file of the model's less frequent entries.
+STEP, CHUNK = 1 << 20, 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -62,8 +64,8 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def rare_code(word: bytes) -> int:
-    """A negative number; common words have their ids from 0 on, 0 being the end."""
-    return -1 - (int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 2)
+    """A negative number, from Spark's xxhash64 of the word; common words have their ids from 0 on, 0 being the end."""
+    return -1 - (xxhash.xxh64_intdigest(word, 42) >> 2)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         words: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(map(rare_code, words)), pa.int64()), pa.array(list(words.values()), pa.int64())], names=["word", "code", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
             words.clear()
             return batch
 
@@ -84,8 +86,9 @@ def count_words(texts: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word binary, code long, n long")
-    return save(rows.groupBy("word", "code").agg(F.sum("n").alias("n")), "words")
+    rows = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(count), "word binary, n long")
+    code = -1 - F.shiftrightunsigned(F.xxhash64("word"), 2)
+    return save(rows.groupBy("word").agg(F.sum("n").alias("n")).select("word", code.alias("code"), "n"), "words")
 
 
 @dataclass
@@ -99,13 +102,13 @@ class Level:
     keep: np.ndarray = field(default_factory=lambda: np.zeros(0))  # what the gram, as a context, leaves to its suffix; 1 if not retained
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray, signed: bool = False) -> np.ndarray:
-    """Places of wanted among sorted keys, -1 where missing; unless signed, negative ones are missing."""
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of wanted among sorted keys, -1 where missing; negative ones are missing."""
     if not len(keys):
         return np.full(wanted.shape, -1, np.int64)
     place = np.searchsorted(keys, wanted)
     place[place == len(keys)] = 0
-    return np.where(((wanted >= 0) | signed) & (keys[place] == wanted), place, -1)
+    return np.where((wanted >= 0) & (keys[place] == wanted), place, -1)
 
 
 class Tree:
@@ -186,17 +189,18 @@ class Tree:
 
 
 def encode(docs: DataFrame, ids: dict[bytes, int], logs: np.ndarray, seen: bool, keep: list[str]) -> DataFrame:
-    """The keep columns and each text as ids of common words (-1: rare), in the shared folder; codes of the rare ones in their order."""
+    """The keep columns, p_chunk and each text as ids of common words (-1: rare), in the shared folder; codes of the rare ones in their order."""
     shared = docs.sparkSession.sparkContext.broadcast((ids, logs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, logs = shared.value
-        row = TaskContext.get().partitionId() << 36
+        row, size = TaskContext.get().partitionId() << 36, 0
+        chunk = TaskContext.get().partitionId() << 24
         lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts), kind))
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
-                coded, known, base, rare = [], [], [], []
+                coded, known, base, rare, chunks = [], [], [], [], []
                 for text in batch.column(batch.num_columns - 1):
                     found = tokens(text.as_py())
                     code = np.array([ids.get(w, -1) for w in found], np.int32)
@@ -204,14 +208,16 @@ def encode(docs: DataFrame, ids: dict[bytes, int], logs: np.ndarray, seen: bool,
                     coded.append(code)
                     known.append(int(common.sum()) - (not seen))
                     base.append(float(logs[code[common]].sum()))
-                    rare.append(np.array([rare_code(found[i]) for i in np.flatnonzero(~common)], np.int64))
-                columns = [pa.array(np.arange(row, row + len(coded))), lists(coded, pa.int32()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), lists(rare, pa.int64())]
+                    rare.append(np.array([rare_code(found[i]) for i in np.flatnonzero(~common).tolist()], np.int64))
+                    size += len(found)
+                    chunks.append(chunk + size // CHUNK)
+                columns = [pa.array(chunks, pa.int64()), pa.array(np.arange(row, row + len(coded))), lists(coded, pa.int32()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), lists(rare, pa.int64())]
                 row += len(coded)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "p_row", "p_ids", "p_known", "p_base", "p_rare"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "p_chunk", "p_row", "p_ids", "p_known", "p_base", "p_rare"])
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return save(rows.mapInArrow(run, f"{schema}p_row long, p_ids array<int>, p_known long, p_base double, p_rare array<long>"), "encoded")
+    return save(rows.mapInArrow(lean(run), f"{schema}p_chunk long, p_row long, p_ids array<int>, p_known long, p_base double, p_rare array<long>"), "encoded")
 
 
 def _runs(ids: pa.ListArray, rare: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -287,6 +293,31 @@ class Filter:
         return cls(bits, dict(zip(rows["slice"].to_pylist(), rows["data"].to_pylist(), strict=True)))
 
 
+class Entries:
+    """Entries of the model in memory, found by the first bits of their keys."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray, keeps: np.ndarray):
+        keys, at = np.unique(keys.view(np.uint64), return_index=True)
+        self.keys, self.ratios, self.keeps = keys, ratios[at], keeps[at]
+        self.bits = min(24, max(1, (2 * len(keys)).bit_length()))
+        self.starts = np.searchsorted(keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places among wanted, places among the entries) of those that are there."""
+        top = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
+        place, last = self.starts[top], self.starts[top + 1]
+        at = np.flatnonzero(place < last)
+        place, last, key, found = place[at], last[at], wanted[at], []
+        while len(at):
+            here = self.keys[place]
+            hit = here == key
+            found.append((at[hit], place[hit]))
+            place = place + 1
+            more = (here < key) & (place < last)
+            at, place, last, key = at[more], place[more], last[more], key[more]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (at, at)
+
+
 def _names(first: int, last: int) -> list[str]:
     return [f"t{k}" for k in range(first, last + 1)]
 
@@ -295,7 +326,7 @@ def _key(k: int) -> Column:
     return F.xxhash64(*_names(1, k))
 
 
-def count_grams(encoded: DataFrame, k: int, shorter: Filter | None) -> DataFrame:
+def count_grams(encoded: DataFrame, k: int, shorter: Filter) -> DataFrame:
     """t1 to tk, n of the grams of k tokens that occur LEAST times, in the shared folder; shorter has those of k - 1 tokens."""
     shared = encoded.sparkSession.sparkContext.broadcast(shorter)
 
@@ -315,9 +346,8 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter | None) -> DataFrame
                 use = np.ones(len(keys[-1]), bool)
                 for j in range(1, k - 1):
                     use &= codes[j : len(codes) - k + 1 + j] != 0
-                if shared.value is not None:
-                    has = shared.value.has(keys[-2])
-                    use &= has[:-1] & has[1:]
+                has = shared.value.has(keys[-2])
+                use &= has[:-1] & has[1:]
                 at = np.flatnonzero(use)
                 held.append([keys[-1][at], *(codes[at + j] for j in range(k))])
                 size += len(at)
@@ -328,7 +358,8 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter | None) -> DataFrame
             yield ready()
 
     schema = ", ".join(f"{t} long" for t in _names(1, k)) + ", n long"
-    grams = encoded.select("p_ids", "p_rare").mapInArrow(count, schema).groupBy(*_names(1, k)).agg(F.sum("n").alias("n"))
+    counted = encoded.select("p_ids", "p_rare").mapInArrow(lean(count), schema)  # already summed by task: Spark need not try it before the shuffle
+    grams = counted.repartition(*_names(1, k)).groupBy(*_names(1, k)).agg(F.sum("n").alias("n"))
     return save(grams.where(F.col("n") >= LEAST), f"grams{k}")
 
 
@@ -340,7 +371,7 @@ def _free(df: DataFrame) -> None:
 def grow(encoded: DataFrame, counts: DataFrame, whole: float) -> DataFrame:
     """key, ratio, keep, n of diverging grams and retained contexts, in the shared folder; counts has code, n of all words."""
     root = counts.select(F.col("code").alias("t1"), "n", ((F.col("n") + 1.0) / F.lit(whole)).alias("p0"), F.lit(1.0).alias("r"))
-    entries, below, seen = [], root, None
+    entries, below, seen = [], root, Filter.of(counts.where(F.col("n") >= LEAST).select(F.xxhash64("code").alias("key")))
     with recorded() as made:
         for k in range(2, DEPTH + 2):
             grams = count_grams(encoded, k, seen)
@@ -381,6 +412,70 @@ def hottest(model: DataFrame, most: int) -> int:
     return 0
 
 
+def _spans(chunks: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    edges = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+    yield from ((a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b)
+
+
+def chunk_entries(encoded: DataFrame, cold: DataFrame) -> str:
+    """A folder with the entries of cold that occur in each chunk of the texts, a folder each."""
+    shared = encoded.sparkSession.sparkContext.broadcast(Filter.of(cold.select("key")))
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def ready() -> pa.RecordBatch:
+            keys = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)])).view(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now or 0)), pa.array(keys)], names=["chunk", "key"])
+
+        for batch in batches:
+            chunks = np.asarray(batch.column(0))
+            for a, b in _spans(chunks):
+                if chunks[a] != now:
+                    yield ready()
+                    now = chunks[a]
+                for _, codes, _ in _runs(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)):
+                    held += [g[shared.value.has(g)] for g in gram_keys(codes, min(DEPTH + 1, len(codes)))]
+        yield ready()
+
+    asked = encoded.select("p_chunk", "p_ids", "p_rare").mapInArrow(lean(ask), "chunk long, key long")
+    path = new_path(encoded.sparkSession, "entries")
+    found = asked.join(cold.select("key", "ratio", "keep"), "key").repartition("chunk").sortWithinPartitions("chunk")
+    found.write.partitionBy("chunk").parquet(path)
+    _free(encoded)
+    return path
+
+
+def read_entries(folder: str, chunk: int) -> Entries | None:
+    """What chunk_entries() wrote for a chunk; None if nothing."""
+    fs, inner = open_fs(folder)
+    files = fs.get_file_info(pafs.FileSelector(f"{inner}/chunk={chunk}", allow_not_found=True))
+    tables = [pq.ParquetFile(fs.open_input_file(f.path)).read(["key", "ratio", "keep"]) for f in files if f.path.endswith(".parquet")]
+    if not tables:
+        return None
+    return Entries(*(pa.concat_tables(tables)[c].to_numpy() for c in ("key", "ratio", "keep")))
+
+
+def _gains(codes: np.ndarray, hot: Entries, cold: Entries | None) -> np.ndarray:
+    """log10 of P(token | text before it) over the root's, for all codes but the first."""
+    m = len(codes)
+    p, keep_before = np.ones(m), np.zeros(0)
+    for k, keys in enumerate(gram_keys(codes, min(DEPTH + 1, m)), 1):
+        ratio, keep = np.zeros(len(keys)), np.ones(len(keys))
+        ask = np.arange(len(keys)) if k <= DEPTH else np.flatnonzero(keep_before[: len(keys)] < 1.0)
+        for entries in (hot, cold):
+            if entries is not None and len(entries.keys):
+                at, place = entries.find(keys[ask])
+                at = ask[at]
+                ratio[at], keep[at] = entries.ratios[place], entries.keeps[place]
+        if k > 1:
+            p[k - 1 :] = ratio + keep_before[: len(keys)] * p[k - 1 :]
+        keep_before = keep
+    return np.log10(p)[1:]
+
+
 def score_held_out(docs: DataFrame, modulus: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents; those not held out are learned from."""
     rows = docs.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), "text")
@@ -399,82 +494,39 @@ def score_held_out(docs: DataFrame, modulus: int = 7) -> DataFrame:
     model = grow(encoded.where(~F.col("held_out")), codes.union(rare), whole)
     least = hottest(model, HOT)
     hot = model.where(F.col("n") >= least).select("key", "ratio", "keep").toArrow()  # HOT rows at most
-    keys = hot["key"].to_numpy()
-    by_key = np.argsort(keys)
-    cold = model.where(F.col("n") < least)
-    absent = Filter.of(cold.select("key")) if least else None
-    shared = spark.sparkContext.broadcast((keys[by_key], hot["ratio"].to_numpy()[by_key], hot["keep"].to_numpy()[by_key], absent))
-    del hot, keys, by_key
+    shared = spark.sparkContext.broadcast(Entries(*(hot[c].to_numpy() for c in ("key", "ratio", "keep"))))
+    del hot
+    folder = chunk_entries(encoded, model.where(F.col("n") < least)) if least else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ratios, keeps, cold = shared.value
+        now, cold = None, None
         for batch in batches:
             column, others = (batch.column(batch.schema.get_field_index(c)) for c in ("p_ids", "p_rare"))
+            chunks = np.asarray(batch.column(batch.schema.get_field_index("p_chunk")))
+            scores = []
+            for a, b in _spans(chunks):
+                if folder and chunks[a] != now:
+                    now, cold = chunks[a], read_entries(folder, chunks[a])
+                for _, codes, bounds in _runs(column.slice(a, b - a), others.slice(a, b - a)):
+                    sums = np.concatenate([[0.0], np.cumsum(_gains(codes, shared.value, cold))])
+                    scores.append(sums[bounds[1:]] - sums[bounds[:-1]])
             lengths = np.diff(np.asarray(column.offsets)).astype(np.int64)
-            scores, sizes, asked = [], [], []
-            for _, codes, bounds in _runs(column, others):
-                m = len(codes)
-                grams = gram_keys(codes, min(DEPTH + 1, m))
-                wanted, value = np.zeros((2 * DEPTH, m), np.uint64), np.repeat([[1.0]] * DEPTH + [[0.0]] * DEPTH, m, axis=1)
-                open_ = np.zeros((2 * DEPTH, m), bool)
-                for k, g in enumerate(grams, 1):
-                    place = _find(keys, g.view(np.int64), signed=True)
-                    there = place >= 0
-                    miss = cold.has(g) & ~there if cold is not None else None
-                    if k <= DEPTH:  # the context of the token after it
-                        value[k - 1, k:] = np.where(there, keeps[place] if len(keys) else 1.0, 1.0)[: m - k]
-                        if miss is not None:
-                            wanted[k - 1, k:], open_[k - 1, k:] = g[: m - k], miss[: m - k]
-                    if k > 1:
-                        value[DEPTH + k - 2, k - 1 :] = np.where(there, ratios[place] if len(keys) else 0.0, 0.0)
-                        if miss is not None:
-                            wanted[DEPTH + k - 2, k - 1 :], open_[DEPTH + k - 2, k - 1 :] = g, miss
-                p = np.ones(m)
-                for k in range(DEPTH):
-                    p = value[DEPTH + k] + value[k] * p
-                late = open_.any(axis=0)
-                late[0] = False
-                logs = np.where(late, 0.0, np.log10(p))[1:]
-                sums = np.concatenate([[0.0], np.cumsum(logs)])
-                scores.append(sums[bounds[1:]] - sums[bounds[:-1]])
-                at, slot = np.nonzero((open_ | (value != np.repeat([[1.0]] * DEPTH + [[0.0]] * DEPTH, m, axis=1))).T & late[:, None])
-                sizes.append(np.diff(np.searchsorted(at - 1, bounds)))
-                is_open = open_[slot, at]
-                asked.append((at, slot.astype(np.int8), pa.array(wanted[slot, at].view(np.int64), mask=~is_open), pa.array(value[slot, at], mask=is_open)))
-            parts = [pa.array(np.concatenate([a[0] for a in asked]), pa.int64()), pa.array(np.concatenate([a[1] for a in asked]), pa.int8()), *(pa.concat_arrays([a[j] for a in asked]) for j in (2, 3))]
-            struct = pa.StructArray.from_arrays(parts, names=["at", "slot", "key", "value"])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.concatenate(sizes)]).astype(np.int32)), struct)
             names = ["doc_id", "held_out", "p_row", "p_known", "p_base"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lengths), pa.array(np.concatenate(scores)), lists], names=[*names, "n_tokens", "p_score", "p_asked"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lengths), pa.array(np.concatenate(scores))], names=[*names, "n_tokens", "p_score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, p_row long, p_known long, p_base double, n_tokens long, p_score double, p_asked array<struct<at:long,slot:tinyint,key:long,value:double>>"
-    scored = encoded.select("doc_id", "held_out", "p_row", "p_known", "p_base", "p_ids", "p_rare").mapInArrow(run, schema)
+    schema = f"doc_id {kind}, held_out boolean, p_row long, p_known long, p_base double, n_tokens long, p_score double"
+    scored = encoded.select("doc_id", "held_out", "p_chunk", "p_row", "p_known", "p_base", "p_ids", "p_rare").mapInArrow(lean(run), schema)
     log = F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(whole))
     found = encoded.select("p_row", F.explode("p_rare").alias("code")).join(rare, "code", "left")
     sums = found.groupBy("p_row").agg(F.count("n").alias("k"), F.sum(log).alias("b"))
-    out = scored.join(sums, "p_row", "left")
-    gain = F.col("p_score")
-    if least:
-        scored = save(scored, "scored")
-        asked = scored.select("p_row", F.explode("p_asked").alias("a")).select("p_row", "a.*")
-        known = asked.where(F.col("key").isNull()).select("p_row", "at", "slot", "value")
-        looked = asked.where(F.col("key").isNotNull()).drop("value").join(cold.select("key", "ratio", "keep"), "key")
-        looked = looked.select("p_row", "at", "slot", F.when(F.col("slot") < DEPTH, F.col("keep")).otherwise(F.col("ratio")).alias("value"))
-        slots = [F.coalesce(F.max(F.when(F.col("slot") == k, F.col("value"))), F.lit(1.0 if k < DEPTH else 0.0)) for k in range(2 * DEPTH)]
-        p = F.lit(1.0)
-        for k in range(DEPTH):
-            p = slots[DEPTH + k] + slots[k] * p
-        late = known.union(looked).groupBy("p_row", "at").agg(F.log10(p).alias("late")).groupBy("p_row").agg(F.sum("late").alias("late"))
-        out = scored.drop("p_asked").join(sums, "p_row", "left").join(late, "p_row", "left")
-        gain = gain + F.coalesce("late", F.lit(0.0))
     base = F.col("p_base") + F.coalesce("b", F.lit(0.0))
-    return out.select(
+    return scored.join(sums, "p_row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("p_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + gain).alias("score"),
+        (base + F.col("p_score")).alias("score"),
     )

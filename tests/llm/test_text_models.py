@@ -131,7 +131,7 @@ def test_suffix_tree_distributions_sum_to_one():
 
 
 def _in_one_process(texts, held):
-    """Scores by a Tree that has every word and every gram that occurs twice, the grams counted in plain Python."""
+    """Scores by a Tree that has every word and every gram that occurs LEAST times, the grams counted in plain Python."""
     all_tokens = [suffix_tree.tokens(t) for t in texts]
     train = [ts for i, ts in enumerate(all_tokens) if not held[i]]
     words = Counter(t for ts in train for t in ts)
@@ -139,7 +139,7 @@ def _in_one_process(texts, held):
     code = lambda ts: np.array([tree.ids.get(t, -1) for t in [suffix_tree.END, *ts]], np.int64)
     for _ in range(suffix_tree.DEPTH):
         grams = Counter(k for ts in train for k in tree.grams(code(ts)).tolist())
-        keys = [k for k, n in grams.items() if n >= 2]
+        keys = [k for k, n in grams.items() if n >= suffix_tree.LEAST]
         if not keys:
             break
         tree.add(np.array(keys, np.int64), np.array([grams[k] for k in keys], np.int64))
