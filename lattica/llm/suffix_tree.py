@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm.langid import held_out
@@ -203,7 +204,7 @@ def encode(docs: DataFrame, ids: dict[bytes, int], logs: np.ndarray, seen: bool,
                 coded, known, base, rare, chunks = [], [], [], [], []
                 for text in batch.column(batch.num_columns - 1):
                     found = tokens(text.as_py())
-                    code = np.array([ids.get(w, -1) for w in found], np.int32)
+                    code = np.fromiter(map(ids.get, found, repeat(-1)), np.int32, len(found))
                     common = code >= 0
                     coded.append(code)
                     known.append(int(common.sum()) - (not seen))
@@ -318,38 +319,60 @@ class Entries:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (at, at)
 
 
-def _names(first: int, last: int) -> list[str]:
-    return [f"t{k}" for k in range(first, last + 1)]
+def _planes(columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Longs and counts as bytes, the low halves apart from the high ones, which are mostly zero."""
+    halves = [c.view("<u4").reshape(-1, 2) for c in columns]
+    return b"".join([n.astype("<u4").tobytes(), *(h[:, j].tobytes() for h in halves for j in (0, 1))])
 
 
-def _key(k: int) -> Column:
-    return F.xxhash64(*_names(1, k))
+def _unplaned(data: bytes, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    plane = np.frombuffer(data, "<u4").reshape(2 * k + 1, -1)
+    columns = [np.stack([plane[1 + 2 * j], plane[2 + 2 * j]], axis=1).reshape(-1).view("<i8") for j in range(k)]
+    return columns, plane[0].astype(np.int64)
 
 
-def count_grams(encoded: DataFrame, k: int, shorter: Filter) -> DataFrame:
-    """t1 to tk, n of the grams of k tokens that occur LEAST times, in the shared folder; shorter has those of k - 1 tokens."""
+def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Keys in order, columns and sums of the grams whose k-th tokens the columns hold."""
+    key = _hashed(np.full(len(n), 42, np.uint64), columns[0])
+    for c in columns[1:]:
+        key = _hashed(key, c)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+    return key[first], [c[order[first]] for c in columns], np.add.reduceat(n[order], first) if len(key) else n
+
+
+def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> DataFrame:
+    """key, context, suffix (keys of the grams without the last and without the first token), n of the grams of k tokens that occur LEAST times.
+
+    In the shared folder.  shorter has the grams of k - 1 tokens.  Tasks sum
+    their grams and send them on in blocks by the first bits of their keys, about
+    as many as there are steps in ``tokens``; each block's sums are made by one task.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(shorter)
+    bits = max(1, (2 * tokens // STEP).bit_length())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def ready() -> pa.RecordBatch:
-            _, at, n = np.unique(np.concatenate([h[0] for h in held]), return_index=True, return_counts=True)
-            columns = [pa.array(np.concatenate([h[j] for h in held])[at]) for j in range(1, k + 1)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(n)], names=[*_names(1, k), "n"])
+            key, columns, n = _summed([np.concatenate([h[j] for h in held]) for j in range(k)], np.ones(size, np.int64))
+            edges = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+            full = np.flatnonzero(edges[1:] > edges[:-1])
+            data = [_planes([c[edges[i] : edges[i + 1]] for c in columns], n[edges[i] : edges[i + 1]]) for i in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
 
         for batch in batches:
             for _, codes, _ in _runs(batch.column(0), batch.column(1)):
                 if len(codes) < k:
                     continue
-                keys = gram_keys(codes, k)
-                use = np.ones(len(keys[-1]), bool)
+                use = np.ones(len(codes) - k + 1, bool)
                 for j in range(1, k - 1):
                     use &= codes[j : len(codes) - k + 1 + j] != 0
-                has = shared.value.has(keys[-2])
+                has = shared.value.has(gram_keys(codes, k - 1)[-1])
                 use &= has[:-1] & has[1:]
                 at = np.flatnonzero(use)
-                held.append([keys[-1][at], *(codes[at + j] for j in range(k))])
+                held.append([codes[at + j] for j in range(k)])
                 size += len(at)
                 if size > 3 * STEP:
                     yield ready()
@@ -357,10 +380,33 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter) -> DataFrame:
         if held:
             yield ready()
 
-    schema = ", ".join(f"{t} long" for t in _names(1, k)) + ", n long"
-    counted = encoded.select("p_ids", "p_rare").mapInArrow(lean(count), schema)  # already summed by task: Spark need not try it before the shuffle
-    grams = counted.repartition(*_names(1, k)).groupBy(*_names(1, k)).agg(F.sum("n").alias("n"))
-    return save(grams.where(F.col("n") >= LEAST), f"grams{k}")
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def ready() -> pa.RecordBatch:
+            parts = [_unplaned(d, k) for d in held]
+            key, columns, n = _summed([np.concatenate([p[0][j] for p in parts]) for j in range(k)], np.concatenate([p[1] for p in parts]))
+            often = n >= LEAST
+            columns, ends = [c[often] for c in columns], []
+            for part in (columns[:-1], columns[1:]):
+                end = np.full(len(part[0]), 42, np.uint64)
+                for c in part:
+                    end = _hashed(end, c)
+                ends.append(end)
+            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key[often], *ends)), pa.array(n[often])], names=["key", "context", "suffix", "n"])
+
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != now and held:
+                    yield ready()
+                    held = []
+                now = block
+                held.append(data)
+        if held:
+            yield ready()
+
+    blocks = encoded.select("p_ids", "p_rare").mapInArrow(lean(count), "block long, data binary").repartition("block").sortWithinPartitions("block")
+    return save(blocks.mapInArrow(lean(total), "key long, context long, suffix long, n long"), f"grams{k}")
 
 
 def _free(df: DataFrame) -> None:
@@ -368,30 +414,29 @@ def _free(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def grow(encoded: DataFrame, counts: DataFrame, whole: float) -> DataFrame:
+def grow(encoded: DataFrame, counts: DataFrame, whole: float, tokens: int) -> DataFrame:
     """key, ratio, keep, n of diverging grams and retained contexts, in the shared folder; counts has code, n of all words."""
-    root = counts.select(F.col("code").alias("t1"), "n", ((F.col("n") + 1.0) / F.lit(whole)).alias("p0"), F.lit(1.0).alias("r"))
-    entries, below, seen = [], root, Filter.of(counts.where(F.col("n") >= LEAST).select(F.xxhash64("code").alias("key")))
+    below = counts.select(F.xxhash64("code").alias("key"), "n", ((F.col("n") + 1.0) / F.lit(whole)).alias("p0"), F.lit(1.0).alias("r"))
+    entries, seen = [], Filter.of(below.where(F.col("n") >= LEAST).select("key"))
     with recorded() as made:
         for k in range(2, DEPTH + 2):
-            grams = count_grams(encoded, k, seen)
+            grams = count_grams(encoded, k, seen, tokens)
             if k <= DEPTH:
-                seen = Filter.of(grams.select(_key(k).alias("key")))
+                seen = Filter.of(grams.select("key"))
             _free(encoded)
-            context, suffix = _names(1, k - 1), _names(2, k)
-            above = below.select(*context, F.col("n").alias("n_s"))
-            rest = below.select(*(F.col(a).alias(b) for a, b in zip(context, suffix, strict=True)), "p0", "r")
+            above = below.select(F.col("key").alias("context"), F.col("n").alias("n_s"))
+            rest = below.select(F.col("key").alias("suffix"), "p0", "r")
             want = F.col("n_s") * F.col("p0") * F.col("r")
             diverges = (F.col("n") > want) & (F.col("n") * F.log(F.col("n") / want) - (F.col("n") - want) > DIVERGENCE)
-            level = grams.join(above, context).join(rest, suffix).withColumn("gain", F.when(diverges, (F.col("n") - DISCOUNT) / F.col("n_s")).otherwise(0.0))
-            level = save(level.select(*_names(1, k), "n", "n_s", "p0", "r", "gain"), f"level{k}")
+            level = grams.join(above, "context").join(rest, "suffix").withColumn("gain", F.when(diverges, (F.col("n") - DISCOUNT) / F.col("n_s")).otherwise(0.0))
+            level = save(level.select("key", "context", "n", "n_s", "p0", "r", "gain"), f"level{k}")
             found = level.where("gain > 0")
-            kept = save(found.groupBy(*context).agg((1.0 - F.sum("gain")).alias("keep"), F.max("n_s").alias("n_s")), f"kept{k}")
-            entries.append(found.select(_key(k).alias("key"), (F.col("gain") / F.col("p0")).alias("ratio"), F.lit(1.0).alias("keep"), "n"))
-            entries.append(kept.select(_key(k - 1).alias("key"), F.lit(0.0).alias("ratio"), "keep", F.col("n_s").alias("n")))
+            kept = save(found.groupBy("context").agg((1.0 - F.sum("gain")).alias("keep"), F.max("n_s").alias("n_s")), f"kept{k}")
+            entries.append(found.select("key", (F.col("gain") / F.col("p0")).alias("ratio"), F.lit(1.0).alias("keep"), "n"))
+            entries.append(kept.select(F.col("context").alias("key"), F.lit(0.0).alias("ratio"), "keep", F.col("n_s").alias("n")))
             if k <= DEPTH:
                 value = F.col("gain") / F.col("p0") + F.coalesce("keep", F.lit(1.0)) * F.col("r")
-                below = save(level.join(kept.drop("n_s"), context, "left").select(*_names(1, k), "n", "p0", value.alias("r")), f"values{k}")
+                below = save(level.join(kept.drop("n_s"), "context", "left").select("key", "n", "p0", value.alias("r")), f"values{k}")
         union = entries[0]
         for e in entries[1:]:
             union = union.unionByName(e)
@@ -491,7 +536,7 @@ def score_held_out(docs: DataFrame, modulus: int = 7) -> DataFrame:
     encoded = encode(rows, {w: i for i, w in enumerate(order)}, np.log10((count + 1.0) / whole), ends > 0, ["doc_id", "held_out"])
     codes = spark.createDataFrame(pa.table({"code": np.arange(len(count)), "n": count}), "code long, n long")
     rare = words.where(~common).select("code", "n")
-    model = grow(encoded.where(~F.col("held_out")), codes.union(rare), whole)
+    model = grow(encoded.where(~F.col("held_out")), codes.union(rare), whole, n)
     least = hottest(model, HOT)
     hot = model.where(F.col("n") >= least).select("key", "ratio", "keep").toArrow()  # HOT rows at most
     shared = spark.sparkContext.broadcast(Entries(*(hot[c].to_numpy() for c in ("key", "ratio", "keep"))))
