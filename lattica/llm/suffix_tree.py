@@ -32,7 +32,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,21 +47,23 @@ from lattica.llm.langid import held_out
 from lattica.llm.scratch import drop_unread, lean, new_path, open_fs, recorded, save
 
 DEPTH, LEAST, DIVERGENCE, DISCOUNT = 3, 3, 12.0, 0.5
-#: Share of the tokens above which a word's id and count are broadcast.
-COMMON = 2e-6
+#: Words, the most frequent ones, whose ids and counts are broadcast.
+COMMON = 300_000
 #: Entries of the model that are broadcast, and bits (log 2) of a filter at most.
 HOT, FILTER = 2_000_000, 29
 #: The end token; UTF-8 has no such byte.
 END = b"\xff"
 #: Bits of a gram's key in a Tree that hold its last token.
 _BITS = 20
-#: Tokens that one step of numpy works on, and that share a file of the model's less frequent entries.
-STEP, CHUNK = 1 << 20, 1 << 21
+#: Tokens that one step of numpy works on (arrays that stay in the processor's cache), that a task sums grams of, and
+#: that share a file of the model's less frequent entries.
+STEP, SUMMED, CHUNK = 1 << 16, 3 << 20, 1 << 21
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: str | bytes | None) -> list[bytes]:
     """Words in lower case (A-Z only), then the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+    data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b""
+    return [*data.lower().split(), END]
 
 
 def rare_code(word: bytes) -> int:
@@ -87,7 +89,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    rows = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(count), "word binary, n long")
+    rows = texts.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lean(count), "word binary, n long")
     code = -1 - F.shiftrightunsigned(F.xxhash64("word"), 2)
     return save(rows.groupBy("word").agg(F.sum("n").alias("n")).select("word", code.alias("code"), "n"), "words")
 
@@ -197,26 +199,26 @@ def encode(docs: DataFrame, ids: dict[bytes, int], logs: np.ndarray, seen: bool,
         ids, logs = shared.value
         row, size = TaskContext.get().partitionId() << 36, 0
         chunk = TaskContext.get().partitionId() << 24
-        lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]).astype(np.int32)), pa.array(np.concatenate(parts), kind))
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
                 batch = whole.slice(first, 512)
-                coded, known, base, rare, chunks = [], [], [], [], []
-                for text in batch.column(batch.num_columns - 1):
-                    found = tokens(text.as_py())
-                    code = np.fromiter(map(ids.get, found, repeat(-1)), np.int32, len(found))
-                    common = code >= 0
-                    coded.append(code)
-                    known.append(int(common.sum()) - (not seen))
-                    base.append(float(logs[code[common]].sum()))
-                    rare.append(np.array([rare_code(found[i]) for i in np.flatnonzero(~common).tolist()], np.int64))
-                    size += len(found)
-                    chunks.append(chunk + size // CHUNK)
-                columns = [pa.array(chunks, pa.int64()), pa.array(np.arange(row, row + len(coded))), lists(coded, pa.int32()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), lists(rare, pa.int64())]
-                row += len(coded)
+                found = [tokens(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+                ends = np.cumsum([0, *map(len, found)])
+                flat = list(chain.from_iterable(found))
+                code = np.fromiter(map(ids.get, flat, repeat(-1)), np.int32, len(flat))
+                common = code >= 0
+                others = np.flatnonzero(~common)
+                rare = np.fromiter((rare_code(flat[i]) for i in others.tolist()), np.int64, len(others))
+                known = np.add.reduceat(common, ends[:-1], dtype=np.int64) - (not seen)
+                base = np.add.reduceat(np.where(common, logs[code], 0.0), ends[:-1])
+                chunks = chunk + (size + ends[1:]) // CHUNK
+                size += len(flat)
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values)) for at, values in ((ends, code), (np.searchsorted(others, ends), rare))]
+                columns = [pa.array(chunks), pa.array(np.arange(row, row + len(found))), lists[0], pa.array(known), pa.array(base), lists[1]]
+                row += len(found)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "p_chunk", "p_row", "p_ids", "p_known", "p_base", "p_rare"])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
+    rows = docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
     return save(rows.mapInArrow(lean(run), f"{schema}p_chunk long, p_row long, p_ids array<int>, p_known long, p_base double, p_rare array<long>"), "encoded")
 
@@ -331,11 +333,16 @@ def _unplaned(data: bytes, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     return columns, plane[0].astype(np.int64)
 
 
-def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Keys in order, columns and sums of the grams whose k-th tokens the columns hold."""
-    key = _hashed(np.full(len(n), 42, np.uint64), columns[0])
-    for c in columns[1:]:
+def _chain(columns: list[np.ndarray]) -> np.ndarray:
+    """Keys of the grams whose k-th tokens the columns hold."""
+    key = np.full(len(columns[0]), 42, np.uint64)
+    for c in columns:
         key = _hashed(key, c)
+    return key
+
+
+def _summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Different keys in order, with their columns and sums."""
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
@@ -347,16 +354,16 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> Dat
 
     In the shared folder.  shorter has the grams of k - 1 tokens.  Tasks sum
     their grams and send them on in blocks by the first bits of their keys, about
-    as many as there are steps in ``tokens``; each block's sums are made by one task.
+    as many as ``tokens`` over ``SUMMED`` / 6; each block's sums are made by one task.
     """
     shared = encoded.sparkSession.sparkContext.broadcast(shorter)
-    bits = max(1, (2 * tokens // STEP).bit_length())
+    bits = max(1, (tokens // (SUMMED // 6)).bit_length())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def ready() -> pa.RecordBatch:
-            key, columns, n = _summed([np.concatenate([h[j] for h in held]) for j in range(k)], np.ones(size, np.int64))
+            key, columns, n = _summed(np.concatenate([h[0] for h in held]), [np.concatenate([h[1 + j] for h in held]) for j in range(k)], np.ones(size, np.int64))
             edges = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             full = np.flatnonzero(edges[1:] > edges[:-1])
             data = [_planes([c[edges[i] : edges[i + 1]] for c in columns], n[edges[i] : edges[i + 1]]) for i in full]
@@ -369,12 +376,13 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> Dat
                 use = np.ones(len(codes) - k + 1, bool)
                 for j in range(1, k - 1):
                     use &= codes[j : len(codes) - k + 1 + j] != 0
-                has = shared.value.has(gram_keys(codes, k - 1)[-1])
+                keys = gram_keys(codes, k)
+                has = shared.value.has(keys[-2])
                 use &= has[:-1] & has[1:]
                 at = np.flatnonzero(use)
-                held.append([codes[at + j] for j in range(k)])
+                held.append([keys[-1][at], *(codes[at + j] for j in range(k))])
                 size += len(at)
-                if size > 3 * STEP:
+                if size > SUMMED:
                     yield ready()
                     held, size = [], 0
         if held:
@@ -385,14 +393,11 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> Dat
 
         def ready() -> pa.RecordBatch:
             parts = [_unplaned(d, k) for d in held]
-            key, columns, n = _summed([np.concatenate([p[0][j] for p in parts]) for j in range(k)], np.concatenate([p[1] for p in parts]))
+            columns = [np.concatenate([p[0][j] for p in parts]) for j in range(k)]
+            key, columns, n = _summed(_chain(columns), columns, np.concatenate([p[1] for p in parts]))
             often = n >= LEAST
-            columns, ends = [c[often] for c in columns], []
-            for part in (columns[:-1], columns[1:]):
-                end = np.full(len(part[0]), 42, np.uint64)
-                for c in part:
-                    end = _hashed(end, c)
-                ends.append(end)
+            columns = [c[often] for c in columns]
+            ends = _chain(columns[:-1]), _chain(columns[1:])
             return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key[often], *ends)), pa.array(n[often])], names=["key", "context", "suffix", "n"])
 
         for batch in batches:
@@ -446,14 +451,15 @@ def grow(encoded: DataFrame, counts: DataFrame, whole: float, tokens: int) -> Da
     return model
 
 
-def hottest(model: DataFrame, most: int) -> int:
-    """The least n that at most so many entries reach; 0 if all may be taken."""
-    sizes = sorted(((r.m, r["count"]) for r in model.groupBy(F.least("n", F.lit(1 << 14)).alias("m")).count().collect()), reverse=True)
-    left = most
-    for m, count in sizes:
+def hottest(table: DataFrame, most: int) -> int:
+    """An n that at most so many rows reach; 0 if all may be taken.  Counts are told apart by their first eight bits."""
+    shift = "greatest(0, cast(floor(log2(n)) as int) - 7)"
+    sizes = table.groupBy(F.expr(f"shiftleft(shiftright(n, {shift}), {shift})").alias("m")).count().collect()  # 64 * 128 rows at most
+    left, least = most, (1 << 63) - 1
+    for m, count in sorted(((r.m, r["count"]) for r in sizes), reverse=True):
         if count > left:
-            return m + 1
-        left -= count
+            return least
+        left, least = left - count, m
     return 0
 
 
@@ -527,8 +533,8 @@ def score_held_out(docs: DataFrame, modulus: int = 7) -> DataFrame:
     spark = docs.sparkSession
     words = count_words(rows.where(~F.col("held_out")))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    whole, common = n + v + 1.0, (F.col("n") >= max(1, COMMON * n)) | (F.col("word") == F.lit(END))
-    table = words.where(common).select("word", "n").toArrow()  # 1 / COMMON rows at most
+    whole, common = n + v + 1.0, (F.col("n") >= hottest(words, COMMON)) | (F.col("word") == F.lit(END))
+    table = words.where(common).select("word", "n").toArrow()  # COMMON rows and one at most
     times = {w: c for w, c in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True) if w != END}
     ends = int(n > 0 and sum(c for w, c in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True) if w == END))
     order = [END, *sorted(times, key=lambda w: (-times[w], w))]
