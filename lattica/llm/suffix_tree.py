@@ -48,7 +48,7 @@ from lattica.llm.scratch import drop_unread, lean, new_path, open_fs, recorded,
 
 DEPTH, LEAST, DIVERGENCE, DISCOUNT = 3, 3, 12.0, 0.5
 #: Words, the most frequent ones, whose ids and counts are broadcast.
-COMMON = 300_000
+COMMON = 50_000
 #: Entries of the model that are broadcast, and bits (log 2) of a filter at most.
 HOT, FILTER = 2_000_000, 29
 #: The end token; UTF-8 has no such byte.
