@@ -2,14 +2,17 @@
 
 Vectors are scaled to length 1 and turned by a random rotation.  Lists come from
 k-means on a sample of at most ``SAMPLE`` vectors; every vector is in one list.
-A query probes the lists whose centres are nearest, and in each scans the rotated
-vectors in blocks of ``BLOCK`` dimensions: after t of d dimensions a candidate is
-abandoned if its partial distance rejects, at the significance that ``EPSILON``
-stands for, the hypothesis that its distance is below the query's best so far,
+A query probes the lists whose centres are nearest.  The rotated vectors of a list
+lie in column blocks of ``BLOCK`` dimensions; after t of d dimensions a candidate
+is abandoned if its partial distance rejects, at the significance that ``EPSILON``
+stands for, the hypothesis that its distance is below the k-th best so far,
 
-    partial > best * t / d * (1 + EPSILON / sqrt(t)) ** 2.
+    partial > best * t / d * (1 + EPSILON / sqrt(t)) ** 2,
 
-What survives all blocks is measured exactly, on the original vectors.
+and further blocks are read for those that remain only.  The k-th best tightens
+after every ``STEP`` candidates, and the nearest list's is what the query's other
+lists begin with.  What survives all blocks is measured exactly, on the original
+vectors.
 
 Lists are scanned in cells of at most about ``CELL`` candidates and ``QUERIES``
 queries, so a hot list is many tasks.  The centres, at most ``LISTS``, are what
@@ -34,7 +37,7 @@ from pyspark.sql.window import Window
 
 from lattica.llm.scratch import save
 
-SAMPLE, LISTS, BLOCK, EPSILON, CELL, QUERIES = 20_000, 1024, 16, 2.1, 16_384, 2048
+SAMPLE, LISTS, BLOCK, EPSILON, CELL, QUERIES, STEP = 20_000, 1024, 16, 2.1, 16_384, 2048, 1024
 #: Share of the nearest vectors that probing is to reach, as measured on the sample.
 TARGET = 0.97
 
@@ -97,20 +100,33 @@ class Index:
         return np.argsort(-(_unit(v) @ self.centres.T), axis=1, kind="stable")
 
 
-def scan(query: np.ndarray, turned: np.ndarray, k: int) -> np.ndarray:
-    """Candidates (rows of ``turned``, rotated unit vectors in blocks of columns) that may be among the query's k nearest."""
-    n, d = turned.shape
-    first = turned[: max(4 * k, 64)]
-    whole = ((first - query) ** 2).sum(axis=1)
-    best = np.partition(whole, k - 1)[k - 1] if len(whole) >= k else math.inf
-    alive, partial = np.arange(n), np.zeros(n)
-    for a in range(0, d, BLOCK):
-        b = min(a + BLOCK, d)
-        partial = partial + ((turned[alive, a:b] - query[a:b]) ** 2).sum(axis=1)
-        limit = best if b == d else best * b / d * (1 + EPSILON / math.sqrt(b)) ** 2
-        stay = partial <= limit + 1e-12
-        alive, partial = alive[stay], partial[stay]
-    return alive
+class Columns:
+    """Rotated unit vectors in column blocks, each contiguous, with their squares' sums."""
+
+    def __init__(self, turned: np.ndarray):
+        self.d = turned.shape[1]
+        parts = [np.ascontiguousarray(turned[:, a : a + BLOCK]) for a in range(0, self.d, BLOCK)]
+        self.blocks = [(p, (p * p).sum(axis=1)) for p in parts]
+
+
+def scan(query: np.ndarray, table: Columns, rows: np.ndarray, k: int, best: float = math.inf) -> np.ndarray:
+    """Those of the rows that may be among the query's k nearest, if these are nearer than ``best`` (a squared distance)."""
+    found, near = [], np.zeros(0)
+    for a in range(0, len(rows), STEP):
+        alive, partial, t = rows[a : a + STEP], 0.0, 0
+        for block, squares in table.blocks:
+            part = query[t : t + block.shape[1]]
+            partial = partial + squares[alive] - 2 * (block[alive] @ part) + part @ part
+            t += len(part)
+            limit = best if t == table.d else best * t / table.d * (1 + EPSILON / math.sqrt(t)) ** 2
+            stay = partial <= limit + 1e-9
+            if not stay.all():
+                alive, partial = alive[stay], partial[stay]
+        found.append((alive, partial))
+        near = np.sort(np.concatenate([near, partial]))[:k]
+        if len(near) == k:
+            best = min(best, near[-1])
+    return np.concatenate([alive[distance <= best + 1e-9] for alive, distance in found]) if found else rows
 
 
 def cosine(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -158,13 +174,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embe
         return pa.array([o[: max(probes, e)].tolist() for o, e in zip(order, enough, strict=True)], pa.list_(pa.int32()))
 
     asked = rows.where(is_query).withColumnRenamed("vec_id", "query_id").distinct()
-    asked = save(asked.select("query_id", "v", F.explode(probed("v")).alias("list")), "probes")
+    asked = save(asked.select("query_id", "v", F.posexplode(probed("v")).alias("nth", "list")), "probes")
     sizes = placed.groupBy("list").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-    groups = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
-    grid = F.broadcast(sizes.join(groups, "list"))  # LISTS rows at most
-    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    left = placed.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).withColumn("group", every("groups"))
-    right = asked.join(grid, "list").withColumn("group", F.pmod(F.xxhash64("query_id", "v"), F.col("groups")).cast("int")).withColumn("block", every("blocks"))
 
     def cell(there: pa.Table, asks: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
@@ -173,19 +184,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embe
             ids = there["vec_id"].to_numpy(zero_copy_only=False) if not there["vec_id"].null_count else np.array([math.inf if x is None else x for x in there["vec_id"].to_pylist()], object)
             order = np.argsort(ids, kind="stable")
             v, ids = v[order], ids[order]
-            turned, turned_q = _unit(v) @ index.value.rotation, _unit(q) @ index.value.rotation
-            for query, own, at in zip(q, asks["query_id"].to_pylist(), turned_q, strict=True):
-                others = np.flatnonzero(ids != own)
-                found = others[scan(at, turned[others], k)] if len(others) else others
+            table, turned = Columns(_unit(v) @ index.value.rotation), _unit(q) @ index.value.rotation
+            for query, own, at, least in zip(q, asks["query_id"].to_pylist(), turned, asks["least"].to_pylist(), strict=True):
+                found = scan(at, table, np.flatnonzero(ids != own), k, math.inf if least is None else 2 - 2 * least)
                 score = cosine(v[found], query)
-                top = np.argsort(-score, kind="stable")[:k]
+                top = np.lexsort((found, -score))[:k]
                 out_q += [own] * len(top)
                 out_v += [None if ids[i] == math.inf else int(ids[i]) for i in found[top]]
                 out_s += score[top].tolist()
         return pa.table({"query_id": pa.array(out_q, pa.int64()), "vec_id": pa.array(out_v, pa.int64()), "score": pa.array(out_s, pa.float64())})
 
-    keys = ["list", "block", "group"]
-    found = left.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "v").groupBy(*keys)).applyInArrow(cell, result)
+    def scanned(asked: DataFrame) -> DataFrame:
+        """query_id, vec_id, score from the lists of asked (query_id, v, list, least: the k-th best cosine so far)."""
+        groups = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
+        grid = F.broadcast(sizes.join(groups, "list"))  # LISTS rows at most
+        every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        left = placed.join(grid, "list").withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.col("blocks")).cast("int")).withColumn("group", every("groups"))
+        right = asked.join(grid, "list").withColumn("group", F.pmod(F.xxhash64("query_id", "v"), F.col("groups")).cast("int")).withColumn("block", every("blocks"))
+        keys = ["list", "block", "group"]
+        return left.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(right.select(*keys, "query_id", "v", "least").groupBy(*keys)).applyInArrow(cell, result)
+
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)  # k rows for each probe
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)  # noqa: E731  k rows for each probe
+    nearest = save(scanned(asked.where("nth = 0").withColumn("least", F.lit(None).cast("double"))), "nearest")
+    least = ranked(nearest).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    # a null or repeated query_id begins without a bound
+    single = asked.where("nth = 0").groupBy("query_id").count().where("count = 1").select("query_id")
+    others = asked.where("nth > 0").join(least.join(single, "query_id"), "query_id", "left")
+    found = nearest.unionByName(scanned(others.select("query_id", "v", "list", "least")))
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
