@@ -12,7 +12,8 @@ own attempt, and the table of files that it returns is what counts: files of a
 lost attempt are in no table.  ``read`` gives every document back.
 
 Defined results: a null text is empty and has only its end id; null doc_ids
-come first; repeated doc_ids are ordered by text and each has its own boundary;
+come first; repeated doc_ids are ordered by the first 32 characters of their texts,
+then by a hash, and each has its own boundary;
 an empty table gives no file and no rows.  Other columns are not looked at.
 """
 
@@ -55,7 +56,10 @@ class Writer:
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """ids: little-endian unsigned 32-bit."""
-        self.out.write(np.frombuffer(ids, "<u4").astype(self.dtype).tobytes() if self.width == 2 else ids)
+        found = np.frombuffer(ids, "<u4")
+        if self.width == 2 and found.max(initial=0) > 0xFFFF:
+            raise ValueError(f"id {found.max()} of document {doc_id} takes more than two bytes")
+        self.out.write(found.astype(self.dtype).tobytes() if self.width == 2 else ids)
         self.lengths.append(len(ids) // 4)
         self.tokens += len(ids) // 4
         if doc_id is not None:
@@ -97,12 +101,14 @@ class Reader:
         return [None] * self.nulls + [self.least + int(v) for v in self.keys.values()]
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = 2, file_tokens: int = 1 << 26, width: int = 2) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = 2, file_tokens: int = 1 << 26, width: int | None = None) -> DataFrame:
     """Write the documents' ids in ascending doc_id order; the table of files, kept in the shared folder.
 
-    ``width`` 2 holds ids below 65536; ``file_tokens`` bounds a file, but for its last document.
+    ``width`` 2 holds ids below 65536, and is taken if the tokenizer has no others; a
+    larger id is refused.  ``file_tokens`` bounds a file, but for its last document.
     """
     path, end = tokenizer_path or bpe.default_path(), np.array([end_id], "<u4").tobytes()
+    width = width or (2 if max(end_id, len(bpe.word_bpe(path).id_bytes) - 1) <= 0xFFFF else 4)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = max(1, rows.rdd.getNumPartitions())
 
@@ -125,7 +131,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
             names = ["path", "part", "seq", "n_docs", "n_tokens"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=names)
 
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    key = ["doc_id", F.left("text", F.lit(32)), F.xxhash64("text"), "row"]  # rows equal in all but the last are split too
+    ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *key).sortWithinPartitions(*key)
     return save(ordered.mapInArrow(task, FILES), "token-files")
 
 

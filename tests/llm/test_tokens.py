@@ -89,3 +89,15 @@ def test_token_files_round_trip(spark, odd_docs, tokenizer):
     reader = token_files.Reader(files.orderBy("part", "seq").first().path)
     assert reader.document(0).tolist() == _ids(tokenizer, docs[0][3], 2)
     assert token_files.round_trip(odd_docs.limit(0)).count() == 0
+
+
+def test_token_files_refuse_ids_beyond_their_width(tmp_path):
+    import numpy as np
+    import pytest
+
+    writer = token_files.Writer(f"file://{tmp_path}", "a.tok", 2)
+    with pytest.raises(ValueError, match="70000"):
+        writer.add(1, np.array([5, 70_000], "<u4").tobytes())
+    wide = token_files.Writer(f"file://{tmp_path}", "b.tok", 4)
+    wide.add(1, np.array([5, 70_000], "<u4").tobytes())
+    assert token_files.Reader(wide.close()[0]).document(0).tolist() == [5, 70_000]
