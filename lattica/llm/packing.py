@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2
 def pack(table: DataFrame, capacity: int = 2048, open_bins: int = 1024, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """The pieces with sequence_id and offset added; the other columns stay.
 
-    Pieces are dealt at random, by their hash, into groups of about
+    Pieces are dealt at random, by a hash of them and their place, into groups of about
     ``group_tokens`` tokens, and within a group into rounds of about half of what
     the open bins can hold; within a round they come longest first, so that best
     fit leaves little unused.  Pieces of more than half a bin are then fewer in a
@@ -114,7 +114,8 @@ def pack(table: DataFrame, capacity: int = 2048, open_bins: int = 1024, group_to
     schema = StructType([*table.schema.fields, *StructType.fromDDL("sequence_id long, offset long").fields])
     names = [f.name for f in schema]
     key = ["doc_id", "piece", "length", "ids_crc32"]
-    dealt = table.withColumn("__group", F.pmod(F.xxhash64(*key), F.lit(groups))).withColumn("__round", F.pmod(F.xxhash64(*key, F.lit(1)), F.lit(rounds)))
+    row = F.monotonically_increasing_id()  # equal rows go to different groups
+    dealt = table.withColumn("__group", F.pmod(F.xxhash64(*key, row), F.lit(groups))).withColumn("__round", F.pmod(F.xxhash64(*key, row, F.lit(1)), F.lit(rounds)))
     dealt = dealt.repartition(groups, "__group").sortWithinPartitions("__group", "__round", F.desc("length"), "doc_id", "piece", "ids_crc32")
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
