@@ -278,6 +278,18 @@ class Compiler:
         parts = [C.text(self.scalar(a)) for a in args]
         return C.of("text", F.concat(*(s for s, _ in parts)), C.first_error(*(e for _, e in parts)))
 
+    def header(self, a, r, c=None) -> Val | None:
+        """INDEX of a table's headers, which are one row."""
+        ref = self.resolve(a)
+        if not isinstance(ref, TableRef) or ref.selector != "#Headers" or ref.table not in self.book.tables:
+            return None
+        headers = self.book.tables[ref.table].headers
+        at, row = (self.constant(r), 1) if c is None else (self.constant(c), self.constant(r))
+        if at is None or row is None:
+            raise NotImplementedError("INDEX of headers takes constant places")
+        fine = row == 1 and 1 <= at <= len(headers) and int(at) == at
+        return C.literal(headers[int(at) - 1]) if fine else C.fail("#REF!")
+
     def f_INDEX(self, *args) -> Val:
         raise NotImplementedError("INDEX of a table is compiled as INDEX(column, MATCH(...)) in rows, or over whole tables")
 
@@ -393,6 +405,9 @@ class Rows(Compiler):
         return self._lookup(self.scalar(v), a, None)
 
     def f_INDEX(self, a, r, c=None) -> Val:
+        header = self.header(a, r, c)
+        if header is not None:
+            return header
         area = self.resolve(a)
         if c is None and isinstance(area, TableRef) and isinstance(r, Call) and r.name == "MATCH":
             inner = self.resolve(r.args[1])
@@ -528,6 +543,9 @@ class Whole(Compiler):
         return C.of("number", at.cast("double"), C.first_error(wanted.err, F.when(at.isNull(), F.lit("#N/A"))))
 
     def f_INDEX(self, a, r, c=None) -> Val:
+        header = self.header(a, r, c)
+        if header is not None:
+            return header
         found = self._range(a)
         if isinstance(found, Val):
             return found

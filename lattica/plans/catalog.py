@@ -11,6 +11,7 @@ from lattica.functions import columns as C
 from lattica.operators import diff, graph, ranking, view
 from lattica.plans import fills, report
 from lattica.plans.book import Book
+from lattica.sources import workbook
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -254,7 +255,7 @@ def scalar_inference(spark, d):
 
 @query("select 3.0::double as n, 'r_regionkey' as first from (select 1)")
 def headers_region(spark, d):
-    return book(spark, d, "nation", "region").scalars(n="=COUNTA(nation[#Headers])", first='="r_"&"regionkey"').select("n", "first")
+    return book(spark, d, "nation", "region").scalars(n="=COUNTA(nation[#Headers])", first="=INDEX(region[#Headers],1)").select("n", "first")
 
 
 @query("select round(sum(p_retailprice), 2) as total, max(p_size)::double as most from part")
@@ -425,6 +426,81 @@ def footprint_overlap(spark, d):
     return view.overlaps(p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("s"), F.col("p_size") % 3).alias("sheet"), r0.alias("r0"), c0.alias("c0"), (r0 + F.col("p_size") % 4).alias("r1"), (c0 + 1).alias("c1")))
 
 
+@query("select o_orderkey::double as k, round(sum(o_totalprice) over (order by o_orderkey), 2) as total, round(sum(o_totalprice) over (order by o_orderkey), 2) as grown, round(o_totalprice + coalesce(lag(o_totalprice) over (order by o_orderkey), 0), 2) as two from orders")
+def running_total_a1(spark, d):
+    """Three templates in A1 references: own cell above, a growing range, a sliding range."""
+    b = Book(spark)
+    b.bind("t", spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    for name, f in (("total", "=C1+B2"), ("grown", "=SUM(B$2:B2)"), ("two", "=SUM(B1:B2)")):
+        fills.fill_down(b, "t", name, f)
+    return _rounded(b.table("t", k="o_orderkey", total="total", grown="grown", two="two"))
+
+
+def _workbooks(spark: SparkSession, d: str) -> DataFrame:
+    """nation as workbook texts, one for each region: key, source."""
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    rows = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("rows"))  # a region's nations
+    body = F.array_join(F.transform("rows", lambda r: F.concat(r["n_nationkey"].cast("string"), F.lit(',"'), r["n_name"], F.lit('",'))), "\n")
+    head = '#!lattica 0.1\n# kept\n@style big bold=true\n@name first = s!A2\n@sheet s "Nations"\n@table t A1 csv\nkey,name,twice\n'
+    tail = '\n@end\n@fill t[twice] =[@key]*2\n@apply t[name] big\n@column A:B width=12.5\n@sheet u "Sums"\n@block A1 csv\n=SUM(t[twice]),=first,=s!B2,=1/0,2026-02-28,true\n@end\n'
+    return rows.select(F.col("n_regionkey").cast("long").alias("key"), F.concat(F.lit(head), body, F.lit(tail)).alias("source"))
+
+
+@query("""
+    with r as (select *, row_number() over (partition by n_regionkey order by n_nationkey) + 1 as row from nation),
+    f as (select n_regionkey, arg_min(n_nationkey, n_nationkey) as k, arg_min(n_name, n_nationkey) as n, sum(n_nationkey) * 2 as s from nation group by 1)
+    select n_regionkey::bigint as key, 's' as sheet, row, 3::bigint as col, 'number' as kind, (2 * n_nationkey)::double as num, null::varchar as txt from r
+    union all select n_regionkey, 'u', 1, 1, 'number', s::double, null from f union all select n_regionkey, 'u', 1, 2, 'number', k::double, null from f
+    union all select n_regionkey, 'u', 1, 3, 'text', null, n from f union all select n_regionkey, 'u', 1, 4, 'error', null, '#DIV/0!' from f""")
+def workbook_calculated(spark, d):
+    """Fills, names, cells of another sheet and aggregates, as calculated from workbook text."""
+    cells = workbook.cells(_workbooks(spark, d), calculated=True)
+    made = ((F.col("sheet") == "s") & (F.col("col") == 3) & (F.col("row") > 1)) | ((F.col("sheet") == "u") & (F.col("col") <= 4))
+    return cells.where(made).select("key", "sheet", "row", "col", "kind", "num", F.coalesce("txt", "err").alias("txt"))
+
+
+@query("""
+    with r as (select *, row_number() over (partition by n_regionkey order by n_nationkey) + 1 as row from nation), g as (select distinct n_regionkey from nation)
+    select n_regionkey::bigint as key, row, 1::bigint as col, 'number' as kind from r union all select n_regionkey, row, 2, 'text' from r union all select n_regionkey, row, 3, 'blank' from r
+    union all select n_regionkey, 1, unnest([1, 2, 3]), 'text' from g""")
+def workbook_authored(spark, d):
+    """The kinds of the fields of a table as authored."""
+    return workbook.cells(_workbooks(spark, d)).where("sheet = 's'").select("key", "row", "col", "kind")
+
+
+@query("select distinct n_regionkey::bigint as key, true as same, true as stable, 7::bigint as n_lines_kept from nation")
+def workbook_canonical(spark, d):
+    """fmt: canonical text means the same, is its own canonical text and keeps comments and directives."""
+    text = workbook.canonical_text(F.col("source"))
+    rows = _workbooks(spark, d).withColumn("canon", text).withColumn("again", workbook.canonical_text(F.col("canon")))
+    kept = F.size(F.filter(F.split("canon", "\n"), lambda x: x.rlike("^(# kept|@style|@name|@sheet|@fill|@column)")))
+    means = lambda c: workbook.cells(rows.select("key", F.col(c).alias("source")), calculated=True)
+    other = means("source").exceptAll(means("canon")).unionByName(means("canon").exceptAll(means("source"))).select("key").distinct()
+    rows = rows.join(other.withColumn("differs", F.lit(True)), "key", "left")
+    return rows.select("key", F.col("differs").isNull().alias("same"), (F.col("canon") == F.col("again")).alias("stable"), kept.cast("long").alias("n_lines_kept"))
+
+
+@query("""
+    select n_regionkey::bigint as key, code from (select distinct n_regionkey from nation), (values (0, 'MS1001'), (1, 'MS1101'), (2, 'MS2101'), (2, 'MS2102'), (3, 'MS1302'), (3, 'MS2101'), (4, 'MS2202')) t(k, code) where k = n_regionkey""")
+def workbook_diagnostics(spark, d):
+    """Each region's workbook is spoilt in another way."""
+    s, k = F.col("source"), F.col("key")
+    bad = F.when(k == 0, F.replace(s, F.lit("0.1"), F.lit("0.2"))).when(k == 1, F.replace(s, F.lit("@column"), F.lit("@colum")))
+    bad = bad.when(k == 2, F.replace(F.replace(s, F.lit("= s!A2"), F.lit("= z!A2")), F.lit("] big"), F.lit("] tall")))
+    bad = bad.when(k == 3, F.replace(F.replace(s, F.lit("@name first = s!A2"), F.lit("@name first = z!A2")), F.lit("@sheet u"), F.lit("@block B2 csv\nx\n@end\n@sheet u"))).otherwise(F.replace(s, F.lit("=SUM("), F.lit("=SUM((")))
+    return workbook.diagnostics(_workbooks(spark, d).select("key", bad.alias("source"))).select("key", "code").distinct()
+
+
+@query("""
+    with r as (select n_regionkey, n_nationkey, n_name from nation union all select r_regionkey, 99, 'NO,WHERE' from region)
+    select n_regionkey::bigint as key, n_nationkey::double as num, case when n_nationkey = 99 then 'NO,WHERE' else n_name end as txt from r""")
+def workbook_append_row(spark, d):
+    """A row appended to each workbook's table by an edit of its text, then read back."""
+    grown = _workbooks(spark, d).select("key", workbook.edited(F.col("source"), "append", "t", [99.0, "NO,WHERE", None]).alias("source"))
+    cells = workbook.cells(grown).where("sheet = 's' and row > 1")
+    return cells.groupBy("key", "row").agg(F.max("num").alias("num"), F.max(F.when(F.col("col") == 2, F.col("txt"))).alias("txt")).drop("row")
+
+
 @query("""
     select s_suppkey, 'MS3201' as code, case when s_acctbal >= 0 then 's_nationkey <= 20' else 's_acctbal >= 0' end as failed from supplier where s_acctbal < 0 and s_nationkey <= 20
     union all select s_suppkey, 'MS3201', 's_nationkey <= 20' from supplier where s_nationkey > 20

@@ -15,7 +15,11 @@ from lattica.functions import columns as C
 from lattica.functions.columns import Val
 from lattica.operators import ranking
 from lattica.plans.book import Book, Compiler
-from lattica.plans.formula import Ref, parse, walk
+from lattica.plans.formula import Binary, Call, CellRef, Ref, parse, walk
+
+#: Cells of a sliding range at most; each distance is a join.
+WIDEST = 64
+_SLIDING = ("SUM", "AVERAGE", "COUNT", "MIN", "MAX", "AND", "OR", "CONCAT", "COUNTA")
 
 
 class _Fill(Compiler):
@@ -44,9 +48,55 @@ class _Fill(Compiler):
         return Val({kind: got, "text": F.lit(self.own.headers[c.col - 1]), "blank": None}, F.when(at == 0, "text").when(got.isNull(), "blank").otherwise(kind), off)
 
 
+def _same_row(node, width: int) -> bool:
+    return isinstance(node, Ref) and node.end is None and node.sheet is None and node.start.row == 2 and not node.start.fixed_row and node.start.col <= width
+
+
+def _running(tree, width: int) -> int | None:
+    """The column that the template sums up to each row, if it is one that does."""
+    above = Ref(None, CellRef(width + 1, 1))
+    match tree:
+        case Binary(op="+", left=a, right=b) if a == above and _same_row(b, width):
+            return b.start.col
+        case Binary(op="+", left=a, right=b) if b == above and _same_row(a, width):
+            return a.start.col
+        case Call(name="SUM", args=(Ref(sheet=None, start=a, end=b),)) if b is not None:
+            if a.col == b.col <= width and (a.row, a.fixed_row, b.row, b.fixed_row) == (2, True, 2, False):
+                return a.col
+    return None
+
+
+def _spread(tree):
+    """The template with the cells of sliding ranges for the ranges."""
+    match tree:
+        case Call(name=name, args=args):
+            out = []
+            for a in args:
+                if isinstance(a, Ref) and a.end is not None and name in _SLIDING and not a.start.fixed_row and not a.end.fixed_row:
+                    rows, cols = sorted((a.start.row, a.end.row)), sorted((a.start.col, a.end.col))
+                    if (rows[1] - rows[0] + 1) * (cols[1] - cols[0] + 1) > WIDEST:
+                        raise NotImplementedError("the range is too wide for a fill")
+                    out += [Ref(a.sheet, CellRef(c, r)) for r in range(rows[0], rows[1] + 1) for c in range(cols[0], cols[1] + 1)]
+                else:
+                    out.append(_spread(a))
+            return Call(name, tuple(out))
+        case Binary(op=op, left=a, right=b):
+            return Binary(op, _spread(a), _spread(b))
+    return tree
+
+
 def fill_down(book: Book, table: str, header: str, formula: str) -> None:
     """Add a column from a template with A1 references, written for row 2."""
     bound, tree = book.tables[table], parse(formula)
+    width = len(bound.headers)
+    summed = _running(tree, width)
+    if summed is not None and "number" in bound.vals[bound.headers[summed - 1]].cols:
+        running_fill(book, table, header, bound.headers[summed - 1])
+        return
+    tree = _spread(tree)
+    for ref in (n for n in walk(tree) if isinstance(n, Ref)):
+        if ref.end is not None or ref.start.col == width + 1 or ref.sheet is not None:
+            raise NotImplementedError("a fill down a table reads single cells of its own table's other columns, or one of the templates that sum")
     refs = [n for n in dict.fromkeys(walk(tree)) if isinstance(n, Ref) and n.end is None and 1 <= n.start.col <= len(bound.headers)]
     wanted, fixed, moved, df = {}, {}, {}, bound.df
     for k, ref in enumerate(refs):

@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.values import DateTime, Err, Formula, infer, kind_of, quote, spell, spell_field
@@ -22,6 +22,8 @@ from lattica.plans.formula import FormulaError, Ref, TableRef, column_letters, p
 HEADER, DEFAULT_HEADER = re.compile(r"#![a-z]+ 0\.1"), "#!lattica 0.1"
 _ID = r"[a-z][a-z0-9_]*"
 _ADDRESS = re.compile(r"[a-z]+[0-9]+|r[0-9]*c[0-9]*", re.IGNORECASE)
+#: Capabilities that are there.
+AVAILABLE = frozenset({"assertions@1"})
 _STYLE = {"bold", "italic", "wrap", "text-color", "fill", "font-size", "align", "valign", "number", "decimals", "currency"}
 
 
@@ -71,6 +73,7 @@ class Workbook:
     extensions: list[tuple[str, str]] = field(default_factory=list)
     sheets: list[Sheet] = field(default_factory=list)
     diagnostics: list[Diagnostic] = field(default_factory=list)
+    nodes: list[tuple[str, object]] = field(default_factory=list)  # all that the text holds after its first line, in order
 
     def table(self, name: str) -> tuple[Sheet, Block] | None:
         for sheet in self.sheets:
@@ -140,40 +143,50 @@ def area(ref: Ref) -> tuple[int, int, int, int]:
 
 class _Parser:
     def __init__(self, text: str):
-        self.lines = text.split("\n")
         self.book, self.at, self.sheet = Workbook(), 0, None
         self.ids: set[str] = set()
+        for n, line in enumerate(re.split(r"\r\n|\n", text), 1):
+            for _ in range(line.count("\r")):
+                self.note("MS1004", n, "a bare carriage return is no line end")
+        if text.startswith("\ufeff"):
+            self.note("MS1002", 1, "a byte-order mark is not permitted")
+        self.lines = re.sub(r"\r(?!\n)", "\n", text).split("\n")
 
     def run(self) -> Workbook:
         if HEADER.fullmatch(self.lines[0].rstrip("\r")):
-            self.book.header = self.lines[0].rstrip("\r")
+            self.book.header, self.at = self.lines[0].rstrip("\r"), 1
         else:
             self.note("MS1001", 1, "unsupported version header")
-        self.at = 1
+            self.at = int(self.lines[0].startswith("#!"))
         while self.at < len(self.lines):
             line, number = self.lines[self.at].rstrip("\r"), self.at + 1
             self.at += 1
+            if line.startswith("#!"):
+                self.note("MS1001", number, "the version header is repeated")
+                continue
             if not line.strip() or line.startswith("#"):
+                if self.at < len(self.lines) or line:
+                    self.book.nodes.append(("text", line))
                 continue
             word, _, rest = line.partition(" ")
             handler = getattr(self, "d_" + word[1:], None) if word.startswith("@") else None
             try:
                 if handler is None:
-                    raise _Stop("MS1003", "unknown directive")
-                handler(rest.strip(), number)
+                    raise _Stop("MS1101", "expected a directive, a comment or a blank line")
+                self.book.nodes.append((word[1:], handler(rest.strip(), number)))
             except (_Stop, FormulaError, ValueError) as e:
-                self.note(getattr(e, "code", "MS1201"), number, getattr(e, "message", str(e)))
+                self.note(getattr(e, "code", "MS1101"), number, getattr(e, "message", str(e)))
         if not self.book.sheets:
-            self.note("MS1002", len(self.lines), "a workbook needs a sheet")
+            self.note("MS1101", len(self.lines), "a workbook needs a sheet")
         self.finish()
         return self.book
 
-    def note(self, code: str, line: int, message: str) -> None:
-        self.book.diagnostics.append(Diagnostic(code, line, message))
+    def note(self, code: str, line: int, message: str, severity: str = "error") -> None:
+        self.book.diagnostics.append(Diagnostic(code, line, message, severity))
 
     def within(self) -> Sheet:
         if self.sheet is None:
-            raise _Stop("MS1202", "this belongs in a sheet")
+            raise _Stop("MS1101", "this belongs in a sheet")
         return self.sheet
 
     def body(self) -> str:
@@ -186,35 +199,53 @@ class _Parser:
                 return "".join(x + "\n" for x in lines)
             quoted ^= line.count('"') % 2 == 1
             lines.append(line)
-        raise _Stop("MS1101", "@end is missing")
-
-    def d_book(self, rest: str, line: int) -> None:
+        raise _Stop("MS1102", "the CSV has no @end")
+
+    @staticmethod
+    def known_id(text: str) -> str:
+        if not re.fullmatch(_ID, text) or text in ("true", "false"):
+            raise _Stop("MS1201", f"no identifier: {text}")
+        return text
+
+    @staticmethod
+    def placed(text: str):
+        try:
+            return parse_area(text)
+        except FormulaError as e:
+            raise _Stop("MS1202", str(e)) from e
+
+    def d_book(self, rest: str, line: int) -> dict[str, object]:
         if self.sheet is not None:
-            raise _Stop("MS1202", "@book must precede the sheets")
+            raise _Stop("MS1101", "@book must precede the sheets")
         found = _properties(rest)
         if set(found) - set(self.book.settings):
-            raise _Stop("MS1201", "unknown property")
+            raise _Stop("MS1101", "unknown property")
         self.book.settings |= found
-
-    def d_sheet(self, rest: str, line: int) -> None:
-        m = re.fullmatch(rf'({_ID}) ("(?:[^"\\]|\\.)*")', rest)
-        if not m:
-            raise _Stop("MS1201", "malformed sheet")
-        if any(s.name == m[1] for s in self.book.sheets):
+        return found
+
+    def d_sheet(self, rest: str, line: int) -> Sheet:
+        name, _, label = rest.partition(" ")
+        self.known_id(name)
+        if not re.fullmatch(r'"(?:[^"\\]|\\.)*"', label):
+            raise _Stop("MS1101", "malformed sheet")
+        if any(s.name == name for s in self.book.sheets):
             raise _Stop("MS1301", "repeated sheet")
-        self.sheet = Sheet(m[1], json.loads(m[2]))
+        self.sheet = Sheet(name, json.loads(label))
         self.book.sheets.append(self.sheet)
+        return self.sheet
 
-    def _block(self, anchor: str, line: int, table: str | None) -> None:
-        sheet, start = self.within(), parse_area(anchor)
-        records = split_csv(self.body())
+    def _block(self, anchor: str, line: int, table: str | None) -> Block:
+        sheet, text = self.within(), self.body()
+        start, records = self.placed(anchor), split_csv(text)
         if not records or len({len(r) for r in records}) > 1:
             raise _Stop("MS1204", "a block is a rectangle of one field at least")
         block = Block(start.start.row, start.start.col, records, line, table)
         if table:
             headers = block.headers
-            if table in self.ids or not all(isinstance(h, str) and h for h in headers) or len({*headers}) < len(headers):
-                raise _Stop("MS1303", "a table needs an id of its own and different text headers")
+            if table in self.ids:
+                raise _Stop("MS1301", "repeated table")
+            if not all(isinstance(h, str) and h for h in headers) or len({*headers}) < len(headers):
+                raise _Stop("MS2201", "a table needs different text headers")
             self.ids.add(table)
         if any(_overlap(block.corners, other.corners) for other in sheet.of("block")):
             raise _Stop("MS1302", "footprints overlap")
@@ -224,79 +255,125 @@ class _Parser:
                 if isinstance(value, Formula):
                     parse(value.text)
         sheet.items.append(("block", block))
-
-    def d_block(self, rest: str, line: int) -> None:
-        m = re.fullmatch(r"([A-Za-z]+[0-9]+) csv", rest)
-        if not m:
-            raise _Stop("MS1201", "malformed block")
-        self._block(m[1], line, None)
-
-    def d_table(self, rest: str, line: int) -> None:
-        m = re.fullmatch(rf"({_ID}) ([A-Za-z]+[0-9]+) csv", rest)
-        if not m or _ADDRESS.fullmatch(m[1]):
-            raise _Stop("MS1201", "malformed table")
-        self._block(m[2], line, m[1])
-
-    def d_style(self, rest: str, line: int) -> None:
+        return block
+
+    def _encoded(self, rest: list[str]) -> None:
+        if rest != ["csv"]:
+            raise _Stop("MS1101", "csv is the only encoding")
+
+    def d_block(self, rest: str, line: int) -> Block:
+        words = rest.split()
+        try:
+            self._encoded(words[1:])
+        except _Stop:
+            self.body()
+            raise
+        return self._block(words[0], line, None)
+
+    def d_table(self, rest: str, line: int) -> Block:
+        words = rest.split()
+        try:
+            if _ADDRESS.fullmatch(self.known_id(words[0] if words else "")):
+                raise _Stop("MS1201", "a table's id may not look like a cell")
+            self._encoded(words[2:])
+        except _Stop:
+            self.body()
+            raise
+        return self._block(words[1], line, words[0])
+
+    def d_style(self, rest: str, line: int) -> str:
         name, _, properties = rest.partition(" ")
+        self.known_id(name)
+        if name in self.book.styles:
+            raise _Stop("MS1301", "repeated style")
         found = _properties(properties.strip())
-        if not re.fullmatch(_ID, name) or set(found) - _STYLE or name in self.book.styles:
-            raise _Stop("MS1201", "malformed or repeated style")
+        if set(found) - _STYLE:
+            raise _Stop("MS1101", "unknown property")
+        decimals, size = found.get("decimals", 0), found.get("font-size", 1)
         if found.get("number") == "currency" and "currency" not in found:
-            raise _Stop("MS1201", "a currency style names its currency")
+            raise _Stop("MS2201", "a currency style names its currency")
+        if not isinstance(decimals, int) or not 0 <= decimals <= 15 or not isinstance(size, int | float) or size <= 0:
+            raise _Stop("MS2201", "a style's number is out of its range")
         self.book.styles[name] = found
+        return name
 
-    def d_name(self, rest: str, line: int) -> None:
-        m = re.fullmatch(rf"({_ID}) = (\S.*)", rest)
-        if not m or m[1] in ("true", "false") or _ADDRESS.fullmatch(m[1]) or m[1] in self.book.names:
-            raise _Stop("MS1201", "malformed or repeated name")
-        target = parse(m[2])
+    def d_name(self, rest: str, line: int) -> str:
+        name, _, text = rest.partition(" = ")
+        if _ADDRESS.fullmatch(self.known_id(name)) or name in self.book.names:
+            raise _Stop("MS1301" if name in self.book.names else "MS1201", "a name is repeated or looks like a cell")
+        target = parse(text)
         if not (isinstance(target, Ref) and target.sheet) and not (isinstance(target, TableRef) and target.table and not target.current_row):
-            raise _Stop("MS1201", "a name stands for a cell, a range or a table column")
-        self.book.names[m[1]] = target
+            raise _Stop("MS1202", "a name stands for a cell, a range or a table column")
+        self.book.names[name] = target
+        return name
 
-    def d_use(self, rest: str, line: int) -> None:
+    def _extension(self, kind: str, rest: str, line: int) -> str:
         if not re.fullmatch(r"[a-z][a-z0-9._-]*@[1-9][0-9]*", rest):
             raise _Stop("MS1201", "malformed extension id")
-        self.book.extensions.append(("use", rest))
+        if rest not in AVAILABLE:
+            if kind == "require":
+                self.note("MS3101", line, "a required extension is not available")
+            else:
+                self.note("MS3102", line, "an optional extension is not available", "warning")
+        self.book.extensions.append((kind, rest))
+        return rest
+
+    def d_use(self, rest: str, line: int) -> str:
+        return self._extension("use", rest, line)
 
-    def d_require(self, rest: str, line: int) -> None:
-        self.d_use(rest, line)
-        self.book.extensions[-1] = ("require", rest)
+    def d_require(self, rest: str, line: int) -> str:
+        return self._extension("require", rest, line)
 
-    def d_extension(self, rest: str, line: int) -> None:
+    def d_extension(self, rest: str, line: int) -> tuple[str, str, int]:
         payload = []
         while self.at < len(self.lines) and self.lines[self.at].rstrip("\r") != "@end":
             payload.append(self.lines[self.at])
             self.at += 1
+        if self.at == len(self.lines):
+            raise _Stop("MS1101", "the extension has no @end")
         self.at += 1
-        item = (rest.split(" ")[0], "\n".join(payload), line)
-        if item[0] not in {e for _, e in self.book.extensions}:
-            self.note("MS3103", line, "extension is not declared")
-        (self.sheet.items if self.sheet else self.book.extensions).append(("extension", item))
+        item = (rest, "\n".join(payload), line)
+        if rest.split(" ")[0] not in {e for _, e in self.book.extensions}:
+            self.note("MS3103", line, "extension is not declared", "warning")
+        if self.sheet:
+            self.sheet.items.append(("extension", item))
+        else:
+            self.book.extensions.append(("extension", item))
+        return item
 
-    def d_fill(self, rest: str, line: int) -> None:
+    def d_fill(self, rest: str, line: int) -> tuple:
         target, _, formula = rest.partition(" =")
-        self.within().items.append(("fill", (parse(target), parse(formula), line)))
+        item = (parse(target), parse(formula), line)
+        self.within().items.append(("fill", item))
+        return item
 
-    def d_apply(self, rest: str, line: int) -> None:
-        m = re.fullmatch(rf"(\S*\[[^\]]+\]|\S+)((?: +{_ID})+)", rest)
+    def d_apply(self, rest: str, line: int) -> tuple:
+        m = re.fullmatch(r"(\S*\[[^\]]+\]|\S+)((?: +\S+)+)", rest)
         if not m:
-            raise _Stop("MS1201", "malformed apply")
-        self.within().items.append(("apply", (parse(m[1]), m[2].split(), line)))
+            raise _Stop("MS1101", "malformed apply")
+        item = (parse(m[1]), [self.known_id(x) for x in m[2].split()], line)
+        self.within().items.append(("apply", item))
+        return item
 
-    def _geometry(self, kind: str, key: str, rest: str) -> None:
-        m = re.fullmatch(rf"([A-Za-z0-9]+)(?::([A-Za-z0-9]+))? {key}=([0-9.eE+-]+)", rest)
-        if not m or not 0 < float(m[3]) < float("inf"):
-            raise _Stop("MS1201", f"malformed {kind}")
-        at = [parse_area(x + "1").start.col if kind == "column" else int(x) for x in (m[1], m[2] or m[1])]
-        self.within().items.append((kind, (min(at), max(at), float(m[3]))))
-
-    def d_column(self, rest: str, line: int) -> None:
-        self._geometry("column", "width", rest)
-
-    def d_row(self, rest: str, line: int) -> None:
-        self._geometry("row", "height", rest)
+    def _geometry(self, kind: str, key: str, rest: str) -> tuple[int, int, float]:
+        m = re.fullmatch(rf"(\S+) {key}=(\S+)", rest)
+        if not m:
+            raise _Stop("MS1101", f"malformed {kind}")
+        span = re.fullmatch(r"([A-Za-z]+)(?::([A-Za-z]+))?" if kind == "column" else r"([1-9][0-9]*)(?::([1-9][0-9]*))?", m[1])
+        if not span:
+            raise _Stop("MS1202", f"no {kind}: {m[1]}")
+        if not re.fullmatch(r"[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?", m[2]) or not 0 < float(m[2]) < float("inf"):
+            raise _Stop("MS2201", f"a {kind} has a {key} above 0")
+        at = [parse_area(x + "1").start.col if kind == "column" else int(x) for x in (span[1], span[2] or span[1])]
+        item = (min(at), max(at), float(m[2]))
+        self.within().items.append((kind, item))
+        return item
+
+    def d_column(self, rest: str, line: int) -> tuple[int, int, float]:
+        return self._geometry("column", "width", rest)
+
+    def d_row(self, rest: str, line: int) -> tuple[int, int, float]:
+        return self._geometry("row", "height", rest)
 
     def finish(self) -> None:
         book, sheets = self.book, {s.name for s in self.book.sheets}
@@ -310,13 +387,15 @@ class _Parser:
             if not known:
                 self.note("MS2101", 1, f"{name} has no target")
         for sheet in book.sheets:
-            for target, styles, line in sheet.of("apply"):
+            for _, styles, line in sheet.of("apply"):
                 for s in styles:
                     if s not in book.styles:
-                        self.note("MS1304", line, f"no style {s}")
+                        self.note("MS2102", line, f"no style {s}")
             for target, _, line in sheet.of("fill"):
-                if fill_area(sheet, target) is None:
-                    self.note("MS1305", line, "a fill lies in one earlier block, on blank cells")
+                if isinstance(target, TableRef) and not any(b.table == target.table and target.selector in b.headers for b in sheet.of("block")):
+                    self.note("MS2102", line, "a fill's column is not there")
+                elif fill_area(sheet, target) is None:
+                    self.note("MS2201", line, "a fill lies in one earlier block, on blank cells")
 
 
 def fill_area(sheet: Sheet, target) -> tuple[int, int, int, int] | None:
@@ -345,7 +424,15 @@ def fill_area(sheet: Sheet, target) -> tuple[int, int, int, int] | None:
 
 def loads(text: str | bytes) -> Workbook:
     """Parse a workbook; what breaks a rule is in its diagnostics."""
-    return _Parser(text.decode() if isinstance(text, bytes) else text).run()
+    if isinstance(text, bytes):
+        try:
+            return _Parser(text.decode()).run()
+        except UnicodeDecodeError as e:
+            book = _Parser(text.decode(errors="replace")).run()
+            line = text.count(b"\n", 0, e.start) + 1
+            book.diagnostics.insert(0, Diagnostic("MS1003", line, "the text is not valid UTF-8"))
+            return book
+    return _Parser(text).run()
 
 
 def _target(node) -> str:
@@ -354,34 +441,52 @@ def _target(node) -> str:
     return canonical(node)
 
 
+def _show(v) -> str:
+    return v if isinstance(v, str) and re.fullmatch(_ID, v) else json.dumps(v, ensure_ascii=False)
+
+
+def _canonical(book: Workbook, kind: str, x) -> list[str]:
+    """Lines of one thing that a workbook holds."""
+    match kind:
+        case "text":
+            return [x]
+        case "book":
+            return ["@book " + " ".join(f"{k}={json.dumps(v, ensure_ascii=False)}" for k, v in x.items())]
+        case "use" | "require":
+            return [f"@{kind} {x}"]
+        case "style":
+            return [" ".join([f"@style {x}", *(f"{k}={_show(v)}" for k, v in book.styles[x].items())])]
+        case "name":
+            return [f"@name {x} = {_target(book.names[x])}"]
+        case "sheet":
+            return [f"@sheet {x.name} {json.dumps(x.label, ensure_ascii=False)}"]
+        case "block" | "table":
+            anchor = f"{column_letters(x.col)}{x.row}"
+            head = f"@table {x.table} {anchor} csv" if x.table else f"@block {anchor} csv"
+            return [head, *(",".join(quote(spell_field(infer(f)), len(r) == 1) for f in r) for r in x.fields), "@end"]
+        case "fill":
+            return [f"@fill {_target(x[0])} ={_target(x[1])}"]
+        case "apply":
+            return [f"@apply {_target(x[0])} {' '.join(x[1])}"]
+        case "extension":
+            return [f"@extension {x[0]}", *([x[1]] if x[1] else []), "@end"]
+    first, last = (column_letters(x[0]), column_letters(x[1])) if kind == "column" else (str(x[0]), str(x[1]))
+    return [f"@{kind} {first if first == last else f'{first}:{last}'} {'width' if kind == 'column' else 'height'}={spell(x[2])}"]
+
+
 def dumps(book: Workbook) -> str:
-    """Canonical text; refuses a workbook with errors."""
+    """Canonical text, each thing in its place, comments and blank lines as they are; refuses a workbook with errors.
+
+    A workbook that was not parsed has its settings, extensions, styles and names first.
+    """
     if any(d.severity == "error" for d in book.diagnostics):
         raise ValueError("a workbook with errors has no canonical text")
-    out = [book.header, "@book " + " ".join(f"{k}={json.dumps(v)}" for k, v in book.settings.items())]
-    show = lambda v: json.dumps(v) if not isinstance(v, str) or not re.fullmatch(_ID, v) else v
-    out += [f"@{k} {v}" for k, v in book.extensions if k != "extension"]
-    out += [f"@style {n} " + " ".join(f"{k}={show(v)}" for k, v in p.items()) for n, p in book.styles.items()]
-    out += [f"@name {n} = {_target(t)}" for n, t in book.names.items()]
-    for sheet in book.sheets:
-        out += ["", f"@sheet {sheet.name} {json.dumps(sheet.label, ensure_ascii=False)}"]
-        for kind, x in sheet.items:
-            if kind == "block":
-                anchor = f"{column_letters(x.col)}{x.row}"
-                out.append(f"@table {x.table} {anchor} csv" if x.table else f"@block {anchor} csv")
-                out += [",".join(quote(spell_field(infer(f)), len(r) == 1) for f in r) for r in x.fields]
-                out.append("@end")
-            elif kind == "fill":
-                out.append(f"@fill {_target(x[0])} ={_target(x[1])}")
-            elif kind == "apply":
-                out.append(f"@apply {_target(x[0])} {' '.join(x[1])}")
-            elif kind == "extension":
-                out += [f"@extension {x[0]}", x[1], "@end"]
-            else:
-                first, last = (column_letters(x[0]), column_letters(x[1])) if kind == "column" else (str(x[0]), str(x[1]))
-                span = first if first == last else f"{first}:{last}"
-                out.append(f"@{kind} {span} {'width' if kind == 'column' else 'height'}={x[2]:g}")
-    return "\n".join(out) + "\n"
+    nodes = book.nodes
+    if not nodes:
+        nodes = [("book", book.settings), *book.extensions, *(("style", n) for n in book.styles), *(("name", n) for n in book.names)]
+        for sheet in book.sheets:
+            nodes += [("text", ""), ("sheet", sheet), *sheet.items]
+    return "\n".join([book.header, *(line for kind, x in nodes for line in _canonical(book, kind, x))]) + "\n"
 
 
 CELLS = "path string, sheet string, row long, col long, kind string, num double, txt string, bool boolean, day date, err string"
@@ -413,6 +518,72 @@ def read(spark: SparkSession, path: str, calculated: bool = False) -> DataFrame:
     return files.mapInArrow(task, CELLS)
 
 
+def _each(texts: DataFrame, give, schema: str) -> DataFrame:
+    """key and the rows that give() makes of each workbook text (key, source)."""
+    types = [pa.int64(), *(_ARROW[f.split()[1]] for f in schema.split(", "))]
+    names = ["key", *(f.split()[0] for f in schema.split(", "))]
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(key, *row) for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in give(loads(source or ""))]
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return texts.select(F.col("key").cast("long").alias("key"), "source").mapInArrow(task, f"key long, {schema}")
+
+
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "date": pa.date32()}
+
+
+def cells(texts: DataFrame, calculated: bool = False) -> DataFrame:
+    """key and cells, as authored or calculated, of workbook texts (key, source), a workbook a row."""
+
+    def give(book: Workbook) -> Iterator[tuple]:
+        from lattica.plans.sheets import Calculator
+
+        found = Calculator(book).all_values() if calculated else authored(book)
+        return ((*key, *value_row(v)) for key, v in found.items())
+
+    return _each(texts, give, CELLS.removeprefix("path string, "))
+
+
+def diagnostics(texts: DataFrame) -> DataFrame:
+    """key, code, line, message, severity of what breaks rules in workbook texts (key, source)."""
+    return _each(texts, lambda book: [(d.code, d.line, d.message, d.severity) for d in book.diagnostics], "code string, line long, message string, severity string")
+
+
+def canonical_text(source: Column) -> Column:
+    """Canonical text of a column of workbook texts; null where a text has errors."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        books = [loads(t or "") for t in texts.to_pylist()]
+        return pa.array([None if any(d.severity == "error" for d in b.diagnostics) else dumps(b) for b in books], pa.string())
+
+    return run(source)
+
+
+def edited(source: Column, verb: str, *args) -> Column:
+    """A column of workbook texts after an edit (set, append or rename, as in lattica.operators.edits); null where it is refused."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        from lattica.operators import edits
+
+        make = {"set": edits.set_cell, "append": edits.append_row, "rename": edits.rename_label}[verb]
+        out = []
+        for text in texts.to_pylist():
+            session = edits.Session(text or "")
+            try:
+                session.edit(make(session.source, session.book, *args))
+                out.append(session.source)
+            except edits.EditError:
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    return run(source)
+
+
 def authored(book: Workbook) -> dict[tuple[str, int, int], object]:
     """(sheet, row, col) -> value of every field, blanks included."""
     out = {}
