@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import tempfile
 from pathlib import Path
 
 from lattica.functions.values import Err, infer, kind_of, spell
@@ -27,6 +29,22 @@ def _cells(target: str) -> list[tuple[str, int, int]]:
     return [(ref.sheet, r, c) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1)]
 
 
+def _replace(path: str, text: str) -> None:
+    """Write the file whole or not at all: its bytes go to a new file beside it, which then takes its place."""
+    target = Path(os.path.realpath(path))
+    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
+    try:
+        with os.fdopen(handle, "wb") as out:
+            out.write(text.encode())
+            out.flush()
+            os.fsync(out.fileno())
+        os.chmod(name, target.stat().st_mode & 0o7777)
+        os.replace(name, target)
+    except BaseException:
+        os.unlink(name)
+        raise
+
+
 def main(argv: list[str]) -> int:
     parser = argparse.ArgumentParser(prog="lattica")
     parser.add_argument("verb", choices=["check", "inspect", "get", "calc", "fmt", "set", "append", "diff"])
@@ -34,8 +52,8 @@ def main(argv: list[str]) -> int:
     parser.add_argument("rest", nargs="*")
     args = parser.parse_args(argv)
     try:
-        source = Path(args.file).read_text()
-        book = loads(source)
+        data = Path(args.file).read_bytes()
+        book, source = loads(data), data.decode(errors="replace")
         errors = [d for d in book.diagnostics if d.severity == "error"]
         if args.verb == "check":
             print(json.dumps({"valid": not errors, "diagnostics": [vars(d) for d in book.diagnostics]}))
@@ -59,13 +77,13 @@ def main(argv: list[str]) -> int:
                 (key,) = _cells(args.rest[0])
                 session = edits.Session(source)
                 session.edit(edits.set_cell(source, book, *key, infer(args.rest[1])))
-                Path(args.file).write_text(session.source)
+                _replace(args.file, session.source)
             case "append":
                 session = edits.Session(source)
                 session.edit(edits.append_row(source, book, args.rest[0], [infer(v) for v in args.rest[1:]]))
-                Path(args.file).write_text(session.source)
+                _replace(args.file, session.source)
             case "diff":
-                changes = edits.semantic_diff(book, loads(Path(args.rest[0]).read_text()))
+                changes = edits.semantic_diff(book, loads(Path(args.rest[0]).read_bytes()))
                 print(json.dumps(changes))
                 return int(bool(changes))
     except edits.EditError as e:

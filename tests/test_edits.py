@@ -57,3 +57,14 @@ def test_csv_files(spark, tmp_path):
     assert csvfile.misread(spark, str(tmp_path / "t.csv"), kinds) == {"a": 1, "c": 1}
     df = spark.createDataFrame([(1000.0, "12", True), (None, 'q"', None), (0.5, "", False), (-0.0, "=1", True)], "n double, s string, b boolean")
     assert [r.line for r in csvfile.lines(df).collect()] == ["1e3,'12,true", ',"q""",', "0.5,',false", "-0,'=1,true"]
+
+
+def test_command_line_keeps_line_ends_and_reports_bad_bytes(tmp_path, capsys):
+    file = tmp_path / "a.ms"
+    file.write_bytes(TEXT.replace("\n", "\r\n").encode())
+    file.chmod(0o640)
+    assert main(["set", str(file), "s!B3", "4"]) == 0
+    assert file.read_bytes() == TEXT.replace("\n", "\r\n").replace("Util,3", "Util,4").encode()
+    assert file.stat().st_mode & 0o777 == 0o640 and [f.name for f in tmp_path.iterdir()] == ["a.ms"]
+    file.write_bytes(b'#!lattica 0.1\n@sheet s "S"\n# \xff\n')
+    assert main(["check", str(file)]) == 1 and "MS1003" in capsys.readouterr().out
