@@ -272,8 +272,12 @@ class Filter:
         return (keys >> np.uint64(64 - bits)).astype(np.int64), ((keys >> np.uint64(58) << np.uint64(bits - 6)) | (keys & low)).astype(np.int64)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        a, b = self.places(keys, self.bits)
-        return ((self.data[a >> 3] >> (a & 7)) & (self.data[b >> 3] >> (b & 7)) & 1).astype(bool)
+        a = keys >> np.uint64(64 - self.bits)
+        found = ((self.data[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+        at = np.flatnonzero(found)
+        b = self.places(keys[at], self.bits)[1]
+        found[at] = (self.data[b >> 3] >> (b & 7)) & 1
+        return found
 
     @classmethod
     def of(cls, keys: DataFrame) -> Filter:
@@ -304,13 +308,19 @@ class Entries:
         self.keys, self.ratios, self.keeps = keys, ratios[at], keeps[at]
         self.bits = min(24, max(1, (2 * len(keys)).bit_length()))
         self.starts = np.searchsorted(keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+        marks = np.zeros(1 << 24, bool)  # two megabytes of bits tell most keys that are not there
+        marks[keys >> np.uint64(40)] = True
+        self.marks = np.packbits(marks, bitorder="little")
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places among wanted, places among the entries) of those that are there."""
-        top = (wanted >> np.uint64(64 - self.bits)).astype(np.int64)
+        first = wanted >> np.uint64(40)
+        at = np.flatnonzero((self.marks[first >> np.uint64(3)] >> (first & np.uint64(7)).astype(np.uint8)) & 1)
+        key, found = wanted[at], []
+        top = (key >> np.uint64(64 - self.bits)).astype(np.int64)
         place, last = self.starts[top], self.starts[top + 1]
-        at = np.flatnonzero(place < last)
-        place, last, key, found = place[at], last[at], wanted[at], []
+        fits = place < last
+        at, key, place, last = at[fits], key[fits], place[fits], last[fits]
         while len(at):
             here = self.keys[place]
             hit = here == key
@@ -341,9 +351,22 @@ def _chain(columns: list[np.ndarray]) -> np.ndarray:
     return key
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """argsort: a sort of the keys' first bits with their places, then of the few whose first bits alone are equal."""
+    low = np.uint64((1 << max(1, len(key).bit_length())) - 1)
+    packed = np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64))
+    order = (packed & low).astype(np.int64)
+    ordered, first = key[order], packed & ~low
+    mixed = np.flatnonzero((first[1:] == first[:-1]) & (ordered[1:] != ordered[:-1]))
+    for value in np.unique(first[mixed]):
+        a, b = np.searchsorted(first, value, "left"), np.searchsorted(first, value, "right")
+        order[a:b] = order[a:b][np.argsort(ordered[a:b], kind="stable")]
+    return order
+
+
 def _summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Different keys in order, with their columns and sums."""
-    order = np.argsort(key)
+    order = _order(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
     return key[first], [c[order[first]] for c in columns], np.add.reduceat(n[order], first) if len(key) else n
