@@ -355,8 +355,8 @@ def _order(key: np.ndarray) -> np.ndarray:
     """argsort: a sort of the keys' first bits with their places, then of the few whose first bits alone are equal."""
     low = np.uint64((1 << max(1, len(key).bit_length())) - 1)
     packed = np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64))
-    order = (packed & low).astype(np.int64)
-    ordered, first = key[order], packed & ~low
+    order = (packed & low).view(np.int64)
+    ordered, first = key[order], np.bitwise_and(packed, ~low, out=packed)
     mixed = np.flatnonzero((first[1:] == first[:-1]) & (ordered[1:] != ordered[:-1]))
     for value in np.unique(first[mixed]):
         a, b = np.searchsorted(first, value, "left"), np.searchsorted(first, value, "right")
@@ -386,7 +386,9 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> Dat
         held, size = [], 0
 
         def ready() -> pa.RecordBatch:
-            key, columns, n = _summed(np.concatenate([h[0] for h in held]), [np.concatenate([h[1 + j] for h in held]) for j in range(k)], np.ones(size, np.int64))
+            columns = [np.concatenate([h[j] for h in held]) for j in range(k + 1)]
+            held.clear()  # before the sort takes as much again
+            key, columns, n = _summed(columns.pop(0), columns, np.ones(size, np.int64))
             edges = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             full = np.flatnonzero(edges[1:] > edges[:-1])
             data = [_planes([c[edges[i] : edges[i + 1]] for c in columns], n[edges[i] : edges[i + 1]]) for i in full]
@@ -416,8 +418,10 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> Dat
 
         def ready() -> pa.RecordBatch:
             parts = [_unplaned(d, k) for d in held]
-            columns = [np.concatenate([p[0][j] for p in parts]) for j in range(k)]
-            key, columns, n = _summed(_chain(columns), columns, np.concatenate([p[1] for p in parts]))
+            columns, n = [np.concatenate([p[0][j] for p in parts]) for j in range(k)], np.concatenate([p[1] for p in parts])
+            parts.clear()
+            held.clear()
+            key, columns, n = _summed(_chain(columns), columns, n)
             often = n >= LEAST
             columns = [c[often] for c in columns]
             ends = _chain(columns[:-1]), _chain(columns[1:])
