@@ -54,7 +54,7 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield record
     finally:
-        _records.remove(record)
+        _records[:] = [r for r in _records if r is not record]
 
 
 def drop_unread(paths: list[str], df: DataFrame) -> list[str]:

@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -446,6 +447,10 @@ def _free(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+#: What a diverging gram is in the model.
+_ENTRY = ("key", "ratio", "1.0D as keep", "n")
+
+
 def grow(encoded: DataFrame, counts: DataFrame, whole: float, tokens: int) -> DataFrame:
     """key, ratio, keep, n of diverging grams and retained contexts, in the shared folder; counts has code, n of all words."""
     below = counts.select(F.xxhash64("code").alias("key"), "n", ((F.col("n") + 1.0) / F.lit(whole)).alias("p0"), F.lit(1.0).alias("r"))
@@ -461,17 +466,20 @@ def grow(encoded: DataFrame, counts: DataFrame, whole: float, tokens: int) -> Da
             want = F.col("n_s") * F.col("p0") * F.col("r")
             diverges = (F.col("n") > want) & (F.col("n") * F.log(F.col("n") / want) - (F.col("n") - want) > DIVERGENCE)
             level = grams.join(above, "context").join(rest, "suffix").withColumn("gain", F.when(diverges, (F.col("n") - DISCOUNT) / F.col("n_s")).otherwise(0.0))
-            level = save(level.select("key", "context", "n", "n_s", "p0", "r", "gain"), f"level{k}")
-            found = level.where("gain > 0")
-            kept = save(found.groupBy("context").agg((1.0 - F.sum("gain")).alias("keep"), F.max("n_s").alias("n_s")), f"kept{k}")
-            entries.append(found.select("key", (F.col("gain") / F.col("p0")).alias("ratio"), F.lit(1.0).alias("keep"), "n"))
-            entries.append(kept.select(F.col("context").alias("key"), F.lit(0.0).alias("ratio"), "keep", F.col("n_s").alias("n")))
+            level = level if k <= DEPTH else level.where("gain > 0")  # nothing longer asks for the others
+            level = save(level.select("key", "context", "n", "n_s", "p0", "r", (F.col("gain") / F.col("p0")).alias("ratio"), "gain"), f"level{k}")
+            made[:] = drop_unread(made, reduce(DataFrame.unionByName, entries, level.selectExpr(*_ENTRY)))
+            _free(encoded)
+            kept = save(level.where("gain > 0").groupBy("context").agg((1.0 - F.sum("gain")).alias("keep"), F.max("n_s").alias("n_s")), f"kept{k}")
             if k <= DEPTH:
-                value = F.col("gain") / F.col("p0") + F.coalesce("keep", F.lit(1.0)) * F.col("r")
-                below = save(level.join(kept.drop("n_s"), "context", "left").select("key", "n", "p0", value.alias("r")), f"values{k}")
-        union = entries[0]
-        for e in entries[1:]:
-            union = union.unionByName(e)
+                value = F.col("ratio") + F.coalesce("keep", F.lit(1.0)) * F.col("r")
+                level = save(level.join(kept.drop("n_s"), "context", "left").select("key", "n", "p0", value.alias("r"), "ratio"), f"values{k}")
+                below = level
+            entries.append(level.where("ratio > 0").selectExpr(*_ENTRY))
+            entries.append(kept.select(F.col("context").alias("key"), F.lit(0.0).alias("ratio"), "keep", F.col("n_s").alias("n")))
+            made[:] = drop_unread(made, reduce(DataFrame.unionByName, entries))
+            _free(encoded)
+        union = reduce(DataFrame.unionByName, entries)
         model = save(union.groupBy("key").agg(F.max("ratio").alias("ratio"), F.min("keep").alias("keep"), F.max("n").alias("n")), "model")
     drop_unread(made, model)
     _free(encoded)
