@@ -384,16 +384,19 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> Dat
     bits = max(1, (tokens // (SUMMED // 6)).bit_length())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def ready() -> pa.RecordBatch:
-            columns = [np.concatenate([h[j] for h in held]) for j in range(k + 1)]
-            held.clear()  # before the sort takes as much again
-            key, columns, n = _summed(columns.pop(0), columns, np.ones(size, np.int64))
-            edges = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        held, size = np.empty((k + 1, SUMMED), np.int64), 0  # keys, then the tokens of the grams
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            order = _order(held[0, :size].view(np.uint64))
+            key = held[0][order].view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.append(first, size))
+            edges = np.searchsorted(key[first] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             full = np.flatnonzero(edges[1:] > edges[:-1])
-            data = [_planes([c[edges[i] : edges[i + 1]] for c in columns], n[edges[i] : edges[i + 1]]) for i in full]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
+            for some in (full[i : i + 16] for i in range(0, len(full), 16)):
+                spans = [slice(edges[i], edges[i + 1]) for i in some]
+                data = [_planes([c[order[first[s]]] for c in held[1:]], n[s]) for s in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
 
         for batch in batches:
             for _, codes, _ in _runs(batch.column(0), batch.column(1)):
@@ -405,14 +408,17 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> Dat
                 keys = gram_keys(codes, k)
                 has = shared.value.has(keys[-2])
                 use &= has[:-1] & has[1:]
-                at = np.flatnonzero(use)
-                held.append([keys[-1][at], *(codes[at + j] for j in range(k))])
-                size += len(at)
-                if size > SUMMED:
-                    yield ready()
-                    held, size = [], 0
-        if held:
-            yield ready()
+                at, key = np.flatnonzero(use), keys[-1].view(np.int64)
+                while len(at):
+                    part, at = at[: SUMMED - size], at[SUMMED - size :]
+                    for row, values in zip(held[:, size : size + len(part)], (key, *(codes[j:] for j in range(k))), strict=True):
+                        row[:] = values[part]
+                    size += len(part)
+                    if size == SUMMED:
+                        yield from ready()
+                        size = 0
+        if size:
+            yield from ready()
 
     def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
