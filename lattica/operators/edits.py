@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from lattica.functions.values import infer, kind_of, quote, spell_field
+from lattica.functions.values import infer, kind_of, quote, spell, spell_field
 from lattica.sources.workbook import Workbook, loads
 
 
@@ -103,6 +103,121 @@ def rename_label(source: str, book: Workbook, sheet: str, label: str) -> list[Pa
     return [Patch(m.start(1), m.end(1), json.dumps(label, ensure_ascii=False))]
 
 
+def _directives(source: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every directive, its body included."""
+    out, at, start, inside, quoted = [], 0, 0, None, False
+    for line in re.findall(r"[^\n]*\n|[^\n]+", source):
+        bare = line.rstrip("\r\n")
+        if inside:
+            if not quoted and bare == "@end":
+                out.append((inside, start, at + len(line)))
+                inside = None
+            elif inside != "extension":
+                quoted ^= bare.count('"') % 2 == 1
+        elif bare.startswith("@"):
+            kind, start = bare[1:].split(" ")[0], at
+            if kind in ("block", "table", "extension"):
+                inside, quoted = kind, False
+            else:
+                out.append((kind, at, at + len(line)))
+        at += len(line)
+    return out
+
+
+def _insert(source: str, at: int, line: str) -> list[Patch]:
+    """A line of its own at a place between lines."""
+    end = "\r\n" if "\r\n" in source else "\n"
+    before = end if at and source[at - 1] != "\n" else ""
+    return [Patch(at, at, before + line + end)]
+
+
+def _of_sheet(source: str, sheet: str) -> list[tuple[str, int, int]]:
+    """The directives of a sheet, its own first."""
+    found = _directives(source)
+    first = next((i for i, (kind, a, b) in enumerate(found) if kind == "sheet" and source[a:b].split(" ")[1] == sheet), None)
+    if first is None:
+        raise EditError("unknown_sheet", f"no sheet {sheet}")
+    last = next((i for i in range(first + 1, len(found)) if found[i][0] == "sheet"), len(found))
+    return found[first:last]
+
+
+def _geometry(source: str, book: Workbook, sheet: str, kind: str, first: int, last: int, size: float) -> list[Patch]:
+    from lattica.plans.formula import column_letters
+
+    if not 1 <= first <= last or not 0 < size < float("inf"):
+        raise EditError("geometry", f"a {kind} is from 1 on and has a size above 0")
+    own = _of_sheet(source, sheet)
+    given = next(s for s in book.sheets if s.name == sheet).of(kind)
+    edges = sorted({first, *(x for a, b, _ in given for x in (a, b + 1) if first <= x <= last)})
+    if all(next((w for a, b, w in reversed(given) if a <= x <= b), None) == size for x in edges):
+        return []
+    name = column_letters if kind == "column" else str
+    span = name(first) if first == last else f"{name(first)}:{name(last)}"
+    return _insert(source, own[-1][2], f"@{kind} {span} {'width' if kind == 'column' else 'height'}={spell(float(size))}")
+
+
+def set_width(source: str, book: Workbook, sheet: str, first: int, last: int, width: float) -> list[Patch]:
+    """A width for columns first to last, as the sheet's last declaration; nothing where they have it already."""
+    return _geometry(source, book, sheet, "column", first, last, width)
+
+
+def set_height(source: str, book: Workbook, sheet: str, first: int, last: int, height: float) -> list[Patch]:
+    """A height for rows first to last, as the sheet's last declaration; nothing where they have it already."""
+    return _geometry(source, book, sheet, "row", first, last, height)
+
+
+def set_name(source: str, book: Workbook, name: str, target: str) -> list[Patch]:
+    """Let a name stand for another cell, range or table column."""
+    from lattica.plans.formula import canonical, parse
+
+    if name not in book.names:
+        raise EditError("unknown_name", f"no name {name}")
+    wanted = canonical(parse(target))
+    if wanted == canonical(book.names[name]):
+        return []
+    for kind, a, b in _directives(source):
+        m = re.match(r"@name (\S+) = ([^\r\n]*)", source[a:b]) if kind == "name" else None
+        if m and m[1] == name:
+            return [Patch(a + m.start(2), a + m.end(2), wanted)]
+    raise EditError("unlocatable", f"{name} has no declaration")
+
+
+def define_style(source: str, book: Workbook, style: str, properties: dict[str, object]) -> list[Patch]:
+    """A style after the last one, before the sheets; nothing if it is there with equal properties."""
+    from lattica.sources.workbook import _show
+
+    if style in book.styles:
+        if book.styles[style] == properties:
+            return []
+        raise EditError("conflict", f"there is another style {style}")
+    found = _directives(source)
+    head = found[: next((i for i, f in enumerate(found) if f[0] == "sheet"), len(found))]
+    styles = [f for f in head if f[0] == "style"] or head
+    at = styles[-1][2] if styles else source.find("\n") + 1 or len(source)
+    return _insert(source, at, " ".join([f"@style {style}", *(f"{k}={_show(v)}" for k, v in properties.items())]))
+
+
+def apply_style(source: str, book: Workbook, sheet: str, target: str, styles: list[str]) -> list[Patch]:
+    """Styles for a target, after the sheet's last application, so that they win over earlier ones."""
+    from lattica.plans.formula import canonical, parse
+
+    missing = [s for s in styles if s not in book.styles]
+    if missing or not styles:
+        raise EditError("unknown_style", f"no style {', '.join(missing)}")
+    own = _of_sheet(source, sheet)
+    at = ([f for f in own if f[0] == "apply"] or own)[-1][2]
+    return _insert(source, at, f"@apply {canonical(parse(target))} {' '.join(styles)}")
+
+
+def fingerprint(source: str | bytes) -> tuple[int, int]:
+    """(bytes, FNV-1a of 64 bits) of a text: tells most changes at once; the text itself decides."""
+    data = source.encode() if isinstance(source, str) else source
+    h = 0xCBF29CE484222325  # fixed values: the offset basis and the prime of FNV-1a
+    for byte in data:
+        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return len(data), h
+
+
 @dataclass
 class Session:
     """A text with undo and redo; every edit is checked by parsing what it makes."""
@@ -115,7 +230,10 @@ class Session:
     def book(self) -> Workbook:
         return loads(self.source)
 
-    def edit(self, patches: list[Patch]) -> None:
+    def edit(self, patches: list[Patch], expected: str | None = None) -> None:
+        """Apply patches; with ``expected``, only if that is the text they were made for."""
+        if expected is not None and (fingerprint(expected) != fingerprint(self.source) or expected != self.source):
+            raise EditError("stale", "the text is not the one that the edit was made for")
         text, inverse = apply(self.source, patches)
         if any(d.severity == "error" for d in loads(text).diagnostics):
             raise EditError("invalid_result", "the edit would make the workbook invalid")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import columns as C
 from lattica.operators import diff, graph, ranking, view
-from lattica.plans import fills, report
+from lattica.plans import fills, registry, report
 from lattica.plans.book import Book
 from lattica.sources import workbook
 
@@ -412,7 +412,7 @@ def append_row(spark, d):
     lines = F.array_sort(F.collect_list(F.concat(F.lpad(F.col("r_regionkey").cast("string"), 3, " "), F.lit(',"'), "r_name", F.lit('"'))))  # five regions
     source = F.concat(F.lit('#!lattica 0.1\n@sheet s "S"\n@table region A1 csv\nkey,name\n'), F.array_join(F.transform(lines, lambda x: F.ltrim(x)), "\n"), F.lit("\n@end\n"))
     text = spark.read.parquet(f"{d}/region.parquet").agg(source.alias("source"))
-    cells = workbook.cells(text.select(F.lit(0).alias("key"), workbook.edited(F.col("source"), "append", "region", [99.0, "NOWHERE"]).alias("source")))
+    cells = workbook.cells(text.select(F.lit(0).alias("key"), workbook.edited(F.col("source"), "append_row", "region", [99.0, "NOWHERE"]).alias("source")))
     rows = cells.where("row > 1").groupBy("row").agg(F.max("num").cast("int").alias("r_regionkey"), F.max("txt").alias("r_name"))
     return rows.drop("row")
 
@@ -501,7 +501,7 @@ def workbook_diagnostics(spark, d):
     select n_regionkey::bigint as key, n_nationkey::double as num, case when n_nationkey = 99 then 'NO,WHERE' else n_name end as txt from r""")
 def workbook_append_row(spark, d):
     """A row appended to each workbook's table by an edit of its text, then read back."""
-    grown = _workbooks(spark, d).select("key", workbook.edited(F.col("source"), "append", "t", [99.0, "NO,WHERE", None]).alias("source"))
+    grown = _workbooks(spark, d).select("key", workbook.edited(F.col("source"), "append_row", "t", [99.0, "NO,WHERE", None]).alias("source"))
     cells = workbook.cells(grown).where("sheet = 's' and row > 1")
     return cells.groupBy("key", "row").agg(F.max("num").alias("num"), F.max(F.when(F.col("col") == 2, F.col("txt"))).alias("txt")).drop("row")
 
@@ -536,6 +536,63 @@ def row_positions(spark, d):
     return ranking.positions(spark.read.parquet(f"{d}/nation.parquet"), ["n_nationkey"], "pos").select("n_name", "pos")
 
 
+@query("""
+    select o_orderkey, case when o_orderkey % 4 = 3 then case when o_orderkey % 27 < 24 and try_cast(f[:10] as date) is not null and z = 'Z' then 'datetime' else 'invalid' end
+                                 when try_cast(f as date) is not null then 'date' else 'invalid' end as kind
+    from (select o_orderkey, z, case when o_orderkey % 4 = 3 then day || 'T' || lpad((o_orderkey % 27)::varchar, 2, '0') || ':30:00' || z else day end as f
+          from (select o_orderkey, case when o_orderkey % 5 = 0 then '' else 'Z' end as z, '2023-' || lpad((1 + o_orderkey % 13)::varchar, 2, '0') || '-' || lpad((1 + o_orderkey % 31)::varchar, 2, '0') as day from orders))""")
+def strict_scalars(spark, d):
+    """Dates and datetimes made from order keys, some of which are none."""
+    k, two = F.col("o_orderkey"), lambda c: F.lpad(c.cast("string"), 2, "0")
+    day = F.concat(F.lit("2023-"), two(1 + k % 13), F.lit("-"), two(1 + k % 31))
+    field = F.when(k % 4 == 3, F.concat(day, F.lit("T"), two(k % 27), F.lit(":30:00"), F.when(k % 5 == 0, "").otherwise("Z"))).otherwise(day)
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", workbook.strict_kinds(field).alias("kind"))
+
+
+@query("""
+    select n_regionkey::bigint as key, (2 * count(*) + 5)::bigint as nodes, (2 * count(*) + 2)::bigint as edges, 0::bigint as cyclic_cells, 0::bigint as cyclic_components, 0::bigint as dirty, (count(*) + 4)::bigint as evaluated
+    from nation group by 1""")
+def workbook_stats(spark, d):
+    """Size of each workbook's graph, and the cells that one calculation evaluates."""
+    return workbook.graph_stats(_workbooks(spark, d))
+
+
+@query("""
+    select n_regionkey::bigint as key, 'u!A1:F1' || chr(10) || (2 * sum(n_nationkey))::bigint || chr(9) || '|' || chr(9) || min(n_nationkey) || chr(9) || '|' || chr(9) || arg_min(n_name, n_nationkey)
+           || chr(9) || '|' || chr(9) || '#DIV/0!' || chr(9) || '|' || chr(9) || '2026-02-28' || chr(9) || '|' || chr(9) || 'true' || chr(10) as shown from nation group by 1""")
+def workbook_text(spark, d):
+    """Calculated values as lines of text."""
+    return _workbooks(spark, d).select("key", workbook.calculated_text(F.col("source"), "u!A1:F1").alias("shown"))
+
+
+@query("""
+    with g as (select n_regionkey::bigint as key, count(*) as n, 2 * sum(n_nationkey) as total, min(n_nationkey) as least from nation group by 1)
+    select key, 'MS3201' as code, (n + 17)::bigint as line from g where total <= 100 union all select key, 'MS3201', n + 18 from g where least <> 0
+    union all select key, 'MS3202', n + 20 from g union all select key, 'MS3201', n + 22 from g union all select key, 'MS3202', n + 24 from g""")
+def workbook_assertions(spark, d):
+    """Assertions in each workbook, some false, some malformed."""
+    lines = ["assert A1 > 100", "assert B1 = 0", "assert Z9 = blank", "assert A1 >> 3", "assert D1 = #DIV/0!", "assert F1 < true", "# a comment", "assert s!A1 = 1"]
+    source = F.replace(F.col("source"), F.lit("# kept"), F.lit("@use assertions@1"))
+    source = F.concat(source, F.lit("\n".join(["@extension assertions@1", *lines, "@end", ""])))
+    return registry.extension_diagnostics(_workbooks(spark, d).select("key", source.alias("source"))).select("key", "code", "line")
+
+
+@query("""
+    with b as (select n_regionkey::bigint as key, string_agg(n_nationkey || ',"' || n_name || '",', chr(10) order by n_nationkey) as body from nation group by 1),
+    t as (select key, replace('#!lattica 0.1|# kept|@style big bold=true|@style red text-color="#ff0000"|@name first = s!B2|@sheet s "Nations"|@table t A1 csv|key,name,twice|', '|', chr(10)) || body
+          || replace('|@end|@fill t[twice] =[@key]*2|@apply t[name] big|@apply A2 red big|@column A:B width=12.5|@column C width=20|@row 1:3 height=30.25|@sheet u "Sums"|@block A1 csv|=SUM(t[twice]),=first,=s!B2,=1/0,2026-02-28,true|@end|', '|', chr(10)) as source from b)
+    select key, source from t""")
+def workbook_declarations(spark, d):
+    """A name's target, a style, its application and sizes, set by edits of the text; what is so already changes nothing."""
+    source = F.col("source")
+    for verb, *args in (
+        ("set_name", "first", "s!B2"), ("define_style", "red", {"text-color": "#ff0000"}), ("define_style", "big", {"bold": True}), ("apply_style", "s", "A2", ["red", "big"]),
+        ("set_width", "s", 3, 3, 20.0), ("set_width", "s", 1, 2, 12.5), ("set_height", "s", 1, 3, 30.25), ("set_height", "s", 2, 3, 30.25),
+    ):
+        source = workbook.edited(source, verb, *args)
+    return _workbooks(spark, d).select("key", source.alias("source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions.values import DateTime, Err, Formula, infer, kind_of, quote, spell, spell_field
+from lattica.functions.values import DateTime, Err, Formula, infer, infer_strict, kind_of, quote, spell, spell_field
 from lattica.plans.formula import FormulaError, Ref, TableRef, column_letters, parse, parse_area
 
 #: The first line of a file: any format name, version 0.1; new workbooks get the default.
@@ -564,13 +564,13 @@ def canonical_text(source: Column) -> Column:
 
 
 def edited(source: Column, verb: str, *args) -> Column:
-    """A column of workbook texts after an edit (set, append or rename, as in lattica.operators.edits); null where it is refused."""
+    """A column of workbook texts after an edit by its name in lattica.operators.edits (set_cell, append_row, set_width ...); null where it is refused."""
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         from lattica.operators import edits
 
-        make = {"set": edits.set_cell, "append": edits.append_row, "rename": edits.rename_label}[verb]
+        make = getattr(edits, verb)
         out = []
         for text in texts.to_pylist():
             session = edits.Session(text or "")
@@ -584,6 +584,48 @@ def edited(source: Column, verb: str, *args) -> Column:
     return run(source)
 
 
+def calculated_text(source: Column, target: str) -> Column:
+    """The values of a range of workbook texts, as ``calc`` prints them; null where a text has errors."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        from lattica.plans.sheets import Calculator
+
+        books = [loads(t or "") for t in texts.to_pylist()]
+        return pa.array([None if any(d.severity == "error" for d in b.diagnostics) else Calculator(b).text(parse_area(target)) for b in books], pa.string())
+
+    return run(source)
+
+
+def graph_stats(texts: DataFrame) -> DataFrame:
+    """key and the size of the graph of workbook texts (key, source) and of the work to calculate it."""
+
+    def give(book: Workbook) -> Iterator[tuple]:
+        from lattica.plans.sheets import Calculator
+
+        calculator = Calculator(book)
+        calculator.all_values()
+        yield tuple(calculator.stats().values())
+
+    return _each(texts, give, "nodes long, edges long, cyclic_cells long, cyclic_components long, dirty long, evaluated long")
+
+
+def strict_kinds(fields: Column) -> Column:
+    """Kind of each source field; ``invalid`` for what looks like a date or datetime and is none, null for null."""
+
+    @F.arrow_udf("string")
+    def run(fields: pa.Array) -> pa.Array:
+        def kind(f: str | None) -> str | None:
+            try:
+                return None if f is None else kind_of(infer_strict(f))
+            except ValueError:
+                return "invalid"
+
+        return pa.array([kind(f) for f in fields.to_pylist()], pa.string())
+
+    return run(fields)
+
+
 def authored(book: Workbook) -> dict[tuple[str, int, int], object]:
     """(sheet, row, col) -> value of every field, blanks included."""
     out = {}
