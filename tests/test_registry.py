@@ -1,5 +1,8 @@
+import json
+
 import pytest
 
+from lattica.__main__ import main
 from lattica.functions.values import infer_strict
 from lattica.operators import edits
 from lattica.plans.formula import parse_area
@@ -73,3 +76,17 @@ def test_edits_of_declarations():
 
 def test_fingerprint():
     assert edits.fingerprint("") == (0, 0xCBF29CE484222325) and edits.fingerprint("a") == (1, 0xAF63DC4C8601EC8C)
+
+
+def test_targets_of_the_command_line(tmp_path, capsys):
+    path = tmp_path / "a.txt"
+    path.write_text('#!lattica 0.1\n@use assertions@1\n@name two = t[b]\n@name one = s!A2\n@sheet s "S"\n@table t A1 csv\na,b\n1,=[@a]*2\n2,\n@end\n@extension assertions@1\nassert B2 = 3\n@end\n')
+    shown = {"s!A1:B1": "s!A1:B1\na\t|\tb\n", "one": "s!A2\n1\n", "two": "s!B2:B3\n2\n<blank>\n", "t": "s!A1:B3\na\t|\tb\n1\t|\t2\n2\t|\t<blank>\n"}
+    for target, text in shown.items():
+        assert main(["text", str(path), target]) == 0 and capsys.readouterr().out == text
+    assert main(["text", str(path), "z!A1"]) == 1 and main(["text", str(path), "nothing"]) == 1
+    capsys.readouterr()
+    assert main(["check", str(path)]) == 1
+    out = json.loads(capsys.readouterr().out)
+    assert [d["code"] for d in out["diagnostics"]] == ["MS3201"] and out["calculation_complete"] and not out["valid"]
+    assert main(["stats", str(path)]) == 0 and json.loads(capsys.readouterr().out)["evaluated"] == 1
