@@ -471,7 +471,10 @@ def grow(encoded: DataFrame, counts: DataFrame, whole: float, tokens: int) -> Da
             rest = below.select(F.col("key").alias("suffix"), "p0", "r")
             want = F.col("n_s") * F.col("p0") * F.col("r")
             diverges = (F.col("n") > want) & (F.col("n") * F.log(F.col("n") / want) - (F.col("n") - want) > DIVERGENCE)
-            level = grams.join(above, "context").join(rest, "suffix").withColumn("gain", F.when(diverges, (F.col("n") - DISCOUNT) / F.col("n_s")).otherwise(0.0))
+            met = save(grams.join(above, "context").select("key", "context", "suffix", "n", "n_s"), f"met{k}")
+            made[:] = drop_unread(made, reduce(DataFrame.unionByName, entries, met.selectExpr("key", "0.0D as ratio", "1.0D as keep", "n")))
+            _free(encoded)  # the grams and their shuffle, before the next join writes its own
+            level = met.join(rest, "suffix").withColumn("gain", F.when(diverges, (F.col("n") - DISCOUNT) / F.col("n_s")).otherwise(0.0))
             level = level if k <= DEPTH else level.where("gain > 0")  # nothing longer asks for the others
             level = save(level.select("key", "context", "n", "n_s", "p0", "r", (F.col("gain") / F.col("p0")).alias("ratio"), "gain"), f"level{k}")
             made[:] = drop_unread(made, reduce(DataFrame.unionByName, entries, level.selectExpr(*_ENTRY)))
