@@ -12,12 +12,20 @@ retained if some token diverges.  Its distribution gives each diverging token
 (c - ``DISCOUNT``) / n(s) and leaves what remains to P(.|r).  A text is scored
 from the longest retained suffix at each token.
 
-Grams, contexts and what they give are tables that are joined by shuffle and grow
-with the corpus.  What tasks hold is bounded and changes no result: ids of common
-words and the model's ``HOT`` most frequent entries are broadcast, others are
-looked up by shuffle; a filter of at most 2 ** ``FILTER`` bits tells which cannot
-be there.  Rare words go by 62 bits of their hash, entries of the model by 64.
-Probabilities are kept as multiples of the root's.
+All contexts of a token end in the token before it, so what the model holds of them
+depends on the windows (three tokens before, the token) with that last one only: each
+window is sent once, to a block by its last context token, and one task learns all
+lengths of a block.  Where that token is frequent, its pairs are counted first and its
+windows are dealt to several blocks by the token before it.
+
+Windows and what they give are tables that are joined by shuffle and grow with the
+corpus.  What tasks hold is bounded and changes no result: words and counts of common
+words and the model's ``HOT`` most frequent entries are broadcast, others are looked
+up by shuffle, once for each chunk of the texts; a filter of at most 2 ** ``FILTER``
+bits tells which cannot be there.  A task holds all windows with the same two tokens
+before the last, in blocks.  Words have numbers in descending order of their counts,
+so that a number tells its count; those that occur once share one.  Entries of the
+model go by 64 bits of a hash.  Probabilities are kept as multiples of the root's.
 
 ``Tree`` is the same model in one process; tests hold the tables against it.
 
@@ -32,7 +40,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -41,7 +48,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.langid import held_out
@@ -56,9 +63,13 @@ HOT, FILTER = 2_000_000, 29
 END = b"\xff"
 #: Bits of a gram's key in a Tree that hold its last token.
 _BITS = 20
-#: Tokens that one step of numpy works on (arrays that stay in the processor's cache), that a task sums grams of, and
+#: Tokens that one step of numpy works on (arrays that stay in the processor's cache), that a task sums windows of, and
 #: that share a file of the model's less frequent entries.
-STEP, SUMMED, CHUNK = 1 << 16, 3 << 20, 1 << 21
+STEP, SUMMED, CHUNK = 1 << 16, 1 << 21, 1 << 21
+#: Windows of a block, about; a common word that ends more contexts has several blocks.
+BLOCK = 1 << 20
+#: What words have instead of a number that occur once in training, and that do not occur.
+ONCE, UNSEEN = -2, -1
 
 
 def tokens(text: str | bytes | None) -> list[bytes]:
@@ -198,7 +209,7 @@ def encode(docs: DataFrame, ids: dict[bytes, int], logs: np.ndarray, seen: bool,
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, logs = shared.value
-        row, size = TaskContext.get().partitionId() << 36, 0
+        size = 0
         chunk = TaskContext.get().partitionId() << 24
         for whole in batches:
             for first in range(0, whole.num_rows, 512):
@@ -215,29 +226,125 @@ def encode(docs: DataFrame, ids: dict[bytes, int], logs: np.ndarray, seen: bool,
                 chunks = chunk + (size + ends[1:]) // CHUNK
                 size += len(flat)
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values)) for at, values in ((ends, code), (np.searchsorted(others, ends), rare))]
-                columns = [pa.array(chunks), pa.array(np.arange(row, row + len(found))), lists[0], pa.array(known), pa.array(base), lists[1]]
-                row += len(found)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "p_chunk", "p_row", "p_ids", "p_known", "p_base", "p_rare"])
+                columns = [pa.array(chunks), lists[0], pa.array(known), pa.array(base), lists[1]]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "p_chunk", "p_ids", "p_known", "p_base", "p_rare"])
 
     rows = docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return save(rows.mapInArrow(lean(run), f"{schema}p_chunk long, p_row long, p_ids array<int>, p_known long, p_base double, p_rare array<long>"), "encoded")
+    return save(rows.mapInArrow(lean(run), f"{schema}p_chunk long, p_ids array<int>, p_known long, p_base double, p_rare array<long>"), "encoded", compression="zstd")
 
 
-def _runs(ids: pa.ListArray, rare: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _runs(ids: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, codes after an end, bounds) for runs of rows of about STEP tokens."""
-    bounds, others = np.asarray(ids.offsets), np.asarray(rare.offsets)
-    flat, codes = np.asarray(ids.values), np.asarray(rare.values)
+    bounds, flat = np.asarray(ids.offsets), np.asarray(ids.values)
     a = 0
     while a < len(ids):
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + STEP)))
         b = min(b, len(ids))
-        run = np.concatenate([[0], flat[bounds[a] : bounds[b]]]).astype(np.int64)
-        run[run < 0] = codes[others[a] : others[b]]
-        yield a, run, bounds[a : b + 1] - bounds[a]
+        yield a, np.concatenate([[0], flat[bounds[a] : bounds[b]]]).astype(np.int64), bounds[a : b + 1] - bounds[a]
         a = b
 
 
+@dataclass
+class Counts:
+    """Counts of words by their numbers: those of common words, then runs of numbers with equal counts."""
+
+    common: np.ndarray
+    starts: np.ndarray
+    n: np.ndarray
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        out = self.common[np.minimum(ids, len(self.common) - 1)]
+        rare = np.flatnonzero(ids >= len(self.common))
+        out[rare] = self.n[np.searchsorted(self.starts, ids[rare], "right") - 1]
+        return out
+
+
+def number(rare: DataFrame, common: np.ndarray) -> tuple[DataFrame, Counts]:
+    """code, id of the rare words in descending order of n, ONCE for all that occur once; counts of numbers."""
+    parts = rare.where("n > 1").withColumn("part", F.pmod("code", F.lit(64)))
+    # counts of rare words are few: their sum is below that of all tokens, and each is below the COMMON-th largest
+    sizes = sorted(((r.n, r.part, r["count"]) for r in parts.groupBy("n", "part").count().collect()), key=lambda r: (-r[0], r[1]))
+    first = np.concatenate([[len(common)], len(common) + np.cumsum([r[2] for r in sizes])]).astype(np.int64)
+    begins = [i for i, r in enumerate(sizes) if not i or sizes[i - 1][0] != r[0]]
+    counts = Counts(common, first[begins], np.array([sizes[i][0] for i in begins], np.int64))
+    start = rare.sparkSession.createDataFrame(pa.table({"n": pa.array([r[0] for r in sizes], pa.int64()), "part": pa.array([r[1] for r in sizes], pa.int64()), "first": pa.array(first[:-1])}), "n long, part long, first long")
+    place = F.row_number().over(Window.partitionBy("n", "part").orderBy("code")) - 1
+    ids = parts.withColumn("place", place).join(F.broadcast(start), ["n", "part"]).select("code", (F.col("first") + F.col("place")).cast("int").alias("id"))
+    return ids.union(rare.where("n = 1").select("code", F.lit(ONCE).alias("id"))), counts
+
+
+def read_chunk(folder: str, chunk: int, columns: list[str]) -> list[np.ndarray] | None:
+    """Columns of what was written to folder for a chunk; None if nothing."""
+    fs, inner = open_fs(folder)
+    files = fs.get_file_info(pafs.FileSelector(f"{inner}/chunk={chunk}", allow_not_found=True))
+    tables = [pq.ParquetFile(fs.open_input_file(f.path)).read(columns) for f in files if f.path.endswith(".parquet")]
+    return [pa.concat_tables(tables)[c].to_numpy() for c in columns] if tables else None
+
+
+def resolve(encoded: DataFrame, ids: DataFrame, counts: Counts, whole: float, keep: list[str]) -> DataFrame:
+    """The keep columns, p_chunk, p_ids with the numbers of rare words too, p_known, p_base, in the shared folder."""
+    spark = encoded.sparkSession
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def ready() -> pa.RecordBatch:
+            codes = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), now or 0)), pa.array(codes)], names=["chunk", "code"])
+
+        for batch in batches:
+            chunks = np.asarray(batch.column(0))
+            for a, b in _spans(chunks):
+                if chunks[a] != now:
+                    yield ready()
+                    now = chunks[a]
+                held.append(np.unique(np.asarray(batch.column(1).slice(a, b - a).flatten())))
+        yield ready()
+
+    asked = encoded.select("p_chunk", "p_rare").mapInArrow(lean(ask), "chunk long, code long")
+    folder = new_path(spark, "numbers")
+    asked.join(ids, "code").repartition("chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(folder)
+    _free(encoded)
+    shared = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, table = None, None
+        once, unseen = np.log10(2.0 / whole), np.log10(1.0 / whole)
+        for whole_batch in batches:
+            chunks = np.asarray(whole_batch.column("p_chunk"))
+            for a, b in _spans(chunks):
+                batch = whole_batch.slice(a, b - a)
+                if chunks[a] != now:
+                    now, table = chunks[a], read_chunk(folder, chunks[a], ["code", "id"])
+                    if table:
+                        order = np.argsort(table[0])
+                        table = [c[order] for c in table]
+                lists, others = batch.column("p_ids"), batch.column("p_rare").flatten().to_numpy()
+                flat = lists.flatten().to_numpy().copy()
+                found = np.full(len(others), UNSEEN, np.int32)
+                if table:
+                    place = np.minimum(np.searchsorted(table[0], others), len(table[0]) - 1)
+                    hit = table[0][place] == others
+                    found[hit] = table[1][place[hit]]
+                logs = np.where(found == ONCE, once, unseen)
+                more = np.flatnonzero(found >= 0)
+                logs[more] = np.log10((shared.value.of(found[more]) + 1.0) / whole)
+                flat[flat < 0] = found
+                lengths = np.diff(np.asarray(batch.column("p_rare").offsets))
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                known = batch.column("p_known").to_numpy() + np.bincount(row, found != UNSEEN, len(lengths)).astype(np.int64)
+                base = batch.column("p_base").to_numpy() + np.bincount(row, logs, len(lengths))
+                ends = np.asarray(lists.offsets)
+                column = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "p_chunk"]), column, pa.array(known), pa.array(base)], names=[*keep, "p_chunk", "p_ids", "p_known", "p_base"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.select(*keep).schema)
+    rows = encoded.select(*keep, "p_chunk", "p_ids", "p_known", "p_base", "p_rare").mapInArrow(lean(run), f"{schema}p_chunk long, p_ids array<int>, p_known long, p_base double")
+    return save(rows, "texts", compression="zstd")
+
+
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -332,18 +439,6 @@ class Entries:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (at, at)
 
 
-def _planes(columns: list[np.ndarray], n: np.ndarray) -> bytes:
-    """Longs and counts as bytes, the low halves apart from the high ones, which are mostly zero."""
-    halves = [c.view("<u4").reshape(-1, 2) for c in columns]
-    return b"".join([n.astype("<u4").tobytes(), *(h[:, j].tobytes() for h in halves for j in (0, 1))])
-
-
-def _unplaned(data: bytes, k: int) -> tuple[list[np.ndarray], np.ndarray]:
-    plane = np.frombuffer(data, "<u4").reshape(2 * k + 1, -1)
-    columns = [np.stack([plane[1 + 2 * j], plane[2 + 2 * j]], axis=1).reshape(-1).view("<i8") for j in range(k)]
-    return columns, plane[0].astype(np.int64)
-
-
 def _chain(columns: list[np.ndarray]) -> np.ndarray:
     """Keys of the grams whose k-th tokens the columns hold."""
     key = np.full(len(columns[0]), 42, np.uint64)
@@ -352,68 +447,222 @@ def _chain(columns: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _order(key: np.ndarray) -> np.ndarray:
-    """argsort: a sort of the keys' first bits with their places, then of the few whose first bits alone are equal."""
-    low = np.uint64((1 << max(1, len(key).bit_length())) - 1)
-    packed = np.sort((key & ~low) | np.arange(len(key), dtype=np.uint64))
-    order = (packed & low).view(np.int64)
-    ordered, first = key[order], np.bitwise_and(packed, ~low, out=packed)
-    mixed = np.flatnonzero((first[1:] == first[:-1]) & (ordered[1:] != ordered[:-1]))
-    for value in np.unique(first[mixed]):
-        a, b = np.searchsorted(first, value, "left"), np.searchsorted(first, value, "right")
-        order[a:b] = order[a:b][np.argsort(ordered[a:b], kind="stable")]
-    return order
+def windows(codes: np.ndarray) -> np.ndarray:
+    """Rows w1, w2, w3, x: each token and those before it, the nearest first, as numbers from 1; 0 is none.
+
+    A context ends at an end, and at a word that occurs once: no gram with it is
+    learned.  Windows that tell nothing but their first context token are left out.
+    """
+    up = np.where(codes >= 0, codes + 1, 0).astype(np.uint32)
+    x, w1 = up[1:], up[:-1]
+    w2 = np.where(w1 > 1, np.concatenate([up[:1] * 0, up[:-2]]), 0)
+    w3 = np.where(w2 > 1, np.concatenate([up[:2] * 0, up[:-3]])[: len(x)], 0)
+    return np.stack([w1, w2, w3, x]).compress((w1 > 0) & ((x > 0) | (w2 > 0)), axis=1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return _hashed(np.full(len(x), 7, np.uint64), x.astype(np.int64)) >> np.uint64(33)
+
+
+def _summed(w: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Different windows in order, with the sums of n (None: of ones)."""
+    high, low = (w[0].astype(np.uint64) << np.uint64(32)) | w[1], (w[2].astype(np.uint64) << np.uint64(32)) | w[3]
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(high) else order
+    sums = np.diff(np.append(first, len(high))) if n is None else np.add.reduceat(n[order], first) if len(high) else n
+    return w.take(order[first], axis=1), sums
+
+
+def _pack(w: np.ndarray, n: np.ndarray) -> bytes:
+    """Windows in order, with counts: their bytes by weight, the first tokens as differences."""
+    planes = np.concatenate([np.diff(w[:1], prepend=np.uint32(0)), w[1:], n[None].astype(np.uint32)]).astype("<u4", order="C")
+    data = np.ascontiguousarray(planes.view(np.uint8).reshape(5, -1, 4).transpose(0, 2, 1)).tobytes()
+    return len(n).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size = int.from_bytes(data[:4], "little")
+    raw = pa.Codec("zstd").decompress(data[4:], 20 * size, asbytes=True)
+    planes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(5, 4, size).transpose(0, 2, 1)).reshape(5, -1).view("<u4")
+    w = planes[:4].copy()
+    w[0] = np.cumsum(w[0], dtype=np.uint32)
+    return w, planes[4].astype(np.int64)
+
+
+def _diverging(n: np.ndarray, n_s: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """(n - DISCOUNT) / n_s where the token diverges, else 0."""
+    diverges = (n >= LEAST) & (n > want) & (n * np.log(n / want) - (n - want) > DIVERGENCE)
+    return np.where(diverges, (n - DISCOUNT) / n_s, 0.0)
+
 
+def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the runs of equal rows, the runs' first places)."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _tokens_of(context: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different (context, x), and their sums, of those that occur LEAST times."""
+    keys = (context.astype(np.uint64) << np.uint64(32)) | x
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = _numbered(keys)[1]
+    sums = np.add.reduceat(n[order], first) if len(first) else n[:0]
+    keys, sums = keys[first][sums >= LEAST], sums[sums >= LEAST]
+    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), sums
+
+
+class Ratios:
+    """Ratios of diverging (context, x); 0 for others."""
+
+    def __init__(self, context: np.ndarray, x: np.ndarray, ratio: np.ndarray):
+        keys = (context.astype(np.uint64) << np.uint64(32)) | x
+        order = np.argsort(keys)
+        self.keys, self.ratio = keys[order], ratio[order]
 
-def _summed(key: np.ndarray, columns: list[np.ndarray], n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Different keys in order, with their columns and sums."""
-    order = _order(key)
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
-    return key[first], [c[order[first]] for c in columns], np.add.reduceat(n[order], first) if len(key) else n
+    def of(self, context: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(x))
+        keys = (context.astype(np.uint64) << np.uint64(32)) | x
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.ratio[place], 0.0)
 
 
-def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> DataFrame:
-    """key, context, suffix (keys of the grams without the last and without the first token), n of the grams of k tokens that occur LEAST times.
+def learn(w: np.ndarray, n: np.ndarray, counts: Counts, whole: float, heavy: dict[int, list[np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """key, ratio, keep, n of the grams that diverge and the contexts retained in all windows of some last context tokens.
 
-    In the shared folder.  shorter has the grams of k - 1 tokens.  Tasks sum
-    their grams and send them on in blocks by the first bits of their keys, about
-    as many as ``tokens`` over ``SUMMED`` / 6; each block's sums are made by one task.
+    ``w`` and ``n`` are in order.  For a w1 in ``heavy``, its x, gain and ratio are
+    those that diverge in context w1 (w and n hold some of its windows); they are
+    not given out again.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(shorter)
-    bits = max(1, (tokens // (SUMMED // 6)).bit_length())
+    code = lambda c: c.astype(np.int64) - 1
+    i1, f1 = _numbered(w[0])
+    i2, f2 = _numbered(w[0], w[1])
+    i3, f3 = _numbered(w[0], w[1], w[2])
+    if not len(f1):
+        return
+    n2, n3 = np.add.reduceat(n, f2), np.add.reduceat(n, f3)
+    w1 = w[0][f1]
+    n1 = counts.of(code(w1))
+
+    def told(k: int, keys: list[np.ndarray], gain: np.ndarray, ratio: np.ndarray, c: np.ndarray, context: np.ndarray, keep: np.ndarray, n_s: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        at = np.flatnonzero(gain > 0)
+        yield _chain([code(x[at]) for x in keys]), ratio[at], np.ones(len(at)), c[at]
+        at = np.unique(context[at])
+        yield _chain([code(w[j][firsts[at]]) for j in range(k - 2, -1, -1)]), np.zeros(len(at)), keep[at], n_s[at]
+
+    # pairs
+    at = np.flatnonzero((w[3] > 0) & ~np.isin(w1, list(heavy))[i1])
+    s, x, c = _tokens_of(i1[at], w[3][at], n[at])
+    p0 = (counts.of(code(x)) + 1.0) / whole
+    gain = _diverging(c, n1[s], n1[s] * p0)
+    keep1 = 1.0 - np.bincount(s, gain, len(f1))
+    yield from told(2, [w1[s], x], gain, gain / p0, c, s, keep1, n1, f1)
+    at = gain > 0
+    parts = [(s[at], x[at], (gain / p0)[at])]
+    for one, (more_x, more_gain, more_ratio) in heavy.items():
+        place = int(np.searchsorted(w1, one))
+        if place < len(w1) and w1[place] == one:
+            parts.append((np.full(len(more_x), place), more_x.astype(np.uint32), more_ratio))
+            keep1[place] = 1.0 - more_gain.sum()
+    ratio1 = Ratios(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    # three tokens
+    up2 = i1[f2]
+    at = np.flatnonzero((w[3] > 0) & (w[1] > 0))
+    s, x, c = _tokens_of(i2[at], w[3][at], n[at])
+    p0 = (counts.of(code(x)) + 1.0) / whole
+    gain = _diverging(c, n2[s], n2[s] * p0 * (ratio1.of(up2[s], x) + keep1[up2[s]]))
+    keep2 = 1.0 - np.bincount(s, gain, len(f2))
+    yield from told(3, [w[1][f2[s]], w[0][f2[s]], x], gain, gain / p0, c, s, keep2, n2, f2)
+    at = gain > 0
+    ratio2 = Ratios(s[at], x[at], (gain / p0)[at])
+    # four
+    at = np.flatnonzero((w[3] > 0) & (w[2] > 0) & (n >= LEAST))
+    s, x, c = i3[at], w[3][at], n[at]
+    p0 = (counts.of(code(x)) + 1.0) / whole
+    t, u = i2[f3[s]], i1[f3[s]]
+    gain = _diverging(c, n3[s], n3[s] * p0 * (ratio2.of(t, x) + keep2[t] * (ratio1.of(u, x) + keep1[u])))
+    keep3 = 1.0 - np.bincount(s, gain, len(f3))
+    yield from told(4, [w[2][at], w[1][at], w[0][at], x], gain, gain / p0, c, s, keep3, n3, f3)
+
+
+_MODEL = "key long, ratio double, keep double, n long"
+
+
+def frequent_pairs(encoded: DataFrame, counts: Counts, whole: float) -> tuple[str, DataFrame]:
+    """Tokens that diverge after words with more than BLOCK windows: a folder with a folder for each word, and their part of the model."""
+    spark, path = encoded.sparkSession, new_path(encoded.sparkSession, "pairs")
+    shared = spark.sparkContext.broadcast(counts)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = np.empty((k + 1, SUMMED), np.int64), 0  # keys, then the tokens of the grams
+        heavy, held, size = shared.value.common > BLOCK, [], 0
+
+        def ready() -> pa.RecordBatch:
+            pairs, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
+
+        for batch in batches:
+            for _, codes, _ in _runs(batch.column(0)):
+                s, x = codes[:-1], codes[1:]
+                at = np.flatnonzero((s >= 0) & (s < len(heavy)) & (x >= 0))
+                at = at[heavy[s[at]]]
+                held.append((s[at] << 32) | x[at])
+                size += len(at)
+                if size > SUMMED:
+                    yield ready()
+                    held, size = [], 0
+        yield ready()
+
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, n = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            s, x = pair >> 32, pair & 0xFFFFFFFF
+            n_s, p0 = shared.value.of(s), (shared.value.of(x) + 1.0) / whole
+            gain = _diverging(n, n_s, n_s * p0)
+            at = gain > 0
+            columns = [x[at], gain[at], (gain / p0)[at], _chain([s[at], x[at]]).view(np.int64), _chain([s[at]]).view(np.int64), n[at], n_s[at], s[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "gain", "ratio", "key", "context", "n", "n_s", "chunk"])
+
+    schema = "x long, gain double, ratio double, key long, context long, n long, n_s long, chunk long"
+    pairs = encoded.select("p_ids").mapInArrow(lean(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    pairs.mapInArrow(tell, schema).repartition("chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    kept = rows.groupBy("context").agg((1.0 - F.sum("gain")).alias("keep"), F.max("n_s").alias("n"))
+    return path, rows.select("key", "ratio", F.lit(1.0).alias("keep"), "n").union(kept.selectExpr("context", "0.0D", "keep", "n"))
+
+
+def learn_windows(encoded: DataFrame, counts: Counts, whole: float, tokens: int, pairs: str | None) -> DataFrame:
+    """key, ratio, keep, n of what all windows give, in the shared folder; pairs is the folder of frequent_pairs()."""
+    shared = encoded.sparkSession.sparkContext.broadcast(counts)
+    blocks = max(1, tokens // (BLOCK // 2))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value.common
+        many = np.concatenate([[1], np.where(common > BLOCK, 2 * common // BLOCK, 1), [1]]).astype(np.uint64)  # blocks of a word, by numbers from 1
+        held, size = np.empty((4, SUMMED), np.uint32), 0
 
         def ready() -> Iterator[pa.RecordBatch]:
-            order = _order(held[0, :size].view(np.uint64))
-            key = held[0][order].view(np.uint64)
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.diff(np.append(first, size))
-            edges = np.searchsorted(key[first] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-            full = np.flatnonzero(edges[1:] > edges[:-1])
-            for some in (full[i : i + 16] for i in range(0, len(full), 16)):
-                spans = [slice(edges[i], edges[i + 1]) for i in some]
-                data = [_planes([c[order[first[s]]] for c in held[1:]], n[s]) for s in spans]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(data, pa.binary())], names=["block", "data"])
+            w, n = _summed(held[:, :size], None)
+            split = many[np.minimum(w[0], len(many) - 1)]
+            block = ((_mixed(w[0]) + _mixed(w[1]) % split) % np.uint64(blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            w, n, block = w.take(order, axis=1), n[order], block[order]
+            spans = list(_spans(block))
+            for some in (spans[i : i + 16] for i in range(0, len(spans), 16)):
+                data = [_pack(w[:, a:b], n[a:b]) for a, b in some]
+                yield pa.RecordBatch.from_arrays([pa.array(block[[a for a, _ in some]]), pa.array(data, pa.binary())], names=["block", "data"])
 
         for batch in batches:
-            for _, codes, _ in _runs(batch.column(0), batch.column(1)):
-                if len(codes) < k:
-                    continue
-                use = np.ones(len(codes) - k + 1, bool)
-                for j in range(1, k - 1):
-                    use &= codes[j : len(codes) - k + 1 + j] != 0
-                keys = gram_keys(codes, k)
-                has = shared.value.has(keys[-2])
-                use &= has[:-1] & has[1:]
-                at, key = np.flatnonzero(use), keys[-1].view(np.int64)
-                while len(at):
-                    part, at = at[: SUMMED - size], at[SUMMED - size :]
-                    for row, values in zip(held[:, size : size + len(part)], (key, *(codes[j:] for j in range(k))), strict=True):
-                        row[:] = values[part]
-                    size += len(part)
+            for _, codes, _ in _runs(batch.column(0)):
+                w = windows(codes)
+                while w.shape[1]:
+                    some, w = w[:, : SUMMED - size], w[:, SUMMED - size :]
+                    held[:, size : size + some.shape[1]] = some
+                    size += some.shape[1]
                     if size == SUMMED:
                         yield from ready()
                         size = 0
@@ -421,31 +670,41 @@ def count_grams(encoded: DataFrame, k: int, shorter: Filter, tokens: int) -> Dat
             yield from ready()
 
     def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, size, least = None, [], 0, 2 * BLOCK
+        common = shared.value.common
 
-        def ready() -> pa.RecordBatch:
-            parts = [_unplaned(d, k) for d in held]
-            columns, n = [np.concatenate([p[0][j] for p in parts]) for j in range(k)], np.concatenate([p[1] for p in parts])
-            parts.clear()
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            w, n = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held])
             held.clear()
-            key, columns, n = _summed(_chain(columns), columns, n)
-            often = n >= LEAST
-            columns = [c[often] for c in columns]
-            ends = _chain(columns[:-1]), _chain(columns[1:])
-            return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key[often], *ends)), pa.array(n[often])], names=["key", "context", "suffix", "n"])
+            return _summed(w, n)
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            w, n = merged()
+            heavy = {}
+            for one in np.unique(w[0]).tolist():
+                if pairs and one <= len(common) and common[one - 1] > BLOCK:
+                    heavy[one] = read_chunk(pairs, one - 1, ["x", "gain", "ratio"]) or [np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+                    heavy[one][0] = heavy[one][0] + 1
+            for key, *columns in learn(w, n, shared.value, whole, heavy):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, columns)], names=["key", "ratio", "keep", "n"])
 
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if block != now and held:
-                    yield ready()
-                    held = []
+                    yield from ready()
+                    size, least = 0, 2 * BLOCK
                 now = block
-                held.append(data)
+                held.append(_unpack(data.as_py()))
+                size += len(held[-1][1])
+                if size > least:  # equal windows of several tasks are summed before more are held
+                    held.append(merged())
+                    size = len(held[-1][1])
+                    least = max(least, 2 * size)
         if held:
-            yield ready()
+            yield from ready()
 
-    blocks = encoded.select("p_ids", "p_rare").mapInArrow(lean(count), "block long, data binary").repartition("block").sortWithinPartitions("block")
-    return save(blocks.mapInArrow(lean(total), "key long, context long, suffix long, n long"), f"grams{k}")
+    rows = encoded.select("p_ids").mapInArrow(lean(deal), "block long, data binary").repartition("block").sortWithinPartitions("block")
+    return save(rows.mapInArrow(lean(total), _MODEL), "learned")
 
 
 def _free(df: DataFrame) -> None:
@@ -453,40 +712,13 @@ def _free(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-#: What a diverging gram is in the model.
-_ENTRY = ("key", "ratio", "1.0D as keep", "n")
-
-
-def grow(encoded: DataFrame, counts: DataFrame, whole: float, tokens: int) -> DataFrame:
-    """key, ratio, keep, n of diverging grams and retained contexts, in the shared folder; counts has code, n of all words."""
-    below = counts.select(F.xxhash64("code").alias("key"), "n", ((F.col("n") + 1.0) / F.lit(whole)).alias("p0"), F.lit(1.0).alias("r"))
-    entries, seen = [], Filter.of(below.where(F.col("n") >= LEAST).select("key"))
+def grow(encoded: DataFrame, counts: Counts, whole: float, tokens: int) -> DataFrame:
+    """key, ratio, keep, n of diverging grams and retained contexts, in the shared folder."""
     with recorded() as made:
-        for k in range(2, DEPTH + 2):
-            grams = count_grams(encoded, k, seen, tokens)
-            if k <= DEPTH:
-                seen = Filter.of(grams.select("key"))
-            _free(encoded)
-            above = below.select(F.col("key").alias("context"), F.col("n").alias("n_s"))
-            rest = below.select(F.col("key").alias("suffix"), "p0", "r")
-            want = F.col("n_s") * F.col("p0") * F.col("r")
-            diverges = (F.col("n") > want) & (F.col("n") * F.log(F.col("n") / want) - (F.col("n") - want) > DIVERGENCE)
-            level = grams.join(above, "context").join(rest, "suffix").withColumn("gain", F.when(diverges, (F.col("n") - DISCOUNT) / F.col("n_s")).otherwise(0.0))
-            level = level if k <= DEPTH else level.where("gain > 0")  # nothing longer asks for the others
-            level = save(level.select("key", "context", "n", "n_s", "p0", "r", (F.col("gain") / F.col("p0")).alias("ratio"), "gain"), f"level{k}")
-            made[:] = drop_unread(made, reduce(DataFrame.unionByName, entries, level.selectExpr(*_ENTRY)))
-            _free(encoded)
-            kept = save(level.where("gain > 0").groupBy("context").agg((1.0 - F.sum("gain")).alias("keep"), F.max("n_s").alias("n_s")), f"kept{k}")
-            if k <= DEPTH:
-                value = F.col("ratio") + F.coalesce("keep", F.lit(1.0)) * F.col("r")
-                level = save(level.join(kept.drop("n_s"), "context", "left").select("key", "n", "p0", value.alias("r"), "ratio"), f"values{k}")
-                below = level
-            entries.append(level.where("ratio > 0").selectExpr(*_ENTRY))
-            entries.append(kept.select(F.col("context").alias("key"), F.lit(0.0).alias("ratio"), "keep", F.col("n_s").alias("n")))
-            made[:] = drop_unread(made, reduce(DataFrame.unionByName, entries))
-            _free(encoded)
-        union = reduce(DataFrame.unionByName, entries)
-        model = save(union.groupBy("key").agg(F.max("ratio").alias("ratio"), F.min("keep").alias("keep"), F.max("n").alias("n")), "model")
+        pairs, more = frequent_pairs(encoded, counts, whole) if (counts.common > BLOCK).any() else (None, None)
+        rows = learn_windows(encoded, counts, whole, tokens, pairs)
+        _free(encoded)
+        model = save((rows.union(more) if pairs else rows).groupBy("key").agg(F.max("ratio").alias("ratio"), F.min("keep").alias("keep"), F.max("n").alias("n")), "model")
     drop_unread(made, model)
     _free(encoded)
     return model
@@ -510,31 +742,100 @@ def _spans(chunks: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from ((a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b)
 
 
+def _pack_sorted(keys: np.ndarray, *others: np.ndarray) -> bytes:
+    """Keys in ascending order, as differences, and doubles; their bytes by weight."""
+    planes = np.stack([np.diff(keys, prepend=np.uint64(0)), *(c.view(np.uint64) for c in others)]).astype("<u8")
+    data = np.ascontiguousarray(planes.view(np.uint8).reshape(len(planes), -1, 8).transpose(0, 2, 1)).tobytes()
+    return len(keys).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _unpack_sorted(data: bytes, columns: int) -> list[np.ndarray]:
+    size = int.from_bytes(data[:4], "little")
+    raw = pa.Codec("zstd").decompress(data[4:], 8 * columns * size, asbytes=True)
+    planes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(columns, 8, size).transpose(0, 2, 1)).reshape(columns, -1).view("<u8")
+    return [np.cumsum(planes[0], dtype=np.uint64), *(c.view(np.float64) for c in planes[1:])]
+
+
+def _pieces(keys: np.ndarray, others: list[np.ndarray], bits: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    """Sorted keys and their values as rows block, chunk, data: a block for each value of the keys' first bits."""
+    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    full = np.flatnonzero(edges[1:] > edges[:-1])
+    data = [_pack_sorted(*(c[edges[i] : edges[i + 1]] for c in (keys, *others))) for i in full]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), chunk)), pa.array(data, pa.binary())], names=["block", "chunk", "data"])
+
+
 def chunk_entries(encoded: DataFrame, cold: DataFrame) -> str:
-    """A folder with the entries of cold that occur in each chunk of the texts, a folder each."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Filter.of(cold.select("key")))
+    """A folder with the entries of cold that occur in each chunk of the texts, a folder each.
+
+    Chunks ask blocks of keys, and each block is one task's.
+    """
+    spark = encoded.sparkSession
+    path, bits = new_path(spark, "entries"), max(4, (cold.count() >> 18).bit_length())
+    shared = spark.sparkContext.broadcast(Filter.of(cold.select("key")))
+    schema = "block long, chunk long, data binary"
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def ready() -> pa.RecordBatch:
-            keys = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)])).view(np.int64)
+        def ready() -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now or 0)), pa.array(keys)], names=["chunk", "key"])
+            yield from _pieces(keys, [], bits, now or 0)
 
         for batch in batches:
             chunks = np.asarray(batch.column(0))
             for a, b in _spans(chunks):
                 if chunks[a] != now:
-                    yield ready()
+                    yield from ready()
                     now = chunks[a]
-                for _, codes, _ in _runs(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)):
+                for _, codes, _ in _runs(batch.column(1).slice(a, b - a)):
                     held += [g[shared.value.has(g)] for g in gram_keys(codes, min(DEPTH + 1, len(codes)))]
-        yield ready()
+        yield from ready()
+
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            keys, *others = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(keys)
+            held.clear()
+            yield from _pieces(keys[order], [c[order] for c in others], bits, -1)
 
-    asked = encoded.select("p_chunk", "p_ids", "p_rare").mapInArrow(lean(ask), "chunk long, key long")
-    path = new_path(encoded.sparkSession, "entries")
-    found = asked.join(cold.select("key", "ratio", "keep"), "key").repartition("chunk").sortWithinPartitions("chunk")
+        for batch in batches:
+            held.append([np.asarray(batch.column(0)).view(np.uint64), *(np.asarray(batch.column(j)) for j in (1, 2))])
+            size += batch.num_rows
+            if size > SUMMED:
+                yield from ready()
+                size = 0
+        if held:
+            yield from ready()
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, entries = None, [], None
+        for batch in batches:
+            for block, chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if block != now:
+                    now, held, entries = block, [], None
+                if chunk < 0:  # these are a block's first
+                    held.append(_unpack_sorted(data.as_py(), 3))
+                    continue
+                if entries is None:
+                    columns = [np.concatenate(c) for c in zip(*held, strict=True)] or [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
+                    order = np.argsort(columns[0])
+                    entries = [c[order] for c in columns]
+                    held = []
+                if not len(entries[0]):
+                    continue
+                (keys,) = _unpack_sorted(data.as_py(), 1)
+                place = np.minimum(np.searchsorted(entries[0], keys), len(entries[0]) - 1)
+                place = place[entries[0][place] == keys]
+                if len(place):
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_pack_sorted(*(c[place] for c in entries))], pa.binary())], names=["chunk", "data"])
+
+    asked = encoded.select("p_chunk", "p_ids").mapInArrow(lean(ask), schema)
+    told = cold.select("key", "ratio", "keep").mapInArrow(lean(tell), schema)
+    blocks = asked.union(told).repartition("block").sortWithinPartitions("block", "chunk")
+    found = blocks.mapInArrow(lean(find), "chunk long, data binary").repartition("chunk").sortWithinPartitions("chunk")
     found.write.partitionBy("chunk").parquet(path)
     _free(encoded)
     return path
@@ -542,12 +843,8 @@ def chunk_entries(encoded: DataFrame, cold: DataFrame) -> str:
 
 def read_entries(folder: str, chunk: int) -> Entries | None:
     """What chunk_entries() wrote for a chunk; None if nothing."""
-    fs, inner = open_fs(folder)
-    files = fs.get_file_info(pafs.FileSelector(f"{inner}/chunk={chunk}", allow_not_found=True))
-    tables = [pq.ParquetFile(fs.open_input_file(f.path)).read(["key", "ratio", "keep"]) for f in files if f.path.endswith(".parquet")]
-    if not tables:
-        return None
-    return Entries(*(pa.concat_tables(tables)[c].to_numpy() for c in ("key", "ratio", "keep")))
+    found = read_chunk(folder, chunk, ["data"])
+    return found and Entries(*(np.concatenate(c) for c in zip(*(_unpack_sorted(d, 3) for d in found[0]), strict=True)))
 
 
 def _gains(codes: np.ndarray, hot: Entries, cold: Entries | None) -> np.ndarray:
@@ -572,7 +869,8 @@ def score_held_out(docs: DataFrame, modulus: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of all documents; those not held out are learned from."""
     rows = docs.select("doc_id", held_out(F.col("doc_id"), modulus).alias("held_out"), "text")
     spark = docs.sparkSession
-    words = count_words(rows.where(~F.col("held_out")))
+    with recorded() as before:
+        words = count_words(rows.where(~F.col("held_out")))
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     whole, common = n + v + 1.0, (F.col("n") >= hottest(words, COMMON)) | (F.col("word") == F.lit(END))
     table = words.where(common).select("word", "n").toArrow()  # COMMON rows and one at most
@@ -580,45 +878,46 @@ def score_held_out(docs: DataFrame, modulus: int = 7) -> DataFrame:
     ends = int(n > 0 and sum(c for w, c in zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True) if w == END))
     order = [END, *sorted(times, key=lambda w: (-times[w], w))]
     count = np.array([ends, *(times[w] for w in order[1:])], np.int64)
-    encoded = encode(rows, {w: i for i, w in enumerate(order)}, np.log10((count + 1.0) / whole), ends > 0, ["doc_id", "held_out"])
-    codes = spark.createDataFrame(pa.table({"code": np.arange(len(count)), "n": count}), "code long, n long")
-    rare = words.where(~common).select("code", "n")
-    model = grow(encoded.where(~F.col("held_out")), codes.union(rare), whole, n)
+    with recorded() as more:
+        encoded = encode(rows, {w: i for i, w in enumerate(order)}, np.log10((count + 1.0) / whole), ends > 0, ["doc_id", "held_out"])
+    before += more
+    ids, counts = number(words.where(~common).select("code", "n"), count)
+    with recorded() as made:
+        texts = resolve(encoded, ids, counts, whole, ["doc_id", "held_out"])
+    drop_unread([*before, *made], texts)
+    _free(texts)
+    model = grow(texts.where(~F.col("held_out")), counts, whole, n)
     least = hottest(model, HOT)
     hot = model.where(F.col("n") >= least).select("key", "ratio", "keep").toArrow()  # HOT rows at most
     shared = spark.sparkContext.broadcast(Entries(*(hot[c].to_numpy() for c in ("key", "ratio", "keep"))))
     del hot
-    folder = chunk_entries(encoded, model.where(F.col("n") < least)) if least else None
+    folder = chunk_entries(texts, model.where(F.col("n") < least)) if least else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cold = None, None
         for batch in batches:
-            column, others = (batch.column(batch.schema.get_field_index(c)) for c in ("p_ids", "p_rare"))
-            chunks = np.asarray(batch.column(batch.schema.get_field_index("p_chunk")))
+            column = batch.column("p_ids")
+            chunks = np.asarray(batch.column("p_chunk"))
             scores = []
             for a, b in _spans(chunks):
                 if folder and chunks[a] != now:
                     now, cold = chunks[a], read_entries(folder, chunks[a])
-                for _, codes, bounds in _runs(column.slice(a, b - a), others.slice(a, b - a)):
+                for _, codes, bounds in _runs(column.slice(a, b - a)):
                     sums = np.concatenate([[0.0], np.cumsum(_gains(codes, shared.value, cold))])
                     scores.append(sums[bounds[1:]] - sums[bounds[:-1]])
             lengths = np.diff(np.asarray(column.offsets)).astype(np.int64)
-            names = ["doc_id", "held_out", "p_row", "p_known", "p_base"]
+            names = ["doc_id", "held_out", "p_known", "p_base"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lengths), pa.array(np.concatenate(scores))], names=[*names, "n_tokens", "p_score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, p_row long, p_known long, p_base double, n_tokens long, p_score double"
-    scored = encoded.select("doc_id", "held_out", "p_chunk", "p_row", "p_known", "p_base", "p_ids", "p_rare").mapInArrow(lean(run), schema)
-    log = F.log10((F.coalesce("n", F.lit(0)) + 1.0) / F.lit(whole))
-    found = encoded.select("p_row", F.explode("p_rare").alias("code")).join(rare, "code", "left")
-    sums = found.groupBy("p_row").agg(F.count("n").alias("k"), F.sum(log).alias("b"))
-    base = F.col("p_base") + F.coalesce("b", F.lit(0.0))
-    return scored.join(sums, "p_row", "left").select(
+    schema = f"doc_id {kind}, held_out boolean, p_known long, p_base double, n_tokens long, p_score double"
+    scored = texts.select("doc_id", "held_out", "p_chunk", "p_known", "p_base", "p_ids").mapInArrow(lean(run), schema)
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("p_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
+        F.col("p_known").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("p_score")).alias("score"),
+        F.col("p_base").alias("base_score"),
+        (F.col("p_base") + F.col("p_score")).alias("score"),
     )

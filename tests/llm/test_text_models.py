@@ -167,6 +167,38 @@ def test_suffix_tree_learns_rare_words_of_a_large_corpus(spark, monkeypatch):
     assert row.score > row.base_score + 4
 
 
+def test_suffix_tree_of_many_blocks_and_rare_words(spark, odd_docs, monkeypatch):
+    """Frequent words in several blocks, most words looked up by chunk, small chunks and buffers."""
+    for name, value in (("BLOCK", 300), ("SUMMED", 5_000), ("CHUNK", 3_000), ("COMMON", 60), ("HOT", 50)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    docs = odd_docs.select("doc_id", "text").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60))
+    rows = docs.collect()
+    want = _in_one_process([r.text for r in rows], [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows])
+    got = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 5)) for r in suffix_tree.score_held_out(docs).collect())
+    for g, w in zip(got, sorted((r.doc_id is None, r.doc_id or 0, round(s, 5)) for r, s in zip(rows, want, strict=True)), strict=True):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], abs=1e-4)
+
+
+def test_suffix_tree_windows_and_their_bytes():
+    codes = np.array([0, 5, suffix_tree.ONCE, 7, 8, 9, 0, 4], np.int64)
+    got = suffix_tree.windows(codes)
+    assert got.T.tolist() == [[1, 0, 0, 6], [6, 1, 0, 0], [8, 0, 0, 9], [9, 8, 0, 10], [10, 9, 8, 1], [1, 0, 0, 5]]
+    w, n = suffix_tree._summed(np.concatenate([got, got[:, :2]], axis=1), None)
+    assert sorted(zip(*w.tolist(), n.tolist(), strict=True))[0] == (1, 0, 0, 5, 1) and n.sum() == 8
+    again, m = suffix_tree._unpack(suffix_tree._pack(w, n))
+    assert again.tolist() == w.tolist() and m.tolist() == n.tolist()
+
+
+def test_suffix_tree_sends_each_token_once(spark, prose):
+    """Shuffled bytes stay below twice those of the texts: sent level by level, grams took more than three times as many."""
+    texts = [prose(2_000, i) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).localCheckpoint()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    suffix_tree.score_held_out(docs).write.format("noop").mode("overwrite").save()
+    assert written() - before < 2 * sum(map(len, texts))
+
+
 def _split(url):
     if url is None or "://" not in url:
         return "", ""
