@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm.langid import held_out
-from lattica.llm.scratch import drop_unread, lean, new_path, open_fs, recorded, save
+from lattica.llm.scratch import drop_unread, lean, new_path, open_fs, recorded, remove, save
 
 DEPTH, LEAST, DIVERGENCE, DISCOUNT = 3, 2, 12.0, 0.5
 #: Words, the most frequent ones, whose ids and counts are broadcast.
@@ -282,8 +282,11 @@ def read_chunk(folder: str, chunk: int, columns: list[str]) -> list[np.ndarray]
     return [pa.concat_tables(tables)[c].to_numpy() for c in columns] if tables else None
 
 
-def resolve(encoded: DataFrame, ids: DataFrame, counts: Counts, whole: float, keep: list[str]) -> DataFrame:
-    """The keep columns, p_chunk, p_ids with the numbers of rare words too, p_known, p_base, in the shared folder."""
+def resolve(encoded: DataFrame, ids: DataFrame, counts: Counts, whole: float, keep: list[str], spent: list[str]) -> DataFrame:
+    """The keep columns, p_chunk, p_ids with the numbers of rare words too, p_known, p_base, in the shared folder.
+
+    The tables at the spent paths, which ids read, are removed as soon as they are read.
+    """
     spark = encoded.sparkSession
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +309,8 @@ def resolve(encoded: DataFrame, ids: DataFrame, counts: Counts, whole: float, ke
     asked = encoded.select("p_chunk", "p_rare").mapInArrow(lean(ask), "chunk long, code long")
     folder = new_path(spark, "numbers")
     asked.join(ids, "code").repartition("chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(folder)
+    for path in spent:
+        remove(path)
     _free(encoded)
     shared = spark.sparkContext.broadcast(counts)
 
@@ -708,7 +713,9 @@ def learn_windows(encoded: DataFrame, counts: Counts, whole: float, tokens: int,
 
 
 def _free(df: DataFrame) -> None:
-    """Have the driver let go of shuffles whose tables are gone, so that their files are removed."""
+    """Have the driver let go of shuffles whose tables are gone, so that their files are removed; it holds the last job's until the next."""
+    df.sparkSession.range(1).collect()
+    df.sparkSession.sparkContext.parallelize([0], 1).count()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
@@ -880,11 +887,10 @@ def score_held_out(docs: DataFrame, modulus: int = 7) -> DataFrame:
     count = np.array([ends, *(times[w] for w in order[1:])], np.int64)
     with recorded() as more:
         encoded = encode(rows, {w: i for i, w in enumerate(order)}, np.log10((count + 1.0) / whole), ends > 0, ["doc_id", "held_out"])
-    before += more
     ids, counts = number(words.where(~common).select("code", "n"), count)
     with recorded() as made:
-        texts = resolve(encoded, ids, counts, whole, ["doc_id", "held_out"])
-    drop_unread([*before, *made], texts)
+        texts = resolve(encoded, ids, counts, whole, ["doc_id", "held_out"], before)
+    drop_unread([*more, *made], texts)
     _free(texts)
     model = grow(texts.where(~F.col("held_out")), counts, whole, n)
     least = hottest(model, HOT)
