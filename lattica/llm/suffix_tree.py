@@ -37,13 +37,12 @@ not looked at.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
@@ -61,6 +60,9 @@ COMMON = 50_000
 HOT, FILTER = 2_000_000, 29
 #: The end token; UTF-8 has no such byte.
 END = b"\xff"
+#: Which bytes words have; bytes of texts that are split into words at once.
+_WORD = ~np.isin(np.arange(256), [*b" \t\n\v\f\r"])
+TEXT = 1 << 22
 #: Bits of a gram's key in a Tree that hold its last token.
 _BITS = 20
 #: Tokens that one step of numpy works on (arrays that stay in the processor's cache), that a task sums windows of, and
@@ -70,6 +72,8 @@ STEP, SUMMED, CHUNK = 1 << 16, 1 << 21, 1 << 21
 BLOCK = 1 << 20
 #: What words have instead of a number that occur once in training, and that do not occur.
 ONCE, UNSEEN = -2, -1
+#: Numbers from here on do not fit the two bytes that a token takes in column p_ids; p_more has them.
+WIDE = (1 << 16) + ONCE - 1
 
 
 def tokens(text: str | bytes | None) -> list[bytes]:
@@ -78,27 +82,56 @@ def tokens(text: str | bytes | None) -> list[bytes]:
     return [*data.lower().split(), END]
 
 
-def rare_code(word: bytes) -> int:
-    """A negative number, from Spark's xxhash64 of the word; common words have their ids from 0 on, 0 being the end."""
-    return -1 - (xxhash.xxh64_intdigest(word, 42) >> 2)
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of a binary column's rows, as in tokens() but without ends, one after another, and the rows' bounds."""
+    raw, at = _values(column.fill_null(b""), "u1")
+    raw = np.frombuffer(raw.tobytes().lower(), np.uint8)
+    inside = _WORD[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    begin, end = at[:-1][at[:-1] < len(raw)], at[1:][at[1:] > 0] - 1  # of texts
+    first[begin], last[end] = inside[begin], inside[end]
+    starts = np.flatnonzero(first)
+    ends = np.cumsum(np.flatnonzero(last) + 1 - starts)
+    return _column(raw[inside], np.concatenate([[0], ends])), np.searchsorted(starts, at)
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of a binary column's rows of about TEXT bytes."""
+    at, a = _values(column.fill_null(b""), "u1")[1], 0
+    while a < len(column):
+        b = min(max(a + 1, int(np.searchsorted(at, at[a] + TEXT))), len(column))
+        yield a, b
+        a = b
+
+
+def rare_codes(words: pa.Array) -> np.ndarray:
+    """Negative numbers, from Spark's xxhash64 of the words; common words have their ids from 0 on, 0 being the end."""
+    data, at = _values(words, "u1")
+    data, at = data.tobytes(), at.tolist()
+    hashes = np.fromiter((xxhash.xxh64_intdigest(data[a:b], 42) for a, b in zip(at, at[1:], strict=False)), np.uint64, len(words))
+    return -1 - (hashes >> np.uint64(2)).astype(np.int64)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """word, code (of a rare word), n of all tokens of column text, in the shared folder."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        held, size, ends = [pa.array([], pa.binary())], 0, 0
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
-            words.clear()
-            return batch
+            words, n = pa.chunked_array(held).value_counts().flatten()
+            more = [END] if ends else []  # an end for each text
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array(more, pa.binary())]), pa.concat_arrays([n, pa.array([ends] * len(more), pa.int64())])], names=["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                words.update(tokens(text.as_py()))
-                if len(words) > 500_000:
+            for a, b in _parts(batch.column(0)):
+                held.append(words_of(batch.column(0).slice(a, b - a))[0])
+                size, ends = size + len(held[-1]), ends + b - a
+                if size > 2 * SUMMED:
                     yield flush()
+                    held, size, ends = held[:1], 0, 0
         yield flush()
 
     rows = texts.select(F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lean(count), "word binary, n long")
@@ -203,40 +236,71 @@ class Tree:
         return [int((level.keep < 1.0).sum()) for level in self.levels[:-1]]
 
 
-def encode(docs: DataFrame, ids: dict[bytes, int], logs: np.ndarray, seen: bool, keep: list[str]) -> DataFrame:
-    """The keep columns, p_chunk and each text as ids of common words (-1: rare), in the shared folder; codes of the rare ones in their order."""
-    shared = docs.sparkSession.sparkContext.broadcast((ids, logs))
+def _column(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of numbers as a binary column, which costs Spark a step a row; a list costs one a number."""
+    at = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a binary column's rows, one after another, and the rows' bounds."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    flat = np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind) if at[-1] > at[0] else np.zeros(0, kind)
+    return flat, (at - at[0]) // np.dtype(kind).itemsize
+
+
+def _narrow(codes: np.ndarray) -> np.ndarray:
+    """Numbers of words in two bytes each; from WIDE on as WIDE."""
+    return np.minimum(codes, WIDE).astype("<u2")
+
+
+def _codes(ids: pa.Array, more: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of words in columns p_ids and p_more, and the rows' bounds."""
+    flat, bounds = _values(ids, "<u2")
+    codes = flat.astype(np.int32)
+    codes[flat > WIDE] -= 1 << 16
+    codes[flat == WIDE] = _values(more, "<i4")[0]
+    return codes, bounds
+
+
+def encode(docs: DataFrame, order: list[bytes], logs: np.ndarray, seen: bool, keep: list[str]) -> DataFrame:
+    """The keep columns, p_chunk and each text as places of words in order (fewer than WIDE; -1: rare), in the shared folder; codes of the rare ones in their order."""
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array(order, pa.binary()), logs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, logs = shared.value
+        order, logs = shared.value
         size = 0
         chunk = TaskContext.get().partitionId() << 24
         for whole in batches:
-            for first in range(0, whole.num_rows, 512):
-                batch = whole.slice(first, 512)
-                found = [tokens(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-                ends = np.cumsum([0, *map(len, found)])
-                flat = list(chain.from_iterable(found))
-                code = np.fromiter(map(ids.get, flat, repeat(-1)), np.int32, len(flat))
+            for a, b in _parts(whole.column(whole.num_columns - 1)):
+                batch = whole.slice(a, b - a)
+                words, ends = words_of(batch.column(batch.num_columns - 1))
+                ends = ends + np.arange(len(ends))  # each text has an end
+                code = np.zeros(ends[-1], np.int32)
+                inside = np.ones(len(code), bool)
+                inside[ends[1:] - 1] = False
+                code[inside] = pc.index_in(words, value_set=order).fill_null(-1)
                 common = code >= 0
                 others = np.flatnonzero(~common)
-                rare = np.fromiter((rare_code(flat[i]) for i in others.tolist()), np.int64, len(others))
+                rare = rare_codes(words.filter(pa.array(~common[inside])))
                 known = np.add.reduceat(common, ends[:-1], dtype=np.int64) - (not seen)
                 base = np.add.reduceat(np.where(common, logs[code], 0.0), ends[:-1])
                 chunks = chunk + (size + ends[1:]) // CHUNK
-                size += len(flat)
-                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values)) for at, values in ((ends, code), (np.searchsorted(others, ends), rare))]
-                columns = [pa.array(chunks), lists[0], pa.array(known), pa.array(base), lists[1]]
+                size += len(code)
+                columns = [pa.array(chunks), _column(_narrow(code), ends), pa.array(known), pa.array(base), _column(rare, np.searchsorted(others, ends))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*keep, "p_chunk", "p_ids", "p_known", "p_base", "p_rare"])
 
     rows = docs.select(*keep, F.col("text").cast("string").cast("binary").alias("text"))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1])
-    return save(rows.mapInArrow(lean(run), f"{schema}p_chunk long, p_ids array<int>, p_known long, p_base double, p_rare array<long>"), "encoded", compression="zstd")
+    return save(rows.mapInArrow(lean(run), f"{schema}p_chunk long, p_ids binary, p_known long, p_base double, p_rare binary"), "encoded", compression="zstd")
 
 
-def _runs(ids: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _runs(ids: pa.Array, more: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, codes after an end, bounds) for runs of rows of about STEP tokens."""
-    bounds, flat = np.asarray(ids.offsets), np.asarray(ids.values)
+    flat, bounds = _codes(ids, more)
     a = 0
     while a < len(ids):
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + STEP)))
@@ -282,33 +346,35 @@ def read_chunk(folder: str, chunk: int, columns: list[str]) -> list[np.ndarray]
     return [pa.concat_tables(tables)[c].to_numpy() for c in columns] if tables else None
 
 
-def resolve(encoded: DataFrame, ids: DataFrame, counts: Counts, whole: float, keep: list[str], spent: list[str]) -> DataFrame:
-    """The keep columns, p_chunk, p_ids with the numbers of rare words too, p_known, p_base, in the shared folder.
+def resolve(encoded: DataFrame, ids: DataFrame, counts: Counts, whole: float, n_words: int, keep: list[str], spent: list[str]) -> DataFrame:
+    """The keep columns, p_chunk, p_ids and p_more with the numbers of rare words too, p_known, p_base, in the shared folder.
 
     The tables at the spent paths, which ids read, are removed as soon as they are read.
     """
-    spark = encoded.sparkSession
+    spark, bits = encoded.sparkSession, block_bits(n_words)
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
-        def ready() -> pa.RecordBatch:
-            codes = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]))
+        def ready() -> Iterator[pa.RecordBatch]:
+            codes = np.concatenate([*held, np.zeros(0, np.int64)])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), now or 0)), pa.array(codes)], names=["chunk", "code"])
+            yield from _pieces(np.unique(_code_keys(codes)), [], bits, now or 0)
 
         for batch in batches:
             chunks = np.asarray(batch.column(0))
             for a, b in _spans(chunks):
                 if chunks[a] != now:
-                    yield ready()
+                    yield from ready()
                     now = chunks[a]
-                held.append(np.unique(np.asarray(batch.column(1).slice(a, b - a).flatten())))
-        yield ready()
+                held.append(np.unique(_values(batch.column(1).slice(a, b - a), "<i8")[0]))
+        yield from ready()
 
-    asked = encoded.select("p_chunk", "p_rare").mapInArrow(lean(ask), "chunk long, code long")
-    folder = new_path(spark, "numbers")
-    asked.join(ids, "code").repartition("chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(folder)
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _told(([_code_keys(np.asarray(b.column(0))), np.asarray(b.column(1)).astype(np.int64)] for b in batches), bits)
+
+    asked = encoded.select("p_chunk", "p_rare").mapInArrow(lean(ask), _BLOCKS)
+    folder = look_up(asked, ids.select("code", "id").mapInArrow(lean(tell), _BLOCKS), 1, "numbers")
     for path in spent:
         remove(path)
     _free(encoded)
@@ -322,31 +388,33 @@ def resolve(encoded: DataFrame, ids: DataFrame, counts: Counts, whole: float, ke
             for a, b in _spans(chunks):
                 batch = whole_batch.slice(a, b - a)
                 if chunks[a] != now:
-                    now, table = chunks[a], read_chunk(folder, chunks[a], ["code", "id"])
+                    now, table = chunks[a], read_found(folder, chunks[a], 1)
                     if table:
                         order = np.argsort(table[0])
-                        table = [c[order] for c in table]
-                lists, others = batch.column("p_ids"), batch.column("p_rare").flatten().to_numpy()
-                flat = lists.flatten().to_numpy().copy()
+                        table = [table[0][order], table[1].view(np.int64)[order]]
+                flat, ends = _values(batch.column("p_ids"), "<u2")
+                others, starts = _values(batch.column("p_rare"), "<i8")
+                codes = flat.astype(np.int32)
                 found = np.full(len(others), UNSEEN, np.int32)
                 if table:
-                    place = np.minimum(np.searchsorted(table[0], others), len(table[0]) - 1)
-                    hit = table[0][place] == others
+                    keys = _code_keys(others)
+                    place = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+                    hit = table[0][place] == keys
                     found[hit] = table[1][place[hit]]
                 logs = np.where(found == ONCE, once, unseen)
                 more = np.flatnonzero(found >= 0)
                 logs[more] = np.log10((shared.value.of(found[more]) + 1.0) / whole)
-                flat[flat < 0] = found
-                lengths = np.diff(np.asarray(batch.column("p_rare").offsets))
+                codes[flat > WIDE] = found
+                wide = np.flatnonzero(codes >= WIDE)
+                lengths = np.diff(starts)
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 known = batch.column("p_known").to_numpy() + np.bincount(row, found != UNSEEN, len(lengths)).astype(np.int64)
                 base = batch.column("p_base").to_numpy() + np.bincount(row, logs, len(lengths))
-                ends = np.asarray(lists.offsets)
-                column = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "p_chunk"]), column, pa.array(known), pa.array(base)], names=[*keep, "p_chunk", "p_ids", "p_known", "p_base"])
+                columns = [_column(_narrow(codes), ends), _column(codes[wide].astype("<i4"), np.searchsorted(wide, ends))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keep, "p_chunk"]), *columns, pa.array(known), pa.array(base)], names=[*keep, "p_chunk", "p_ids", "p_more", "p_known", "p_base"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in encoded.select(*keep).schema)
-    rows = encoded.select(*keep, "p_chunk", "p_ids", "p_known", "p_base", "p_rare").mapInArrow(lean(run), f"{schema}p_chunk long, p_ids array<int>, p_known long, p_base double")
+    rows = encoded.select(*keep, "p_chunk", "p_ids", "p_known", "p_base", "p_rare").mapInArrow(lean(run), f"{schema}p_chunk long, p_ids binary, p_more binary, p_known long, p_base double")
     return save(rows, "texts", compression="zstd")
 
 
@@ -469,14 +537,33 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return _hashed(np.full(len(x), 7, np.uint64), x.astype(np.int64)) >> np.uint64(33)
 
 
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each key's place among the different ones, those in order)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    ranks = np.empty(len(keys), np.uint64)
+    ranks[order] = np.cumsum(new, dtype=np.uint64) - np.uint64(1)
+    return ranks, keys[new]
+
+
 def _summed(w: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Different windows in order, with the sums of n (None: of ones)."""
-    high, low = (w[0].astype(np.uint64) << np.uint64(32)) | w[1], (w[2].astype(np.uint64) << np.uint64(32)) | w[3]
-    order = np.lexsort((low, high))
-    high, low = high[order], low[order]
-    first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(high) else order
-    sums = np.diff(np.append(first, len(high))) if n is None else np.add.reduceat(n[order], first) if len(high) else n
-    return w.take(order[first], axis=1), sums
+    # the places of both halves fit one number, which sorts faster than two
+    half = np.uint64(32)
+    high, highs = _ranks((w[0].astype(np.uint64) << half) | w[1])
+    low, lows = _ranks((w[2].astype(np.uint64) << half) | w[3])
+    keys = (high << half) | low
+    if n is None:
+        keys.sort()
+    else:
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+    first = _numbered(keys)[1]
+    sums = np.diff(np.append(first, len(keys))) if n is None else np.add.reduceat(n, first) if len(first) else n
+    high, low = highs[keys[first] >> half], lows[keys[first] & np.uint64(0xFFFFFFFF)]
+    return np.stack([high >> half, high, low >> half, low]).astype(np.uint32), sums
 
 
 def _pack(w: np.ndarray, n: np.ndarray) -> bytes:
@@ -611,7 +698,7 @@ def frequent_pairs(encoded: DataFrame, counts: Counts, whole: float) -> tuple[st
             return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], names=["pair", "n"])
 
         for batch in batches:
-            for _, codes, _ in _runs(batch.column(0)):
+            for _, codes, _ in _runs(batch.column(0), batch.column(1)):
                 s, x = codes[:-1], codes[1:]
                 at = np.flatnonzero((s >= 0) & (s < len(heavy)) & (x >= 0))
                 at = at[heavy[s[at]]]
@@ -633,7 +720,7 @@ def frequent_pairs(encoded: DataFrame, counts: Counts, whole: float) -> tuple[st
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "gain", "ratio", "key", "context", "n", "n_s", "chunk"])
 
     schema = "x long, gain double, ratio double, key long, context long, n long, n_s long, chunk long"
-    pairs = encoded.select("p_ids").mapInArrow(lean(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    pairs = encoded.select("p_ids", "p_more").mapInArrow(lean(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     pairs.mapInArrow(tell, schema).repartition("chunk").sortWithinPartitions("chunk").write.partitionBy("chunk").parquet(path)
     rows = spark.read.schema(schema).parquet(path)
     kept = rows.groupBy("context").agg((1.0 - F.sum("gain")).alias("keep"), F.max("n_s").alias("n"))
@@ -662,7 +749,7 @@ def learn_windows(encoded: DataFrame, counts: Counts, whole: float, tokens: int,
                 yield pa.RecordBatch.from_arrays([pa.array(block[[a for a, _ in some]]), pa.array(data, pa.binary())], names=["block", "data"])
 
         for batch in batches:
-            for _, codes, _ in _runs(batch.column(0)):
+            for _, codes, _ in _runs(batch.column(0), batch.column(1)):
                 w = windows(codes)
                 while w.shape[1]:
                     some, w = w[:, : SUMMED - size], w[:, SUMMED - size :]
@@ -708,7 +795,7 @@ def learn_windows(encoded: DataFrame, counts: Counts, whole: float, tokens: int,
         if held:
             yield from ready()
 
-    rows = encoded.select("p_ids").mapInArrow(lean(deal), "block long, data binary").repartition("block").sortWithinPartitions("block")
+    rows = encoded.select("p_ids", "p_more").mapInArrow(lean(deal), "block long, data binary").repartition("block").sortWithinPartitions("block")
     return save(rows.mapInArrow(lean(total), _MODEL), "learned")
 
 
@@ -771,51 +858,41 @@ def _pieces(keys: np.ndarray, others: list[np.ndarray], bits: int, chunk: int) -
     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), chunk)), pa.array(data, pa.binary())], names=["block", "chunk", "data"])
 
 
-def chunk_entries(encoded: DataFrame, cold: DataFrame) -> str:
-    """A folder with the entries of cold that occur in each chunk of the texts, a folder each.
+_BLOCKS = "block long, chunk long, data binary"
 
-    Chunks ask blocks of keys, and each block is one task's.
-    """
-    spark = encoded.sparkSession
-    path, bits = new_path(spark, "entries"), max(4, (cold.count() >> 18).bit_length())
-    shared = spark.sparkContext.broadcast(Filter.of(cold.select("key")))
-    schema = "block long, chunk long, data binary"
 
-    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+def block_bits(entries: int) -> int:
+    """Of keys, how many name a block of a table with so many entries."""
+    return max(4, (entries >> 18).bit_length())
 
-        def ready() -> Iterator[pa.RecordBatch]:
-            keys = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]))
-            held.clear()
-            yield from _pieces(keys, [], bits, now or 0)
 
-        for batch in batches:
-            chunks = np.asarray(batch.column(0))
-            for a, b in _spans(chunks):
-                if chunks[a] != now:
-                    yield from ready()
-                    now = chunks[a]
-                for _, codes, _ in _runs(batch.column(1).slice(a, b - a)):
-                    held += [g[shared.value.has(g)] for g in gram_keys(codes, min(DEPTH + 1, len(codes)))]
-        yield from ready()
+def _code_keys(codes: np.ndarray) -> np.ndarray:
+    """Codes of rare words as keys whose first bits differ."""
+    return (~codes).view(np.uint64) << np.uint64(2)
 
-    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def ready() -> Iterator[pa.RecordBatch]:
-            keys, *others = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(keys)
-            held.clear()
-            yield from _pieces(keys[order], [c[order] for c in others], bits, -1)
+def _told(parts: Iterable[list[np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of keys and their values, as those of chunk -1."""
+    held, size = [], 0
 
-        for batch in batches:
-            held.append([np.asarray(batch.column(0)).view(np.uint64), *(np.asarray(batch.column(j)) for j in (1, 2))])
-            size += batch.num_rows
-            if size > SUMMED:
-                yield from ready()
-                size = 0
-        if held:
+    def ready() -> Iterator[pa.RecordBatch]:
+        keys, *others = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(keys)
+        held.clear()
+        yield from _pieces(keys[order], [c[order] for c in others], bits, -1)
+
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > SUMMED:
             yield from ready()
+            size = 0
+    if held:
+        yield from ready()
+
+
+def look_up(asked: DataFrame, told: DataFrame, values: int, name: str) -> str:
+    """A folder with the keys and values told that each chunk asked for, a folder each; blocks of both meet in one task."""
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, entries = None, [], None
@@ -824,10 +901,10 @@ def chunk_entries(encoded: DataFrame, cold: DataFrame) -> str:
                 if block != now:
                     now, held, entries = block, [], None
                 if chunk < 0:  # these are a block's first
-                    held.append(_unpack_sorted(data.as_py(), 3))
+                    held.append(_unpack_sorted(data.as_py(), 1 + values))
                     continue
                 if entries is None:
-                    columns = [np.concatenate(c) for c in zip(*held, strict=True)] or [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
+                    columns = [np.concatenate(c) for c in zip(*held, strict=True)] or [np.zeros(0, np.uint64), *[np.zeros(0)] * values]
                     order = np.argsort(columns[0])
                     entries = [c[order] for c in columns]
                     held = []
@@ -839,32 +916,88 @@ def chunk_entries(encoded: DataFrame, cold: DataFrame) -> str:
                 if len(place):
                     yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_pack_sorted(*(c[place] for c in entries))], pa.binary())], names=["chunk", "data"])
 
-    asked = encoded.select("p_chunk", "p_ids").mapInArrow(lean(ask), schema)
-    told = cold.select("key", "ratio", "keep").mapInArrow(lean(tell), schema)
+    path = new_path(asked.sparkSession, name)
     blocks = asked.union(told).repartition("block").sortWithinPartitions("block", "chunk")
     found = blocks.mapInArrow(lean(find), "chunk long, data binary").repartition("chunk").sortWithinPartitions("chunk")
     found.write.partitionBy("chunk").parquet(path)
+    return path
+
+
+def read_found(folder: str, chunk: int, values: int) -> list[np.ndarray] | None:
+    """What look_up() wrote for a chunk; None if nothing."""
+    found = read_chunk(folder, chunk, ["data"])
+    return found and [np.concatenate(c) for c in zip(*(_unpack_sorted(d, 1 + values) for d in found[0]), strict=True)]
+
+
+def chunk_entries(encoded: DataFrame, cold: DataFrame) -> str:
+    """A folder with the entries of cold that occur in each chunk of the texts, a folder each.
+
+    Chunks ask blocks of keys, and each block is one task's.
+    """
+    bits = block_bits(cold.count())
+    shared = encoded.sparkSession.sparkContext.broadcast(Filter.of(cold.select("key")))
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def ready() -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]))
+            held.clear()
+            yield from _pieces(keys, [], bits, now or 0)
+
+        for batch in batches:
+            chunks = np.asarray(batch.column(0))
+            for a, b in _spans(chunks):
+                if chunks[a] != now:
+                    yield from ready()
+                    now = chunks[a]
+                for _, codes, _ in _runs(*(batch.column(j).slice(a, b - a) for j in (1, 2))):
+                    held += [g[shared.value.has(g)] for g in gram_keys(codes, min(DEPTH + 1, len(codes)))]
+        yield from ready()
+
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _told(([np.asarray(b.column(0)).view(np.uint64), *(np.asarray(b.column(j)) for j in (1, 2))] for b in batches), bits)
+
+    asked = encoded.select("p_chunk", "p_ids", "p_more").mapInArrow(lean(ask), _BLOCKS)
+    path = look_up(asked, cold.select("key", "ratio", "keep").mapInArrow(lean(tell), _BLOCKS), 2, "entries")
     _free(encoded)
     return path
 
 
 def read_entries(folder: str, chunk: int) -> Entries | None:
     """What chunk_entries() wrote for a chunk; None if nothing."""
-    found = read_chunk(folder, chunk, ["data"])
-    return found and Entries(*(np.concatenate(c) for c in zip(*(_unpack_sorted(d, 3) for d in found[0]), strict=True)))
+    found = read_found(folder, chunk, 2)
+    return found and Entries(*found)
+
+
+def first_keeps(hot: Entries, counts: np.ndarray, least: int) -> np.ndarray:
+    """What the first words leave to the root as contexts, up to the first that is not counted ``least`` times and so may not be among the hot entries."""
+    below = np.flatnonzero(counts < least)
+    codes = np.arange(below[0] if len(below) else len(counts))
+    keeps = np.ones(len(codes))
+    at, place = hot.find(_chain([codes]))
+    keeps[at] = hot.keeps[place]
+    return keeps
 
 
-def _gains(codes: np.ndarray, hot: Entries, cold: Entries | None) -> np.ndarray:
-    """log10 of P(token | text before it) over the root's, for all codes but the first."""
+def _gains(codes: np.ndarray, hot: Entries, cold: Entries | None, first: np.ndarray) -> np.ndarray:
+    """log10 of P(token | text before it) over the root's, for all codes but the first; ``first`` is from first_keeps()."""
     m = len(codes)
     p, keep_before = np.ones(m), np.zeros(0)
     for k, keys in enumerate(gram_keys(codes, min(DEPTH + 1, m)), 1):
         ratio, keep = np.zeros(len(keys)), np.ones(len(keys))
-        ask = np.arange(len(keys)) if k <= DEPTH else np.flatnonzero(keep_before[: len(keys)] < 1.0)
+        ask = None
+        if k == 1:
+            known = (codes >= 0) & (codes < len(first))
+            ask = np.flatnonzero(~known)
+            keep[known] = first[codes[known]]
+        elif k > DEPTH:
+            ask = np.flatnonzero(keep_before[: len(keys)] < 1.0)
+        wanted = keys if ask is None else keys[ask]
         for entries in (hot, cold):
             if entries is not None and len(entries.keys):
-                at, place = entries.find(keys[ask])
-                at = ask[at]
+                at, place = entries.find(wanted)
+                at = at if ask is None else ask[at]
                 ratio[at], keep[at] = entries.ratios[place], entries.keeps[place]
         if k > 1:
             p[k - 1 :] = ratio + keep_before[: len(keys)] * p[k - 1 :]
@@ -886,38 +1019,40 @@ def score_held_out(docs: DataFrame, modulus: int = 7) -> DataFrame:
     order = [END, *sorted(times, key=lambda w: (-times[w], w))]
     count = np.array([ends, *(times[w] for w in order[1:])], np.int64)
     with recorded() as more:
-        encoded = encode(rows, {w: i for i, w in enumerate(order)}, np.log10((count + 1.0) / whole), ends > 0, ["doc_id", "held_out"])
+        encoded = encode(rows, order, np.log10((count + 1.0) / whole), ends > 0, ["doc_id", "held_out"])
     ids, counts = number(words.where(~common).select("code", "n"), count)
     with recorded() as made:
-        texts = resolve(encoded, ids, counts, whole, ["doc_id", "held_out"], before)
+        texts = resolve(encoded, ids, counts, whole, v, ["doc_id", "held_out"], before)
     drop_unread([*more, *made], texts)
     _free(texts)
     model = grow(texts.where(~F.col("held_out")), counts, whole, n)
     least = hottest(model, HOT)
     hot = model.where(F.col("n") >= least).select("key", "ratio", "keep").toArrow()  # HOT rows at most
-    shared = spark.sparkContext.broadcast(Entries(*(hot[c].to_numpy() for c in ("key", "ratio", "keep"))))
+    hot = Entries(*(hot[c].to_numpy() for c in ("key", "ratio", "keep")))
+    shared = spark.sparkContext.broadcast((hot, first_keeps(hot, count, least)))
     del hot
     folder = chunk_entries(texts, model.where(F.col("n") < least)) if least else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cold = None, None
+        hot, first = shared.value
         for batch in batches:
-            column = batch.column("p_ids")
+            columns = batch.column("p_ids"), batch.column("p_more")
             chunks = np.asarray(batch.column("p_chunk"))
             scores = []
             for a, b in _spans(chunks):
                 if folder and chunks[a] != now:
                     now, cold = chunks[a], read_entries(folder, chunks[a])
-                for _, codes, bounds in _runs(column.slice(a, b - a)):
-                    sums = np.concatenate([[0.0], np.cumsum(_gains(codes, shared.value, cold))])
+                for _, codes, bounds in _runs(*(c.slice(a, b - a) for c in columns)):
+                    sums = np.concatenate([[0.0], np.cumsum(_gains(codes, hot, cold, first))])
                     scores.append(sums[bounds[1:]] - sums[bounds[:-1]])
-            lengths = np.diff(np.asarray(column.offsets)).astype(np.int64)
+            lengths = np.diff(_values(columns[0], "<u2")[1])
             names = ["doc_id", "held_out", "p_known", "p_base"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(lengths), pa.array(np.concatenate(scores))], names=[*names, "n_tokens", "p_score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, p_known long, p_base double, n_tokens long, p_score double"
-    scored = texts.select("doc_id", "held_out", "p_chunk", "p_known", "p_base", "p_ids").mapInArrow(lean(run), schema)
+    scored = texts.select("doc_id", "held_out", "p_chunk", "p_known", "p_base", "p_ids", "p_more").mapInArrow(lean(run), schema)
     return scored.select(
         "doc_id",
         "held_out",

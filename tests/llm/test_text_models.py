@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,32 @@ def test_suffix_tree_windows_and_their_bytes():
     assert again.tolist() == w.tolist() and m.tolist() == n.tolist()
 
 
+def test_suffix_tree_splits_rows_at_once():
+    texts = [None, b"", b"  ", b" a B\x0bc ", b"x", b"\xc3\x84B q\x1cz\x85", b"", b"end", None, b" \n"]
+    for column in (pa.array(texts, pa.binary()), pa.array(texts, pa.binary()).slice(2, 6), pa.array([], pa.binary())):
+        words, bounds = suffix_tree.words_of(column)
+        words = words.to_pylist()
+        assert [[*words[a:b], suffix_tree.END] for a, b in zip(bounds, bounds[1:], strict=False)] == [suffix_tree.tokens(t) for t in column.to_pylist()]
+
+
+def test_suffix_tree_numbers_in_two_bytes_and_more():
+    codes, ends = np.array([0, 50_000, -1, suffix_tree.WIDE - 1, suffix_tree.WIDE, -2, 1 << 20, 70_000], np.int32), np.array([0, 3, 3, 7, 8])
+    wide = np.flatnonzero(codes >= suffix_tree.WIDE)
+    ids, more = suffix_tree._column(suffix_tree._narrow(codes), ends), suffix_tree._column(codes[wide], np.searchsorted(wide, ends))
+    for a, b in ((0, 4), (2, 4), (3, 4), (1, 2)):
+        got, bounds = suffix_tree._codes(ids.slice(a, b - a), more.slice(a, b - a))
+        assert got.tolist() == codes[ends[a] : ends[b]].tolist() and bounds.tolist() == (ends[a : b + 1] - ends[a]).tolist()
+
+
+def test_suffix_tree_keeps_no_lists_of_numbers(spark, prose, monkeypatch):
+    """Spark goes through a list number by number, each time it is read or written; numbers of a row are one binary value."""
+    kept, save = [], suffix_tree.save
+    monkeypatch.setattr(suffix_tree, "save", lambda df, *a, **b: kept.append(df.dtypes) or save(df, *a, **b))
+    docs = spark.createDataFrame([(i, prose(50, i)) for i in range(20)], "doc_id long, text string")
+    assert suffix_tree.score_held_out(docs).count() == 20
+    assert len(kept) >= 4 and not any(kind.startswith("array") for dtypes in kept for _, kind in dtypes)
+
+
 def test_suffix_tree_sends_each_token_once(spark, prose):
     """Shuffled bytes stay below twice those of the texts: sent level by level, grams took more than three times as many."""
     texts = [prose(2_000, i) for i in range(200)]
