@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -72,14 +73,15 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 2
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.word_bpe(path).encode
+        encode = bpe.word_bpe(path).encode_all
         for batch in batches:
+            encoded = encode(text.as_py() for text in batch.column(1))
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 rows: list[tuple] = []
                 blocks: list[bytes] = []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    ids = encode(text.as_py()) + end
+                for doc_id, ids in zip(part.column(0).to_pylist(), islice(encoded, part.num_rows), strict=True):
+                    ids += end
                     for k, a in enumerate(range(0, len(ids), width)):
                         block = ids[a : a + width]
                         rows.append((doc_id, k, a // 4, len(block) // 4, zlib.crc32(block)))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -21,6 +22,21 @@ def test_ids_are_the_tokenizers_own(text):
     assert np.frombuffer(t.encode(text), "<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_many_texts_at_once(monkeypatch):
+    """Ids are the tokenizer's; pieces without ' and of usual length are merged as arrays, not one by one."""
+    monkeypatch.setattr(bpe, "TEXT", 2_000)
+    t = bpe.WordBpe(bpe.default_path())
+    rng, marks = random.Random(5), "aB'.,1é×ÀÞß½²µªº \xa0\x85\x1c-sStTrRevVemMlLdD<|>\t\xad\x00\x7f\x9fĀ"
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    texts += [None, "", " ", "a" * 31, "a" * 32, "é" * 15, "é" * 16, "x" * 500, "th" * 15 + "'ll", "<|startoftext|> Hi <|ENDOFTEXT|>", "DON'T 'Tis \"A\""]
+    want = [np.array(t.tokenizer.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert list(t.encode_all(texts)) == want and list(t.encode_all([])) == []
+    words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 14))) for _ in range(3_000)]
+    want = [t.encode(w) for w in words]
+    monkeypatch.setattr(t, "words", None)
+    assert list(t.encode_all(words)) == want and list(t.encode_all([" ".join(words)])) == [b"".join(want)]
+
+
 def test_special_tokens_and_cache_limit(tokenizer):
     small = bpe.WordBpe(bpe.default_path(), cached_words=8)
     text = "A<|startoftext|>b don't <|ENDOFTEXT|> We'll see 'S " * 5
