@@ -32,7 +32,7 @@ _LOWER_SPACES = _SPACES.translate(_LOWER)
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _KIND = np.array([_SPACE if bytes([b]).isspace() else _LETTER if b in _ALPHA else _NUMBER if b in _DIGIT else _OTHER for b in range(256)], np.uint8)
 #: Bytes of texts that encode_all() works on at once.
-TEXT = 1 << 22
+TEXT = 1 << 21
 _PIECE = re.compile(
     rb"'s|'t|'re|'ve|'m|'ll|'d|[" + re.escape(_ALPHA) + rb"]+|[" + re.escape(_DIGIT) + rb"]|[^\s\x85\xa0" + re.escape(_ALPHA + _DIGIT) + rb"]+"
 )
