@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bpe
 from lattica.llm.elias_fano import EliasFano, encode
-from lattica.llm.scratch import new_path, open_fs, save
+from lattica.llm.scratch import lean, new_path, open_fs, save
 
 _MAGIC = b"LTOK1"
 _FOOT = struct.Struct("<QQIQqQ5s")
@@ -116,10 +116,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
         tokenizer, part, seq, writer = bpe.word_bpe(path), TaskContext.get().partitionId(), 0, None
         made: list[tuple] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            encoded = tokenizer.encode_all(text.as_py() for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 if writer is None:
                     writer = Writer(folder, f"{part:06d}-{seq:04d}-{uuid.uuid4().hex}.tok", width)
-                writer.add(doc_id.as_py(), tokenizer.encode(text.as_py()) + end)
+                writer.add(doc_id, ids + end)
                 if writer.tokens >= file_tokens:
                     name, n, tokens = writer.close()
                     made.append((name, part, seq, n, tokens))
@@ -133,7 +134,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
 
     key = ["doc_id", F.left("text", F.lit(32)), F.xxhash64("text"), "row"]  # rows equal in all but the last are split too
     ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *key).sortWithinPartitions(*key)
-    return save(ordered.mapInArrow(task, FILES), "token-files")
+    return save(ordered.mapInArrow(lean(task), FILES), "token-files")
 
 
 def read(spark: SparkSession, files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -107,6 +108,27 @@ def test_token_files_round_trip(spark, odd_docs, tokenizer):
     assert token_files.round_trip(odd_docs.limit(0)).count() == 0
 
 
+def test_token_files_encode_many_texts_at_once(spark, tokenizer, monkeypatch):
+    """A tokenizer without its table of words, which encode() needs, writes the same ids."""
+
+    def without_words(path):
+        t = bpe.WordBpe(path)
+        t.words = None
+        return t
+
+    monkeypatch.setattr(token_files, "bpe", SimpleNamespace(default_path=bpe.default_path, word_bpe=without_words))
+    rng = random.Random(6)
+    rows = [(i, " ".join("".join(rng.choice("aéEinrST,.7") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 300)))) for i in range(600)]
+    rows += [(None, "No id"), (600, None), (601, ""), (602, "日本 Wide \u2003words"), (603, " \t\n")]
+    got = token_files.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    at, want = 0, []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        ids = _ids(tokenizer, text, 2)
+        want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
 def test_token_files_refuse_ids_beyond_their_width(tmp_path):
     import numpy as np
     import pytest
