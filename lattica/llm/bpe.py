@@ -31,6 +31,7 @@ _DIGIT = "".join(chr(b) for b in range(256) if chr(b).isnumeric()).encode("latin
 _LOWER_SPACES = _SPACES.translate(_LOWER)
 _LETTER, _NUMBER, _OTHER, _SPACE = range(4)
 _KIND = np.array([_SPACE if bytes([b]).isspace() else _LETTER if b in _ALPHA else _NUMBER if b in _DIGIT else _OTHER for b in range(256)], np.uint8)
+_GAP = re.compile(rb"[\t-\r ]")
 #: Bytes of texts that encode_all() works on at once.
 TEXT = 1 << 21
 _PIECE = re.compile(
@@ -161,6 +162,16 @@ def _different(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at, coded.indices.to_numpy()
 
 
+def _parts(text: bytes) -> Iterator[bytes]:
+    """A long text in parts of about TEXT bytes, cut at white space."""
+    at = 0
+    while at < len(text):
+        space = _GAP.search(text, at + TEXT)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end
+
+
 class WordBpe:
     """A tokenizer of words with lower case and dropped white space, such as word_bpe_49k.json."""
 
@@ -229,7 +240,7 @@ class WordBpe:
         return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """encode() of each text, worked on in parts of about TEXT bytes."""
+        """encode() of each text, worked on in parts of about TEXT bytes; longer texts are cut at white space."""
         held: list[bytes] = []  # texts in Latin-1, or the ids of others
         plain: list[int] = []
         size = 0
@@ -247,8 +258,11 @@ class WordBpe:
             except UnicodeEncodeError:
                 data = None
             if data and self.merges and b"<|" not in data:
-                plain.append(len(held))
                 data = data.translate(_LOWER_SPACES)
+                if len(data) > TEXT:
+                    data = b"".join([self._at_once([part])[0] for part in _parts(data)])
+                else:
+                    plain.append(len(held))
             else:
                 data = self.encode(text)
             held.append(data)

@@ -38,6 +38,20 @@ def test_many_texts_at_once(monkeypatch):
     assert list(t.encode_all(words)) == want and list(t.encode_all([" ".join(words)])) == [b"".join(want)]
 
 
+def test_long_texts_in_parts(monkeypatch):
+    """No part is much longer than TEXT, but for words that are; ids are the tokenizer's."""
+    monkeypatch.setattr(bpe, "TEXT", 100)
+    t, sizes = bpe.WordBpe(bpe.default_path()), []
+    at_once = t._at_once
+    monkeypatch.setattr(t, "_at_once", lambda texts: sizes.append(sum(map(len, texts))) or at_once(texts))
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("aBé'.1 \n\xa0\x85\x1c") for _ in range(rng.randint(90, 2_000))) for _ in range(60)] + [" " * 500, "a" + " " * 101 + "b", "b" * 99 + "\n" + "c" * 100]
+    want = [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert list(t.encode_all(texts)) == want and max(sizes) < 300
+    long = "no " * 40 + "x7" * 300 + " yes" * 60
+    assert list(t.encode_all([long, "short"])) == [t.encode(long), t.encode("short")]
+
+
 def test_special_tokens_and_cache_limit(tokenizer):
     small = bpe.WordBpe(bpe.default_path(), cached_words=8)
     text = "A<|startoftext|>b don't <|ENDOFTEXT|> We'll see 'S " * 5
