@@ -9,7 +9,8 @@ these.  No table of 64-bit offsets is stored.
 ``write`` sorts documents by doc_id over all tasks, so file k's documents come
 before file k + 1's; each task writes files of bounded size under names of its
 own attempt, and the table of files that it returns is what counts: files of a
-lost attempt are in no table.  ``read`` gives every document back.
+lost attempt are in no table.  ``read`` gives every document back, with a task
+for many small files.
 
 Defined results: a null text is empty and has only its end id; null doc_ids
 come first; repeated doc_ids are ordered by the first 32 characters of their texts,
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 
 from lattica.llm import bpe
 from lattica.llm.elias_fano import EliasFano, encode
-from lattica.llm.scratch import lean, new_path, open_fs, save
+from lattica.llm.scratch import lean, new_path, open_fs
 
 _MAGIC = b"LTOK1"
 _FOOT = struct.Struct("<QQIQqQ5s")
 FILES = "path string, part int, seq int, n_docs long, n_tokens long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+#: Tokens that a task of ``read`` gets, about, where there are more files than cores.
+READ_TOKENS = 1 << 26
 
 
 class Writer:
@@ -102,7 +105,7 @@ class Reader:
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = 2, file_tokens: int = 1 << 26, width: int | None = None) -> DataFrame:
-    """Write the documents' ids in ascending doc_id order; the table of files, kept in the shared folder.
+    """Write the documents' ids in ascending doc_id order; the table of files, whose rows the driver holds.
 
     ``width`` 2 holds ids below 65536, and is taken if the tokenizer has no others; a
     larger id is refused.  ``file_tokens`` bounds a file, but for its last document.
@@ -134,13 +137,14 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_i
 
     key = ["doc_id", F.left("text", F.lit(32)), F.xxhash64("text"), "row"]  # rows equal in all but the last are split too
     ordered = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *key).sortWithinPartitions(*key)
-    return save(ordered.mapInArrow(lean(task), FILES), "token-files")
+    made = ordered.mapInArrow(lean(task), FILES).collect()  # a row for each task and 64 M tokens; no part file for each
+    return docs.sparkSession.createDataFrame(made, FILES)
 
 
 def read(spark: SparkSession, files: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of every document in the files."""
     base, listed = 0, []
-    for f in files.orderBy("part", "seq").collect():  # a row for each file of up to 64 M tokens
+    for f in sorted(files.collect(), key=lambda f: (f.part, f.seq)):  # a row for each file of up to 64 M tokens
         listed.append((f.path, base))
         base += f.n_tokens
 
@@ -158,8 +162,9 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
+    tasks = min(len(listed), max(spark.sparkContext.defaultParallelism, -(-base // READ_TOKENS)), 10_000)
     table = spark.createDataFrame(listed, "path string, base long")
-    return table.repartition(max(1, min(len(listed), 10_000))).mapInArrow(task, DOCS)
+    return table.repartition(max(1, tasks)).mapInArrow(task, DOCS)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lattica.llm import bpe, elias_fano, packing, token_files
-from lattica.llm.scratch import new_path
+from lattica.llm.scratch import new_path, recorded
 
 
 @pytest.fixture(scope="module")
@@ -143,6 +143,24 @@ def test_token_files_encode_many_texts_at_once(spark, tokenizer, monkeypatch):
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
 
 
+def test_small_token_files_share_tasks(spark, tokenizer, monkeypatch):
+    """Files of few tokens are read by as many tasks as there are cores, and no table of a part for each file is written."""
+    docs = spark.createDataFrame([(i, f"Text {i}") for i in range(400)], "doc_id long, text string").repartition(40)
+    with recorded() as made:
+        read = token_files.round_trip(docs)
+    assert len(made) == 1 and read.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism < 40
+    at, want = 0, []
+    for i in range(400):
+        ids = _ids(tokenizer, f"Text {i}", 2)
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, read.collect())) == want
+    files = token_files.write(docs, new_path(spark, "tokens"))
+    monkeypatch.setattr(token_files, "READ_TOKENS", 1)
+    read = token_files.read(spark, files)
+    assert read.rdd.getNumPartitions() == files.count() > 20 and sorted(map(tuple, read.collect())) == want
+
+
 def test_token_files_refuse_ids_beyond_their_width(tmp_path):
     import numpy as np
     import pytest
